@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nearfield.llm import components, topn
+from nearfield.llm import components, setjoin, topn
 from nearfield.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +47,20 @@ ORACLES: dict[str, str] = {
         reach(record_id, other) AS (SELECT a, a FROM link UNION SELECT reach.record_id, link.b FROM reach JOIN link ON link.a = reach.other)
         SELECT record_id, min(other) AS group_id FROM reach GROUP BY record_id""",
 }
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    sets = setjoin.component_sets(_table(spark, d, "focused_molecules"), "sample_id", "smiles")
+    pairs = setjoin.similar_records(sets, Workspace(spark, "p5"), 0.6)
+    return pairs.select(F.col("id_1").alias("sample_id_1"), F.col("id_2").alias("sample_id_2"))
+
+
+QUERIES["p5_found"] = p5_found
+ORACLES["p5_found"] = r"""
+    WITH s AS (
+        SELECT sample_id, list_sort(list_distinct(list_filter(list_transform(string_split(smiles, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''))) AS items
+        FROM (SELECT sample_id, min(smiles) AS smiles FROM focused_molecules GROUP BY sample_id)),
+    n AS (SELECT *, len(items) AS n FROM s WHERE len(items) > 0),
+    p AS (SELECT a.sample_id AS sample_id_1, b.sample_id AS sample_id_2, a.n + b.n AS total, len(list_intersect(a.items, b.items)) AS common
+          FROM n a JOIN n b ON a.sample_id < b.sample_id)
+    SELECT sample_id_1, sample_id_2 FROM p WHERE common >= 0.6 * (total - common) - 1e-9"""
