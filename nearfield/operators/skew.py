@@ -47,3 +47,9 @@ def salted_join(
         .drop("__hot")
     )
     return left.drop("__hot").join(right, [key, "__salt"], how).drop("__salt")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over enough tasks for Python work on each row: shuffles only a table that came in too few splits."""
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
