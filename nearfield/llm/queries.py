@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import components, setjoin, topn
+from nearfield.llm import components, leakage, packing, setjoin, splits, topn
 from nearfield.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,66 @@ ORACLES["p5_found"] = r"""
     p AS (SELECT a.sample_id AS sample_id_1, b.sample_id AS sample_id_2, a.n + b.n AS total, len(list_intersect(a.items, b.items)) AS common
           FROM n a JOIN n b ON a.sample_id < b.sample_id)
     SELECT sample_id_1, sample_id_2 FROM p WHERE common >= 0.6 * (total - common) - 1e-9"""
+
+
+def _split_state(spark: SparkSession, rows: DataFrame, targets: DataFrame, state: DataFrame, label: str) -> DataFrame:
+    ws = Workspace(spark, label)
+    edges = splits.tie_edges(splits.tie_keys(rows))
+    return splits.update(state, rows.select(F.col("sample_id").alias("record_id")), edges, targets, ws)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "component_assignments")
+    return splits.tied_groups(_split_state(spark, rows, _table(spark, d, "split_targets"), splits.empty_state(spark), "p6"))
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "component_assignments")
+    return _split_state(spark, rows, _table(spark, d, "split_targets"), splits.empty_state(spark), "p6-splits")
+
+
+def p6_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The same table in two batches, the first run and then all others with it: what is kept, new and quarantined."""
+    rows, targets = _table(spark, d, "component_assignments"), _table(spark, d, "split_targets")
+    first = rows.agg(F.min("run_id")).first()[0]
+    state = _split_state(spark, rows.where(F.col("run_id") == first), targets, splits.empty_state(spark), "p6-first")
+    return _split_state(spark, rows, targets, state, "p6-second")
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    ws = Workspace(spark, "p7")
+    counts = ws.save(packing.token_counts(_table(spark, d, "documents")), "counts")
+    return packing.pack(counts, _table(spark, d, "context_windows"), ws)
+
+
+def p7_fill_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packing(spark, d))
+
+
+QUERIES |= {
+    "p6_found": p6_found,
+    "p6_splits": p6_splits,
+    "p6_incremental": p6_incremental,
+    "p7_packing": p7_packing,
+    "p7_fill_report": p7_fill_report,
+}
+ORACLES["p6_found"] = r"""
+    WITH RECURSIVE tie AS (
+        SELECT DISTINCT sample_id AS r, 'run:' || component_id || ':' || run_id AS k FROM component_assignments WHERE component_id >= 0 AND run_id IS NOT NULL
+        UNION SELECT sample_id, 'cpd:' || upper(trim(compound_id)) FROM component_assignments WHERE regexp_full_match(upper(trim(compound_id)), 'CPD-[0-9]+')),
+    hub AS (SELECT k, min(r) AS h FROM tie GROUP BY k),
+    star AS (SELECT DISTINCT r AS a, h AS b FROM tie JOIN hub USING (k) WHERE r <> h),
+    link AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
+    reach(sample_id, other) AS (SELECT a, a FROM link UNION SELECT reach.sample_id, link.b FROM reach JOIN link ON link.a = reach.other)
+    SELECT sample_id, min(other) AS group_id FROM reach GROUP BY sample_id"""
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+QUERIES |= {"p8_found": p8_found, "p8_leaks": p8_leaks}
