@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import components, leakage, packing, setjoin, splits, topn
+from nearfield.llm import components, leakage, packing, reading, setjoin, splits, topn
 from nearfield.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,21 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p8_found": p8_found, "p8_leaks": p8_leaks}
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(_table(spark, d, "documents"), _table(spark, d, "reading_labels"), Workspace(spark, "p9"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_levels(spark, d).where("hard_share > 0.5").select("doc_id")
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and words per source and rounded level."""
+    levels = p9_levels(spark, d)
+    sources = _table(spark, d, "documents").select(F.col("doc_id"), "source").dropDuplicates(["doc_id"])
+    return levels.join(sources, "doc_id").groupBy("source", F.round("level").cast("int").alias("level")).agg(F.count("*").alias("documents"), F.sum("n_words").alias("n_words"))
+
+
+QUERIES |= {"p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
