@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import components, leakage, packing, reading, setjoin, splits, topn
+from nearfield.llm import components, leakage, overlap, packing, reading, setjoin, splits, topn
 from nearfield.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,31 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
+
+
+def p4_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_overlaps(_table(spark, d, "eval_molecules"), _table(spark, d, "train_molecules"), Workspace(spark, "p4"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_overlaps(spark, d).select("sample_id", "train_id")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping evaluation rows per split and source (both trimmed, lower case, '' if missing): exact and near."""
+    name = {c: F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in ("split", "source")}
+    rows = _table(spark, d, "eval_molecules").where("sample_id is not null").groupBy("sample_id").agg(*[F.min(v).alias(c) for c, v in name.items()])
+    best = p4_overlaps(spark, d).groupBy("sample_id").agg(F.min("edits").alias("edits"), F.countDistinct("train_id").alias("links"))
+    return (
+        rows.join(best, "sample_id", "left")
+        .groupBy("split", "source")
+        .agg(F.count("*").alias("rows"), F.count_if(F.col("edits") == 0).alias("exact"), F.count_if(F.col("edits") > 0).alias("near"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
+    )
+
+
+QUERIES |= {"p4_found": p4_found, "p4_overlaps": p4_overlaps, "p4_report": p4_report}
+ORACLES["p4_found"] = r"""
+    WITH e AS (SELECT DISTINCT sample_id, regexp_replace(smiles, '^\s+|\s+$', '', 'g') AS a FROM eval_molecules),
+    t AS (SELECT DISTINCT train_id, regexp_replace(smiles, '^\s+|\s+$', '', 'g') AS b FROM train_molecules)
+    SELECT DISTINCT sample_id, train_id FROM e JOIN t ON a <> '' AND b <> '' AND abs(length(a) - length(b)) * 10 <= greatest(length(a), length(b))
+    WHERE levenshtein(a, b) * 10 <= greatest(length(a), length(b))"""
