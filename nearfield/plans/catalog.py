@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nearfield.plans import core_problems
+from nearfield.plans import core_problems, kernel_queries
 
-_PARTS = (core_problems,)
+_PARTS = (core_problems, kernel_queries)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
