@@ -27,17 +27,19 @@ from pyspark.sql import functions as F
 from nearfield.storage import Workspace
 
 #: Training / evaluation texts of one cell.
-TRAIN_BLOCK = 40_000
-EVAL_BLOCK = 8_000
+TRAIN_BLOCK = 25_000
+EVAL_BLOCK = 40_000
+#: Texts that are chunked at once.
+TEXT_BATCH = 4_000
 #: (shortest text, least chunk, greatest chunk, one in how many hashes cuts): texts of each class of length.
-CLASSES = ((72, 5, 8, 3), (10, 2, 4, 2))
+CLASSES = ((72, 5, 7, 3), (10, 2, 4, 2))
 #: Chunks of a training text that are common in its block and need not be looked up, as far as others suffice.
 DROPPED = 4
 LEAST_SHARED = 3
-_BATCH_HITS = 1_000_000
-_BATCH_CELLS = 2_000_000
+_BATCH_HITS = 200_000
+_BATCH_CELLS = 400_000
 #: Texts of one band differ in length by less than this factor; a text meets the bands from 0.9 to 1 / 0.9 of its length.
-BAND = 1.08
+BAND = 1.03
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -132,73 +134,96 @@ def _key(digest: np.ndarray, position: np.ndarray) -> np.ndarray:
     return (digest & ~np.uint64(0xFFFF)) | np.clip(position, 0, 0xFFFF).astype("uint64")
 
 
-def cell_candidates(train: list[str], evals: list[str], least: int, greatest: int, one_in: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(evaluation text, training text, overlap fraction) of all pairs that may be within the allowed edits."""
-    tc = Chunker(train, least, greatest, one_in)
-    t_len = np.diff(tc.offsets)
-    text, place = tc.chains()
-    most = allowed((t_len / 0.9).astype("int64") + 1)  # edits allowed with the longest partner
-    # drop the chunks that are common here, as far as enough others are left
-    digest = tc.digest[place]
-    order = np.argsort(digest, kind="stable")
-    text, place, digest = text[order], place[order], digest[order]
-    _, size = np.unique(digest, return_counts=True)
-    common = np.repeat(size, size)
-    by = np.lexsort((place, -common, text))  # per text, the most common first
-    start = np.searchsorted(text[by], np.arange(len(train)))
-    c = np.bincount(text, minlength=len(train))
-    drop = np.clip(c - most - LEAST_SHARED, 0, DROPPED)
-    keep = np.zeros(len(by), dtype=bool)
-    keep[by] = np.arange(len(by)) - start[text[by]] >= drop[text[by]]
-    text, place, digest = text[keep], place[keep], digest[keep]
-    chunk = tc.length[place]
-    # what k edits must leave: all kept chunks but the k longest
-    sizes = np.lexsort((-chunk, text))
-    start = np.searchsorted(text[sizes], np.arange(len(train) + 1))
-    running = np.concatenate([[0], np.cumsum(chunk[sizes])])
-    lost = np.minimum(start[:-1] + most, start[1:])
-    need = running[start[1:]] - running[lost]
-    key = _key(digest, place - tc.offsets[text])
-    order = np.argsort(key, kind="stable")
-    key, text, chunk = key[order], text[order].astype("int32"), chunk[order].astype("float32")
-
-    ec = Chunker(evals, least, greatest, one_in)
-    e_len = np.diff(ec.offsets)
-    owner = np.repeat(np.arange(len(evals)), e_len)
-    probe = np.flatnonzero(ec.whole)
-    owner = owner[probe]
-    position, k = probe - ec.offsets[owner], allowed((e_len[owner] / 0.9).astype("int64") + 1)
-    lo = np.searchsorted(key, _key(ec.digest[probe], position - k), "left")
-    hi = np.searchsorted(key, _key(ec.digest[probe], position + k), "right")
-    met = np.flatnonzero(hi > lo)
-    owner, lo, n = owner[met], lo[met], (hi - lo)[met]
-    load = np.concatenate([[0], np.cumsum(n)])
-    bounds = np.searchsorted(owner, np.arange(len(evals) + 1))
-    free = np.flatnonzero(need <= 0)  # texts that chunks cannot exclude
-    e_one, e_two = _profiles(ec)
-    t_one, t_two = _profiles(tc)
-    nt = len(train)
-    group = max(1, _BATCH_CELLS // nt)
-
-    at = 0
-    while at < len(evals):
-        end = at + 1
-        while end < len(evals) and end - at < group and load[bounds[end + 1]] - load[bounds[at]] <= _BATCH_HITS:
-            end += 1
-        a, b = bounds[at], bounds[end]
-        m = n[a:b]
-        posting = np.arange(load[b] - load[a]) + np.repeat(lo[a:b] - (load[a:b] - load[a]), m)
-        pair = np.repeat((owner[a:b] - at) * nt, m) + text[posting]
-        shared = np.bincount(pair, weights=chunk[posting], minlength=(end - at) * nt)
-        wanted = np.tile(np.maximum(need, 1), end - at) if not len(free) else np.tile(need, end - at)
-        found = np.flatnonzero(shared >= wanted)
-        fe, ft, total = found // nt + at, found % nt, shared[found]
-        for profile_e, profile_t, factor in ((None, None, 0), (e_one, t_one, 1), (e_two, t_two, 2)):
-            bound = allowed(np.maximum(e_len[fe], t_len[ft]))
-            ok = np.abs(e_len[fe] - t_len[ft]) <= bound if profile_e is None else _possible(profile_e, profile_t, fe, ft, bound * factor)
-            fe, ft, total = fe[ok], ft[ok], total[ok]
-        yield fe, ft, np.minimum(1.0, total / t_len[ft])
-        at = end
+class TrainIndex:
+    """Looked-up chunks of a block of training texts, sorted by digest and position.
+
+    The texts are chunked a batch at a time, so that only their chunks stay in memory.
+    """
+
+    def __init__(self, train: list[str], least: int, greatest: int, one_in: int):
+        self.params = (least, greatest, one_in)
+        self.length = np.array([len(t) for t in train], dtype="int64")
+        texts, places, digests, sizes, ones, twos = [], [], [], [], [], []
+        for at in range(0, len(train), TEXT_BATCH):
+            c = Chunker(train[at : at + TEXT_BATCH], *self.params)
+            text, place = c.chains()
+            texts.append(text + at)
+            places.append(place - c.offsets[text])
+            digests.append(c.digest[place])
+            sizes.append(c.length[place])
+            one, two = _profiles(c)
+            ones.append(one)
+            twos.append(two)
+        text, place, digest, chunk = map(np.concatenate, (texts, places, digests, sizes))
+        self.one, self.two = np.concatenate(ones), np.concatenate(twos)
+        n = len(train)
+        most = allowed((self.length / 0.9).astype("int64") + 1)  # edits allowed with the longest partner
+        # drop the chunks that are common here, as far as enough others are left
+        order = np.argsort(digest, kind="stable")
+        text, place, digest, chunk = text[order], place[order], digest[order], chunk[order]
+        _, size = np.unique(digest, return_counts=True)
+        common = np.repeat(size, size)
+        by = np.lexsort((-common, text))  # per text, the most common first
+        start = np.searchsorted(text[by], np.arange(n))
+        count = np.bincount(text, minlength=n)
+        drop = np.clip(count - most - LEAST_SHARED, 0, DROPPED)
+        keep = np.zeros(len(by), dtype=bool)
+        keep[by] = np.arange(len(by)) - start[text[by]] >= drop[text[by]]
+        text, place, digest, chunk = text[keep], place[keep], digest[keep], chunk[keep]
+        # what k edits must leave: all kept chunks but the k longest
+        by = np.lexsort((-chunk, text))
+        start = np.searchsorted(text[by], np.arange(n + 1))
+        running = np.concatenate([[0], np.cumsum(chunk[by])])
+        self.need = running[start[1:]] - running[np.minimum(start[:-1] + most, start[1:])]
+        key = _key(digest, place)
+        order = np.argsort(key, kind="stable")
+        self.key, self.text, self.chunk = key[order], text[order].astype("int32"), chunk[order].astype("float32")
+
+    def candidates(self, evals: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(evaluation text, training text, overlap fraction) of all pairs that may be within the allowed edits."""
+        for at in range(0, len(evals), TEXT_BATCH):
+            for fe, ft, fraction in self._batch(evals[at : at + TEXT_BATCH]):
+                yield fe + at, ft, fraction
+
+    def _batch(self, evals: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ec = Chunker(evals, *self.params)
+        e_len, t_len, nt = np.diff(ec.offsets), self.length, len(self.length)
+        probe = np.flatnonzero(ec.whole)
+        owner = np.repeat(np.arange(len(evals)), e_len)[probe]
+        # a chunk moved by s leaves |s| edits before it and |d - s| behind it, d being the difference of the
+        # lengths: so s lies between (d - k) / 2 and (d + k) / 2, for the d and k of this block
+        position, mine = probe - ec.offsets[owner], e_len[owner]
+        k = allowed(np.maximum(mine, t_len.max()))
+        lo = np.searchsorted(self.key, _key(ec.digest[probe], position + (t_len.min() - mine - k) // 2), "left")
+        hi = np.searchsorted(self.key, _key(ec.digest[probe], position + (t_len.max() - mine + k + 1) // 2), "right")
+        hi = np.maximum(hi, lo)
+        met = np.flatnonzero(hi > lo)
+        owner, lo, n = owner[met], lo[met], (hi - lo)[met]
+        load = np.concatenate([[0], np.cumsum(n)])
+        bounds = np.searchsorted(owner, np.arange(len(evals) + 1))
+        e_one, e_two = _profiles(ec)
+        # texts that chunks cannot exclude need nothing, all others at least one shared chunk
+        need = np.where(self.need <= 0, 0, self.need).astype("float64")
+        group = max(1, _BATCH_CELLS // nt)
+        at = 0
+        while at < len(evals):
+            end = at + 1
+            while end < len(evals) and end - at < group and load[bounds[end + 1]] - load[bounds[at]] <= _BATCH_HITS:
+                end += 1
+            a, b = bounds[at], bounds[end]
+            m = n[a:b]
+            posting = np.arange(load[b] - load[a]) + np.repeat(lo[a:b] - (load[a:b] - load[a]), m)
+            pair = np.repeat((owner[a:b] - at) * nt, m)
+            pair += self.text[posting]
+            shared = np.bincount(pair, weights=self.chunk[posting], minlength=(end - at) * nt).reshape(end - at, nt)
+            found = np.flatnonzero((shared >= need).ravel())
+            fe, ft, total = found // nt + at, found % nt, shared.ravel()[found]
+            for profile_e, profile_t, factor in ((None, None, 0), (e_one, self.one, 1), (e_two, self.two, 2)):
+                bound = allowed(np.maximum(e_len[fe], t_len[ft]))
+                ok = np.abs(e_len[fe] - t_len[ft]) <= bound if profile_e is None else _possible(profile_e, profile_t, fe, ft, bound * factor)
+                fe, ft, total = fe[ok], ft[ok], total[ok]
+            yield fe, ft, np.minimum(1.0, total / t_len[ft])
+            at = end
 
 
 def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -206,7 +231,7 @@ def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
     evals = pdf.loc[pdf["role"] == 1, "text"].tolist()
     for no, (_, least, greatest, one_in) in enumerate(CLASSES):
         train = pdf.loc[(pdf["role"] == 0) & (pdf["kind"] == no), "text"].tolist()
-        for fe, ft, fraction in cell_candidates(train, evals, least, greatest, one_in) if train and evals else ():
+        for fe, ft, fraction in TrainIndex(train, least, greatest, one_in).candidates(evals) if train and evals else ():
             a.extend(evals[i] for i in fe)
             b.extend(train[i] for i in ft)
             shared.append(fraction)
@@ -241,9 +266,7 @@ def similar_texts(evals: DataFrame, train: DataFrame, workspace: Workspace) -> D
     left = left.select("text", "kind", F.lit(0).alias("role"), "band", "i", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("j"))
     right = met.select("text", F.lit(-1).alias("kind"), F.lit(1).alias("role"), "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), part.alias("j"))
     pairs = left.unionByName(right).groupBy("band", "i", "j").applyInPandas(_cell, "a string, b string, overlap double")
-    bound = F.floor(F.greatest(F.length("a"), F.length("b")) / 10).cast("int")
-    # a bound that varies by row is not taken by the function; the distance itself is compared with it
-    checked = pairs.where("a <> b").withColumn("edits", F.levenshtein("a", "b")).where(F.col("edits") <= bound)
+    checked = pairs.where("a <> b").withColumn("edits", F.expr("levenshtein(a, b, cast(floor(greatest(length(a), length(b)) / 10) as int))")).where("edits >= 0")
     return workspace.save(checked.distinct(), "similar")
 
 
