@@ -73,10 +73,14 @@ def vector(df: DataFrame, columns: list[str] | None = None, prefix: str | None =
 
 def word_shingles(text: Column, n: int = 5) -> Column:
     """Distinct n-word shingles of the lower-cased words; texts of fewer words give none."""
-    ws = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.when(F.size(ws) < n, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " ")))
-    )
+    # the words are bound as a lambda variable, else they would be extracted again for every shingle
+    words = F.array(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+    def cut(ws: Column) -> Column:
+        shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - n + 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))
+        return F.when(F.size(ws) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(shingles))
+
+    return F.get(F.transform(words, cut), F.lit(0))
 
 
 def row_ids(df: DataFrame, prefix: str, order: list[str], width: int = 5) -> DataFrame:

@@ -85,16 +85,16 @@ _search("kernel_formula", _nations, "formula", K.REGISTRY["formula_overlap"],
 _search("kernel_chamfer", lambda s, d: _embeddings(s, d).withColumn("cloud", F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.slice("v", i * 3 + 1, F.lit(3)))), "cloud",
         lambda a, b: K.chamfer(a, b, "exp", 10.0), f"SELECT id, [v[i * 3 + 1:i * 3 + 3] FOR i IN range(21)] AS c FROM ({_EMBED})",
         "exp(-(list_avg([list_min([list_sum([pow(p[k] - q[k], 2) FOR k IN range(1, 4)]) FOR q IN b.c]) FOR p IN a.c]) + list_avg([list_min([list_sum([pow(p[k] - q[k], 2) FOR k IN range(1, 4)]) FOR p IN a.c]) FOR q IN b.c])) / 2 / 10)")
-_search("kernel_sinkhorn", D.user_histograms, "h", PK.sinkhorn_similarity(), D.HISTOGRAM_SQL, "")
-_search("kernel_event_alignment", D.user_sequences, "types", PK.alignment_identity(), "", "")
-_search("kernel_dtw", D.user_sequences, "series", PK.dtw_similarity(scale=100.0, window=10), "", "")
+_search("kernel_sinkhorn", D.user_histograms, "h", lambda a, b: PK.sinkhorn_similarity()(a, b), D.HISTOGRAM_SQL, "")
+_search("kernel_event_alignment", D.user_sequences, "types", lambda a, b: PK.alignment_identity()(a, b), "", "")
+_search("kernel_dtw", D.user_sequences, "series", lambda a, b: PK.dtw_similarity(scale=100.0, window=10)(a, b), "", "")
 
 
 def _supplier_spectra(spark: SparkSession, d: str) -> DataFrame:
     return D.supplier_peaks(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("peaks"))
 
 
-_search("kernel_spectrum", _supplier_spectra, "peaks", PK.spectrum_similarity(0.01), "", "")
+_search("kernel_spectrum", _supplier_spectra, "peaks", lambda a, b: PK.spectrum_similarity(0.01)(a, b), "", "")
 
 
 def metadata_mixed(spark: SparkSession, d: str) -> DataFrame:
