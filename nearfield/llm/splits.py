@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nearfield.operators.graph import merge_components
 from nearfield.operators.skew import hot_keys, salted_join
 from nearfield.storage import Workspace
 
@@ -58,41 +59,6 @@ def tie_edges(keys: DataFrame) -> DataFrame:
     return salted_join(keys, hubs, "key", hot, "record_id").where(F.col("record_id") != F.col("a")).select("a", F.col("record_id").alias("b")).distinct()
 
 
-def _jump(pointers: DataFrame, workspace: Workspace) -> DataFrame:
-    """Pointer jumping: ``node, to`` until every ``to`` is a root (a node that points nowhere)."""
-    pointers = workspace.save(pointers, "pointers")
-    while True:
-        onward = pointers.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        stepped = pointers.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
-        stepped = workspace.save(stepped, "jumped")
-        moved = stepped.agg(F.max(F.col("moved").cast("int"))).first()[0]
-        workspace.drop(pointers)
-        pointers = stepped.select("node", "to")
-        pointers._nearfield_path = stepped._nearfield_path
-        if not moved:
-            return pointers
-
-
-def merge_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
-    """``node, root`` of every node of the edges ``a, b``; the root is the smallest node connected to it."""
-    edges = workspace.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    maps: list[DataFrame] = []
-    while edges.take(1):
-        hooks = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
-        flat = _jump(hooks, workspace)
-        maps.append(flat)
-        left = edges.join(flat.select(F.col("node").alias("a"), F.col("to").alias("ra")), "a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
-        both = left.join(flat.select(F.col("node").alias("b"), F.col("to").alias("rb")), "b", "left").select("a", F.coalesce("rb", "b").alias("b"))
-        nxt = both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = workspace.save(nxt, "edges")
-    out = nodes.select("node", F.col("node").alias("root"))
-    for flat in maps:
-        step = flat.select(F.col("node").alias("root"), "to")
-        out = out.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return workspace.save(out, "roots")
-
-
 def _fill(new: DataFrame, held: dict[str, int], targets: dict[str, float], total: int, workspace: Workspace) -> DataFrame:
     """``component, split`` for new components ``component, n`` such that the splits near their targets.
 
