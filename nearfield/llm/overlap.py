@@ -32,7 +32,7 @@ EVAL_BLOCK = 40_000
 #: Texts that are chunked at once.
 TEXT_BATCH = 4_000
 #: (shortest text, least chunk, greatest chunk, one in how many hashes cuts): texts of each class of length.
-CLASSES = ((72, 5, 7, 3), (10, 2, 4, 2))
+CLASSES = ((72, 5, 7, 3), (9, 2, 4, 2))
 #: Chunks of a training text that are common in its block and need not be looked up, as far as others suffice.
 DROPPED = 4
 LEAST_SHARED = 3

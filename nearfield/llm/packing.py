@@ -142,9 +142,15 @@ PIECE = "window_name string, capacity bigint, doc_id bigint, piece int, start bi
 
 
 def pieces(counts: DataFrame, windows: DataFrame) -> DataFrame:
-    """Every text once per capacity, cut only if it is longer.  ``windows`` is a handful of rows."""
+    """Every text once per capacity, cut only if it is longer.
+
+    ``windows`` is a fixed table of a handful of capacities; more than 1000 raise ``ValueError``.  Null and
+    non-positive capacities are left out.
+    """
     caps = windows.where("capacity_tokens > 0").select("window_name", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
-    cut = counts.where("n_tokens > 0").crossJoin(F.broadcast(caps.limit(1000)))  # fixed table of capacities
+    if len(caps.take(1001)) > 1000:
+        raise ValueError("more than 1000 capacities")
+    cut = counts.where("n_tokens > 0").crossJoin(F.broadcast(caps))  # at most 1000 rows, checked
     full = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / F.col("capacity")).cast("int")))
     cut = cut.withColumn("piece", full).withColumn("start", F.col("piece") * F.col("capacity"))
     return cut.select("window_name", "capacity", "doc_id", "piece", "start", F.least("capacity", F.col("n_tokens") - F.col("start")).alias("n_tokens"))
