@@ -7,6 +7,7 @@ the docstrings.  Arrays are ``array<double>`` (vectors), ``array<string>`` (sets
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -16,6 +17,16 @@ EARTH_KM = 6371.0088
 _ZERO = 0.0
 
 
+def _null_if_either(kernel):
+    """Null for a null on either side (greatest and least alone would skip it)."""
+
+    @functools.wraps(kernel)
+    def guarded(a: Column, b: Column, *more, **options) -> Column:
+        return F.when(a.isNotNull() & b.isNotNull(), kernel(a, b, *more, **options))
+
+    return guarded
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(_ZERO), lambda x, y: x + y)
 
@@ -32,18 +43,21 @@ def unit_interval(x: Column) -> Column:
     return F.greatest(F.lit(_ZERO), F.least(F.lit(1.0), x))
 
 
+@_null_if_either
 def jaccard(a: Column, b: Column) -> Column:
     """Set Jaccard (K1); two empty sets are 1."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+@_null_if_either
 def containment(a: Column, b: Column) -> Column:
     """Share of ``a`` in ``b``; an empty ``a`` is contained."""
     n = F.size(F.array_distinct(a))
     return F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
+@_null_if_either
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in -1..1 (K2); two zero vectors are 1, one is 0."""
     na, nb = norm(a), norm(b)
@@ -55,6 +69,7 @@ def half_shifted(x: Column) -> Column:
     return (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) + 1) / 2
 
 
+@_null_if_either
 def spectral_angle(a: Column, b: Column) -> Column:
     """Clipped cosine to 0..1 (K3)."""
     return half_shifted(cosine(a, b))
@@ -68,6 +83,7 @@ def manhattan(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
 
 
+@_null_if_either
 def pearson(a: Column, b: Column, raw: bool = False) -> Column:
     """Correlation (K4), to 0..1 unless raw; two constant vectors are 1 if equal else 0, one constant is 0."""
     ca = F.transform(a, lambda x: x - total(a) / F.size(a))
@@ -79,6 +95,7 @@ def pearson(a: Column, b: Column, raw: bool = False) -> Column:
     return F.when((na == 0) & (nb == 0), both).when((na == 0) | (nb == 0), F.lit(_ZERO)).otherwise(value)
 
 
+@_null_if_either
 def bray_curtis(a: Column, b: Column) -> Column:
     """1 - sum|a-b| / sum(a+b) over non-negative parts (K5); two zero vectors are 1."""
     clip = lambda v: F.transform(v, lambda x: F.greatest(x, F.lit(_ZERO)))
@@ -93,6 +110,7 @@ def _distribution(a: Column) -> Column:
     return F.transform(clipped, lambda x: F.when(whole == 0, 1.0 / F.size(a)).otherwise(x / whole))
 
 
+@_null_if_either
 def jensen_shannon(a: Column, b: Column) -> Column:
     """1 - JS / ln 2 of the normalised non-negative parts (K6); a zero vector counts as uniform."""
     p, q = _distribution(a), _distribution(b)
@@ -103,6 +121,7 @@ def jensen_shannon(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(_ZERO), 1 - 0.5 * (half(p, q) + half(q, p)) / math.log(2))
 
 
+@_null_if_either
 def sequence_identity(a: Column, b: Column) -> Column:
     """Share of agreeing places for equal lengths, else 1 - edit distance / longer length (K7); both empty is 1."""
     n, m = F.length(a), F.length(b)
@@ -114,12 +133,14 @@ def sequence_identity(a: Column, b: Column) -> Column:
     )
 
 
+@_null_if_either
 def edit_similarity(a: Column, b: Column) -> Column:
     """max(0, 1 - edit distance / longer length); both empty is 1."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(_ZERO), 1 - F.levenshtein(a, b) / longest))
 
 
+@_null_if_either
 def positional_identity(a: Column, b: Column) -> Column:
     """Matches over the shared prefix length, divided by the longer length (K24); both empty is 1."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -202,17 +223,20 @@ def map_dot(a: Column, b: Column) -> Column:
     return total(F.map_values(F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(_ZERO)) * F.coalesce(y, F.lit(_ZERO)))))
 
 
+@_null_if_either
 def map_cosine(a: Column, b: Column) -> Column:
     """Cosine of weighted sets; two empty ones are 1, one is 0."""
     na, nb = F.sqrt(map_dot(a, a)), F.sqrt(map_dot(b, b))
     return F.when((na == 0) & (nb == 0), F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(_ZERO)).otherwise(map_dot(a, b) / (na * nb))
 
 
+@_null_if_either
 def map_overlap(a: Column, b: Column) -> Column:
     """1 - half the sum of absolute differences of two share maps."""
     return 1 - total(F.map_values(F.map_zip_with(a, b, lambda k, x, y: F.abs(F.coalesce(x, F.lit(_ZERO)) - F.coalesce(y, F.lit(_ZERO)))))) / 2
 
 
+@_null_if_either
 def weighted_jaccard(a: Column, b: Column) -> Column:
     """Sum of minima over sum of maxima; two empty sets are 1."""
     both = F.map_zip_with(a, b, lambda k, x, y: F.struct(F.coalesce(x, F.lit(_ZERO)).alias("x"), F.coalesce(y, F.lit(_ZERO)).alias("y")))
@@ -221,6 +245,7 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return F.when(high == 0, F.lit(1.0)).otherwise(low / high)
 
 
+@_null_if_either
 def genotype_ibs(a: Column, b: Column) -> Column:
     """Mean of max(0, 1 - |difference| / 2) over the markers present in both (K17); none is 0."""
     present = F.filter(F.zip_with(a, b, lambda x, y: F.greatest(F.lit(_ZERO), 1 - F.abs(x - y) / 2)), lambda v: v.isNotNull())
@@ -237,6 +262,7 @@ def chamfer_distance(a: Column, b: Column) -> Column:
     return (one_way(a, b) + one_way(b, a)) / 2
 
 
+@_null_if_either
 def chamfer(a: Column, b: Column, form: str = "exp", scale: float = 1.0) -> Column:
     """Chamfer distance of point clouds as a similarity (K19); both empty is 1, one empty is 0."""
     na, nb = F.size(a), F.size(b)

@@ -118,4 +118,5 @@ def entries(spark: SparkSession) -> DataFrame:
     rows = [(i, "definition", kind, "exact", inputs.split(), kernel, " ".join((i, kind, inputs))) for i, kind, inputs, kernel in _rows(DEFINITIONS)]
     rows += [(i, "strategy", family, exactness, [], operator, " ".join((i, family, exactness))) for i, family, exactness, operator in _rows(STRATEGIES)]
     rows += [(i, "operating_point", unit, "exact", [unit], operator, " ".join((i, unit, region))) for i, (operator, unit, region) in OPERATING_POINTS.items()]
-    return spark.createDataFrame(rows, ENTRY)
+    # ids and their single words both can be searched for
+    return spark.createDataFrame([(*r[:-1], f"{r[-1]} {r[-1].replace('_', ' ')}") for r in rows], ENTRY)
