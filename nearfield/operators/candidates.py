@@ -349,3 +349,65 @@ def ivf_top_k(queries: DataFrame, train: DataFrame, vector: str, cells: int, pro
     a = queries.select("id", vector, F.explode(F.transform(F.slice(nearest, 1, probes), lambda x: x["cell"])).alias("cell")).select(F.col("id").alias("sample_id"), F.col(vector).alias("__a"), "cell")
     b = train.select(F.col("id").alias("train_id"), F.col(vector).alias("__b"), F.get(nearest, F.lit(0))["cell"].alias("cell"))
     return top_k(a.join(b, "cell").where("sample_id <> train_id").select("sample_id", "train_id", K.spectral_angle(F.col("__a"), F.col("__b")).alias("similarity")), k, 10)
+
+
+def neighbour_descent(rows: DataFrame, vector: str, k: int, rounds: int, workspace, seed: int = 0) -> DataFrame:
+    """An approximate neighbour graph (T24): ``sample_id, train_id, similarity, rank``.
+
+    Starts from pairs that share a random-hyperplane bucket and improves each list by the neighbours of
+    its neighbours, both directions, ``rounds`` times; every round is written down.  The lists have at
+    most ``k`` rows a node, so a round joins at most (2 k)^2 pairs a node of ordinary degree; reversed
+    lists of very popular nodes are cut to 2 k by hash order, which is part of the method.
+    """
+    from pyspark.sql import Window
+
+    from nearfield.operators.edges import top_k
+
+    dims = rows.select(F.size(vector)).first()
+    if dims is None:
+        return rows.sparkSession.createDataFrame([], "sample_id bigint, train_id bigint, similarity double, rank int")
+    first = hyperplane_candidates(rows, rows, vector, dims[0], 4, 2, seed)
+    graph = workspace.save(top_k(verify(first, rows, rows, vector, K.spectral_angle), k, 10), "graph")
+    for _ in range(rounds):
+        out = graph.select(F.col("sample_id").alias("u"), F.col("train_id").alias("v"))
+        back = out.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        w = Window.partitionBy("u").orderBy(F.xxhash64(F.lit(seed), "v"), "v")
+        back = back.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= 2 * k).drop("__r")
+        near = out.unionByName(back).distinct()
+        hop = near.select(F.col("u").alias("m"), F.col("v").alias("sample_id")).join(near.select(F.col("u").alias("m"), F.col("v").alias("train_id")), "m")
+        fresh = hop.where("sample_id <> train_id").select("sample_id", "train_id").distinct()
+        known = graph.select("sample_id", "train_id")
+        scored = verify(fresh.unionByName(known).distinct(), rows, rows, vector, K.spectral_angle)
+        graph = workspace.save(top_k(scored, k, 10), "graph")
+    return graph
+
+
+def learned_filter(candidates: DataFrame, classes: DataFrame, t: float, sample: int = 20_000, keep: float = 0.99, seed: int = 1) -> DataFrame:
+    """Candidates ``c1, c2`` that a small model does not rule out (T16), to be verified exactly afterwards.
+
+    The features are cheap (size ratio, agreement of 32 one-bit MinHashes); a logistic regression is fitted
+    on at most ``sample`` candidates whose exact similarity is computed, and its cut keeps a ``keep`` share
+    of the similar ones among them.  Approximate by design: a pair below the cut is lost.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    bits = F.aggregate(
+        F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("bigint"),
+        lambda acc, s: acc * 2 + F.array_min(F.transform("items", lambda x: F.xxhash64(s, x))).bitwiseAND(F.lit(1)),
+    )
+    sketch = classes.select("class_id", F.size("items").alias("n"), bits.alias("bits"))
+    a = sketch.select(F.col("class_id").alias("c1"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
+    b = sketch.select(F.col("class_id").alias("c2"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
+    pairs = candidates.join(a, "c1").join(b, "c2").select(
+        "c1", "c2", array_to_vector(F.array(F.least("n1", "n2") / F.greatest("n1", "n2"), 1 - F.bit_count(F.col("b1").bitwiseXOR(F.col("b2"))) / 32)).alias("f")
+    )
+    fitting = pairs.orderBy(F.xxhash64(F.lit(seed), "c1", "c2")).limit(sample)  # bounded sample for fitting only
+    good = verify_sets(fitting.select("c1", "c2"), classes, t).select("c1", "c2", F.lit(1).alias("label"))
+    labelled = fitting.join(good, ["c1", "c2"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    if labelled.select("label").distinct().count() < 2:
+        return candidates
+    model = LogisticRegression(featuresCol="f", labelCol="label", maxIter=50).fit(labelled)
+    score = vector_to_array("probability")[1]
+    cut = model.transform(labelled.where("label = 1")).agg(F.percentile(score, F.lit(1 - keep))).first()[0]
+    return model.transform(pairs).where(score >= cut).select("c1", "c2")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import kernels as K
 from nearfield.functions import metrics as M
 from nearfield.operators import advanced as A
+from nearfield.operators import assays as AS
 from nearfield.operators import baselines as B
 from nearfield.operators import candidates as C
 from nearfield.operators import curve, nested, registry
@@ -189,3 +190,46 @@ ORACLES["stream_candidates"] = r"""
                FROM focused_molecules GROUP BY row_index)
     SELECT a.id AS sample_id, b.id AS train_id, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity FROM s a JOIN s b ON a.id % 50 = 0 AND a.id <> b.id
     WHERE len(list_intersect(a.s, b.s)) > 0 AND len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.3"""
+
+# ---- assays and focused splits ----------------------------------------------------------------------------
+
+
+def nearest_composite(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    return rounded(AS.nearest_composite(rows.where("id % 50 = 0"), rows, {"size": 5.0, "price": 50.0}))
+
+
+QUERIES["nearest_composite"] = nearest_composite
+ORACLES["nearest_composite"] = """WITH p AS (SELECT a.p_partkey AS sample_id, b.p_partkey AS train_id, round(exp(-(abs(a.p_size - b.p_size) / 5 + abs(a.p_retailprice - b.p_retailprice) / 50) / 2), 10) AS s
+    FROM part a JOIN part b ON a.p_partkey % 50 = 0 AND a.p_partkey <> b.p_partkey)
+    SELECT sample_id, train_id, round(s, 6) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY s DESC, train_id) = 1"""
+
+
+def nearest_molecule(spark: SparkSession, d: str) -> DataFrame:
+    number = "int(substring(sample_id, 4)) % 50 = 0"
+    e = table(spark, d, "eval_molecules").where(number).groupBy(F.col("sample_id").alias("id")).agg(F.min("smiles").alias("smiles"))
+    t = table(spark, d, "train_molecules").groupBy(F.col("train_id").alias("id")).agg(F.min("smiles").alias("smiles"))
+    return rounded(AS.nearest_molecule(e, t, "smiles"))
+
+
+QUERIES["nearest_molecule"] = nearest_molecule
+_GRAMS = "list_distinct(flatten([CASE WHEN length(s) < n THEN [s] ELSE [s[i:i + n - 1] FOR i IN range(1, length(s) - n + 2)] END FOR n IN [2, 3, 4]]))"
+ORACLES["nearest_molecule"] = f"""
+    WITH e AS (SELECT sample_id AS id, trim(min(smiles), ' ') AS s FROM eval_molecules WHERE CAST(substring(sample_id, 4) AS INT) % 50 = 0 GROUP BY sample_id),
+    t AS (SELECT train_id AS id, trim(min(smiles), ' ') AS s FROM train_molecules GROUP BY train_id), x AS (SELECT id, {_GRAMS} AS g FROM e WHERE s IS NOT NULL), y AS (SELECT id, {_GRAMS} AS g FROM t WHERE s IS NOT NULL),
+    p AS (SELECT x.id AS sample_id, y.id AS train_id, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 10) AS s FROM x, y),
+    b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY s DESC, train_id) = 1)
+    SELECT e.id AS sample_id, train_id, round(coalesce(b.s, 0), 6) AS similarity FROM e LEFT JOIN b ON e.id = sample_id"""
+
+
+def focused_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Mixtures of focused_molecules: threshold splits along component overlap, with the recommended one."""
+    from nearfield.functions import features
+
+    rows = table(spark, d, "focused_molecules").groupBy("sample_id").agg(F.min("smiles").alias("smiles"), F.max("y").alias("y"))
+    sets = rows.select(F.col("sample_id").alias("id"), features.token_set(F.col("smiles"), ".").alias("items"))
+    labels = rows.where("y is not null").select(F.col("sample_id").alias("id"), (F.col("y") > 0).cast("int").alias("label"))
+    return rounded(AS.focused_splits(sets, labels, Workspace(spark, "focused"), (0.8, 0.6, 0.4, 0.3))[0])
+
+
+QUERIES["focused_splits"] = focused_splits

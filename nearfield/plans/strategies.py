@@ -81,7 +81,7 @@ gpu_accelerated_similarity_join | gpu_similarity_acceleration | hybrid | -
 graph_kernel_random_feature_sketch | kernel_feature_sketch | approximate | wl_labels
 hybrid_multimodal_similarity_index | hybrid_multimodal_index | hybrid | block_join
 kernel_approximation_feature_map | kernel_feature_sketch | approximate | random_fourier
-learned_candidate_filter_similarity_join | learned_filter | approximate | -
+learned_candidate_filter_similarity_join | learned_filter | approximate | learned_filter
 lp_stable_lsh_distance | hashing_sketch_lsh | hybrid | projection_candidates
 mass_spectrometry_sparse_cosine_acceleration | domain_specific_sparse_matrix | hybrid | sparse_cosine_pairs
 maximum_inner_product_search_transform | maximum_inner_product_search | approximate | inner_product_transform
@@ -89,7 +89,7 @@ metric_tree_radius_knn | metric_tree_index | exact | pivot_candidates
 minhash_lsh_jaccard_candidates | hashing_sketch_lsh | hybrid | minhash_jaccard
 molecular_fingerprint_tanimoto_index | domain_specific_index | hybrid | prefix_jaccard
 multi_vector_late_interaction_search | multi_vector_search | approximate | late_interaction
-nn_descent_neighbor_graph | neighbor_graph_construction | approximate | -
+nn_descent_neighbor_graph | neighbor_graph_construction | approximate | neighbour_descent
 pivot_permutation_metric_index | metric_space_index | hybrid | pivot_candidates
 privacy_preserving_similarity_search | privacy_preserving_similarity | approximate | -
 semantic_ontology_similarity_join | semantic_ontology_join | hybrid | ancestor_sets
