@@ -411,3 +411,29 @@ def learned_filter(candidates: DataFrame, classes: DataFrame, t: float, sample:
     score = vector_to_array("probability")[1]
     cut = model.transform(labelled.where("label = 1")).agg(F.percentile(score, F.lit(1 - keep))).first()[0]
     return model.transform(pairs).where(score >= cut).select("c1", "c2")
+
+
+def trajectory_cells(points: Column, width: float) -> Column:
+    """The distinct grid cells of a trajectory ``array<array<double>>`` as tokens (T36), for any set join before an exact check."""
+    return F.array_distinct(F.transform(points, lambda p: F.array_join(F.transform(p, lambda x: F.floor(x / width).cast("string")), ":")))
+
+
+def salted_tokens(tokens: Column, secret: str) -> Column:
+    """Tokens as keyed digests (T26): equal tokens stay equal, so set joins of two parties give the same similarities."""
+    return F.transform(tokens, lambda t: F.sha2(F.concat(F.lit(secret), t.cast("string")), 256))
+
+
+def label_bound_join(trees: DataFrame, distance: int) -> DataFrame:
+    """Pairs of labelled structures that an edit distance bound cannot exclude (T33): ``c1 < c2, bound``, to be verified by a user's UDF.
+
+    ``trees`` has ``id, labels`` (the multiset of node labels).  Each edit changes the multiset by at most
+    one label on either side, so the larger one-sided difference is a lower bound.  Sizes within the
+    distance are the key of an equi-join.
+    """
+    n = F.size("labels")
+    a = trees.select(F.col("id").alias("c1"), F.col("labels").alias("x"), F.explode(F.sequence(n - distance, n + distance)).alias("n"))
+    b = trees.select(F.col("id").alias("c2"), F.col("labels").alias("y"), n.alias("n"))
+    count = lambda xs, v: F.size(F.filter(xs, lambda e: e == v))
+    lack = lambda u, w: F.aggregate(F.array_distinct(u), F.lit(0), lambda acc, v: acc + F.greatest(F.lit(0), count(u, v) - count(w, v)))
+    bound = F.greatest(lack(F.col("x"), F.col("y")), lack(F.col("y"), F.col("x")))
+    return a.join(b, "n").where("c1 < c2").select("c1", "c2", bound.alias("bound")).where(F.col("bound") <= distance)

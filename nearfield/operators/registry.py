@@ -114,3 +114,20 @@ def crosstab_status(df: DataFrame, axis: str, status: str, statuses: Sequence[st
     """Counts of each status per axis and the share of ``support`` among all."""
     counts = [F.count_if(F.col(status) == s).alias(s) for s in statuses]
     return df.groupBy(axis).agg(F.count("*").alias("n"), *counts, (F.count_if(F.col(status) == support) / F.count("*")).alias("support_fraction"))
+
+
+def search_findings(findings: DataFrame, query: str, columns: Sequence[str], k: int = 10) -> DataFrame:
+    """Findings by the number of query tokens in their columns, then by id; ``k`` between 1 and 50; none without a hit."""
+    wanted = F.array(*[F.lit(t) for t in sorted(set(re.findall("[a-z0-9_]+", query.lower().replace("-", "_"))))]).cast("array<string>")
+    text = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    words = F.array_distinct(F.concat(tokens(text), F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))))
+    hits = findings.withColumn("hits", F.size(F.array_intersect(words, wanted))).where("hits > 0")
+    return hits.orderBy(F.desc("hits"), "finding_id").limit(max(1, min(50, k)))
+
+
+def next_moves(findings: DataFrame, rules: dict[str, str], default: str = "review") -> DataFrame:
+    """The next move of each finding by its status; unknown or missing statuses get the default."""
+    move = F.lit(default)
+    for status, action in rules.items():
+        move = F.when(F.lower(F.trim("status")) == status.lower(), action).otherwise(move)
+    return findings.withColumn("next_move", move)

@@ -91,17 +91,17 @@ molecular_fingerprint_tanimoto_index | domain_specific_index | hybrid | prefix_j
 multi_vector_late_interaction_search | multi_vector_search | approximate | late_interaction
 nn_descent_neighbor_graph | neighbor_graph_construction | approximate | neighbour_descent
 pivot_permutation_metric_index | metric_space_index | hybrid | pivot_candidates
-privacy_preserving_similarity_search | privacy_preserving_similarity | approximate | -
+privacy_preserving_similarity_search | privacy_preserving_similarity | approximate | salted_tokens
 semantic_ontology_similarity_join | semantic_ontology_join | hybrid | ancestor_sets
 sequence_seed_prefilter_alignment_rerank | seed_extend_sequence_search | hybrid | seed_candidates
 sinkhorn_wasserstein_histogram_search | optimal_transport_approximation | approximate | sinkhorn_similarity
 sparse_inverted_index_topk | sparse_inverted_index | hybrid | sparse_products
 streaming_similarity_join_sketch | streaming_similarity_join | approximate | stream_candidates
 string_edit_similarity_join | similarity_join | hybrid | qgram_edit_join
-structured_edit_distance_filter_verify | structured_edit_distance | hybrid | -
+structured_edit_distance_filter_verify | structured_edit_distance | hybrid | label_bound_join
 threshold_similarity_join_filter_verify | similarity_join | hybrid | prefix_jaccard
 time_series_matrix_profile_index | time_series_index | hybrid | matrix_profile
-trajectory_metric_index_filter_refine | metric_tree_index | exact | minhash_jaccard
+trajectory_metric_index_filter_refine | metric_tree_index | exact | trajectory_cells
 two_stage_prefilter_rerank | generic_prefilter_rerank | hybrid | verify
 weighted_minhash_generalized_jaccard | hashing_sketch_lsh | hybrid | weighted_jaccard_pairs
 """

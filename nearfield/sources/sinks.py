@@ -88,3 +88,20 @@ CARD_FIELDS = ("schema_version", "curve", "contracts")
 def check_card(card: dict) -> list[str]:
     """Missing or empty fields of a card."""
     return [f for f in CARD_FIELDS if not card.get(f)]
+
+
+def svg_scatter(rows: Sequence[dict], x: str, y: str, spread: str | None = None, width: int = 640, height: int = 480) -> str:
+    """Split statistics as points over the parameter, with error bars if a spread column is given."""
+    pts = [(r[x], r[y], r.get(spread) or 0.0 if spread else 0.0) for r in rows if r.get(x) is not None and r.get(y) is not None]
+    body = []
+    if pts:
+        lo_x, hi_x = min(p[0] for p in pts), max(p[0] for p in pts)
+        lo_y, hi_y = min(p[1] - p[2] for p in pts), max(p[1] + p[2] for p in pts)
+        at = lambda v, lo, hi, a, b: (a + b) / 2 if hi == lo else a + (v - lo) / (hi - lo) * (b - a)
+        for px, py, e in pts:
+            cx = at(px, lo_x, hi_x, 60, width - 30)
+            top, bottom = at(py + e, lo_y, hi_y, height - 60, 30), at(py - e, lo_y, hi_y, height - 60, 30)
+            body.append(f'<line x1="{cx:.1f}" x2="{cx:.1f}" y1="{top:.1f}" y2="{bottom:.1f}" stroke="#888"/>' if e else "")
+            body.append(f'<circle cx="{cx:.1f}" cy="{at(py, lo_y, hi_y, height - 60, 30):.1f}" r="4"/>')
+    body.append(f'<text x="{width / 2}" y="{height - 15}" text-anchor="middle">{escape(x)}</text><text x="12" y="20">{escape(y)}</text>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">' + "".join(body) + "</svg>"

@@ -98,3 +98,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert [r["subset"] for r in card["curve"]] == ["all_eval", "similarity_le_0_5", "similarity_le_0_2"]
     with pytest.raises(SystemExit):
         cli.main(["audit", "--eval", "x", "--out", "y"])
+
+
+def test_tokens_of_other_structures(spark):
+    df = spark.createDataFrame([(1, [[0.1, 0.2], [1.9, 0.3], [0.4, 0.9]])], "id int, p array<array<double>>")
+    assert df.select(C.trajectory_cells(F.col("p"), 1.0)).first()[0] == ["0:0", "1:0"]
+    a, b = df.select(C.salted_tokens(F.array(F.lit("x"), F.lit("y")), "k"), C.salted_tokens(F.array(F.lit("y")), "k")).first()
+    assert b[0] == a[1] != a[0]
+    trees = spark.createDataFrame([(1, ["a", "b", "b"]), (2, ["a", "b", "c"]), (3, ["z", "z", "z"]), (4, ["a", "b"]), (5, [])], "id int, labels array<string>")
+    assert {(r.c1, r.c2, r.bound) for r in C.label_bound_join(trees, 1).collect()} == {(1, 2, 1), (1, 4, 1), (2, 4, 1)}
+
+
+def test_findings(spark):
+    from nearfield.operators import registry
+    from nearfield.sources import sinks
+
+    df = spark.createDataFrame([("f2", "Protein split", "complete"), ("f1", "protein", None), ("f3", None, "x")], "finding_id string, title string, status string")
+    assert [r.finding_id for r in registry.search_findings(df, "protein split", ["title"]).collect()] == ["f2", "f1"]
+    assert {r.finding_id: r.next_move for r in registry.next_moves(df, {"complete": "archive"}).collect()} == {"f2": "archive", "f1": "review", "f3": "review"}
+    assert sinks.svg_scatter([{"p": 0.1, "o": 1.0, "s": 0.2}, {"p": None, "o": 1.0}], "p", "o", "s").count("<circle") == 1
