@@ -31,9 +31,17 @@ FLOOR = 0.3
 UNLABELLED = 0.02
 LEAST_UNITS = 3
 HARD = 3.5
+#: Words of this many letters and more count fully; shorter ones, function words above all, by the square of
+#: their share of it: they occur at every level, whatever the few labelled texts of a language seem to say.
+FULL_LENGTH = 7
 BROADCAST_WORDS = 300_000
 
 
+def _id(word, letters):
+    """A word's hash with its number of letters (up to 15) in the lowest four bits."""
+    return F.shiftleft(word, 4).bitwiseOR(F.least(F.lit(15), letters).cast("bigint"))
+
+
 def units(documents: DataFrame) -> DataFrame:
     """``doc_id, unit, n, ids``: the pieces of every text with their distinct words (hashed) and shape words.
 
@@ -53,10 +61,10 @@ def units(documents: DataFrame) -> DataFrame:
     rows = spread(source.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", F.posexplode(pieces).alias("unit", "ws"))
     letters = F.aggregate("ws", F.lit(0), lambda a, w: a + F.length(w))
     shape = F.array(
-        F.xxhash64(F.lit("#length"), F.least(F.lit(12), F.round(letters / F.size("ws")).cast("int"))),
-        F.xxhash64(F.lit("#words"), F.least(F.lit(12), F.floor(F.size("ws") / 4).cast("int"))),
+        _id(F.xxhash64(F.lit("#length"), F.least(F.lit(12), F.round(letters / F.size("ws")).cast("int"))), F.lit(15)),
+        _id(F.xxhash64(F.lit("#words"), F.least(F.lit(12), F.floor(F.size("ws") / 4).cast("int"))), F.lit(15)),
     )
-    return rows.select("doc_id", "unit", F.size("ws").alias("n"), F.concat(F.array_distinct(F.transform("ws", lambda w: F.xxhash64(w))), shape).alias("ids"))
+    return rows.select("doc_id", "unit", F.size("ws").alias("n"), F.concat(F.array_distinct(F.transform("ws", lambda w: _id(F.xxhash64(w), F.length(w)))), shape).alias("ids"))
 
 
 def doc_labels(labels: DataFrame) -> DataFrame:
@@ -73,8 +81,9 @@ def _word_step(rows: DataFrame, mean: float, least: int) -> DataFrame:
     )
     k, s, q = F.col("k"), F.col("s"), F.col("q")
     variance = (F.greatest(q - s * s / k, F.lit(0.0)) + PRIOR * PRIOR_VARIANCE) / (k + PRIOR)
+    letters = F.least(F.lit(1.0), F.col("word").bitwiseAND(F.lit(15)) / FULL_LENGTH)
     return sums.where(F.col("c") >= least).select(
-        "word", ((s + PRIOR * mean) / (k + PRIOR)).alias("difficulty"), (1 / F.pow(variance + FLOOR, F.lit(2.0))).alias("info")
+        "word", ((s + PRIOR * mean) / (k + PRIOR)).alias("difficulty"), (letters * letters / F.pow(variance + FLOOR, F.lit(2.0))).alias("info")
     )
 
 
