@@ -234,18 +234,60 @@ def hamming_radius(codes: DataFrame, bits: int, radius: int) -> DataFrame:
     return a.join(b, ["piece", "value"]).where((F.col("c1") < F.col("c2")) & (d <= radius)).select("c1", "c2", d.alias("distance"), (1 - d / bits).alias("similarity")).distinct()
 
 
+#: From this share of filled cells on, sparse rows are multiplied as dense blocks.
+DENSE_SHARE = 0.1
+#: Rows of one side of a dense block.
+DENSE_BLOCK = 2_000
+
+
 def sparse_products(queries: DataFrame, train: DataFrame) -> DataFrame:
     """``sample_id, train_id, dot, low``: sums of products and of minima over shared keys of sparse rows ``id, key, weight``.
 
-    The inverted-index join (J10, J11, T30): only shared keys are touched.  A key held by very many
-    training rows is salted on the query side.
+    The inverted-index join (J10, J11, T30): only shared keys are touched.  Where the training rows fill a
+    tenth and more of all (row, key) cells, which is counted first, the postings of every key would hold
+    most rows; then blocks of both sides are laid out as matrices and compared in numpy, with the same
+    result.  Weights must be positive; pairs without a shared key are not listed.
     """
+    size = train.agg(F.count("*").alias("cells"), F.countDistinct("id").alias("rows"), F.countDistinct("key").alias("keys")).first()
+    if size["cells"] and size["cells"] >= DENSE_SHARE * size["rows"] * size["keys"]:
+        return _dense_products(queries, train, size["rows"])
     a = queries.select(F.col("id").alias("sample_id"), "key", F.col("weight").alias("x"))
     b = train.select(F.col("id").alias("train_id"), "key", F.col("weight").alias("y"))
     joined = a.join(b, "key").where("sample_id <> train_id")
     return joined.groupBy("sample_id", "train_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.least("x", "y")).alias("low"))
 
 
+def _dense_products(queries: DataFrame, train: DataFrame, rows: int) -> DataFrame:
+    n, m = max(1, -(-rows // DENSE_BLOCK)), max(1, -(-queries.select("id").distinct().count() // DENSE_BLOCK))
+    # other names on each side, as both may come from one table
+    side = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), F.col("key").alias(f"{s}_key"), F.col("weight").cast("double").alias(f"{s}_weight"))
+    copies = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>"))
+    q = side(queries, "a").withColumn("j", F.pmod(F.xxhash64("a_id"), F.lit(m))).withColumn("i", copies(n))
+    t = side(train, "b").withColumn("i", F.pmod(F.xxhash64("b_id"), F.lit(n))).withColumn("j", copies(m))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        keys = pd.Index(right["b_key"].unique())
+        names = []
+        grids = []
+        for df in (left, right):
+            df = df.set_axis([c.split("_")[-1] for c in df.columns], axis=1)
+            df = df[df["key"].isin(keys)]
+            code, ids = pd.factorize(df["id"])
+            grid = np.zeros((len(ids), len(keys)))
+            np.add.at(grid, (code, keys.get_indexer(df["key"])), df["weight"].to_numpy())
+            names.append(np.asarray(ids))
+            grids.append(grid)
+        parts = []
+        for k, row in enumerate(grids[0]):
+            low = np.minimum(grids[1], row).sum(axis=1)
+            ok = np.flatnonzero((low > 0) & (names[1] != names[0][k]))
+            parts.append(pd.DataFrame({"sample_id": np.repeat(names[0][k], len(ok)), "train_id": names[1][ok], "dot": grids[1][ok] @ row, "low": low[ok]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"sample_id": names[0][:0], "train_id": names[1][:0], "dot": [], "low": []})
+
+    kinds = (queries.schema["id"].dataType.simpleString(), train.schema["id"].dataType.simpleString())
+    return q.groupBy("i", "j").cogroup(t.groupBy("i", "j")).applyInPandas(run, f"sample_id {kinds[0]}, train_id {kinds[1]}, dot double, low double")
+
+
 def weighted_jaccard_pairs(queries: DataFrame, train: DataFrame) -> DataFrame:
     """Generalised Jaccard of rows that share a key: sum of maxima = both sums - sum of minima."""
     total = lambda df, name: df.groupBy("id").agg(F.sum("weight").alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators.skew import hot_keys, salted_join
-from nearfield.storage import Workspace
+from nearfield.storage import Workspace, metric
 
 #: Binary graphs denser than this are refused for split generation (fixed value).
 DENSITY_LIMIT = 0.4
@@ -64,17 +64,21 @@ def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _jump(pointers: DataFrame, workspace: Workspace) -> DataFrame:
-    """Pointer jumping: ``node, to`` until every ``to`` is a root (a node that points nowhere)."""
+    """Pointer jumping: ``node, to`` until every ``to`` is a root (a node that points nowhere).
+
+    Each pass jumps twice and counts, while writing, the nodes that still moved in its second jump.
+    """
     pointers = workspace.save(pointers, "pointers")
     while True:
-        onward = pointers.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        stepped = pointers.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
-        stepped = workspace.save(stepped, "jumped")
-        moved = stepped.agg(F.max(F.col("moved").cast("int"))).first()[0]
+        def step(p: DataFrame) -> DataFrame:
+            onward = pointers.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            return p.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
+
+        stepped = workspace.save(step(step(pointers).select("node", "to")), "jumped", moved=F.coalesce(F.sum(F.col("moved").cast("bigint")), F.lit(0)))
         workspace.drop(pointers)
         pointers = stepped.select("node", "to")
         pointers._nearfield_path = stepped._nearfield_path
-        if not moved:
+        if not metric(stepped, "moved"):
             return pointers
 
 
@@ -85,19 +89,22 @@ def merge_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
     continues with the edges between different roots, of which there are at least halved many.  Every
     round is written to the shared folder.  Self-edges are ignored, repeated edges count once.
     """
-    edges = workspace.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+    def save(e: DataFrame) -> DataFrame:
+        clean = e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return workspace.save(clean, "edges", rows=F.count(F.lit(1)))
+
+    edges = save(edges)
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     maps: list[DataFrame] = []
-    while edges.take(1):
+    while total := metric(edges, "rows"):
         hooks = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
         flat = _jump(hooks, workspace)
         maps.append(flat)
-        total = edges.count()
         to_a = flat.select(F.col("node").alias("a"), F.col("to").alias("ra"))
         to_b = flat.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         left = salted_join(edges, to_a, "a", hot_keys(edges, "a", total), "b", "left").select(F.coalesce("ra", "a").alias("a"), "b")
-        both = salted_join(left, to_b, "b", hot_keys(left, "b", total), "a", "left").select("a", F.coalesce("rb", "b").alias("b"))
-        nxt = workspace.save(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        nxt = save(salted_join(left, to_b, "b", hot_keys(left, "b", total), "a", "left").select("a", F.coalesce("rb", "b").alias("b")))
         if len(maps) > 1:  # the first table still gives the nodes
             workspace.drop(edges)
         edges = nxt

@@ -16,8 +16,13 @@ SALTS = 32
 def hot_keys(df: DataFrame, key: str, total: int, rows: int = HOT_ROWS, share: float = HOT_SHARE) -> DataFrame:
     """Keys with more than ``max(rows, share * total)`` rows: never more than ``1 / share`` keys.
 
-    Counts are exact and combined on the map side.  Null keys are not counted.
+    Counts are exact and combined on the map side.  Null keys are not counted.  With no more than ``rows``
+    rows in all there is nothing to count.
     """
+    if total <= rows:
+        none = df.sparkSession.createDataFrame([], df.select(key).schema)
+        none._nearfield_none = True
+        return none
     return df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(rows, share * total)).select(key)
 
 
@@ -34,6 +39,8 @@ def salted_join(
     the matching rows of ``small`` are copied to each piece.  ``hot`` comes from :func:`hot_keys` and has
     at most 1000 rows, which is why it may be broadcast.  ``how`` is inner or left.
     """
+    if getattr(hot, "_nearfield_none", False):
+        return big.join(small, key, how)
     flag = hot.select(F.col(key).alias("__hot"))
     left = big.join(F.broadcast(flag), F.col(key) == F.col("__hot"), "left").withColumn(
         "__salt", F.when(F.col("__hot").isNotNull(), salt_of(F.col(spread), salts=salts)).otherwise(F.lit(0))

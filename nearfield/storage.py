@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -26,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def metric(df: DataFrame, name: str):
+    """An aggregate that was observed when the table was written."""
+    return df._nearfield_metrics.get(name) or 0  # an empty plan may drop the observation
+
+
 class Workspace:
     """Named parquet tables of one operator run below the shared folder.
 
@@ -41,14 +46,20 @@ class Workspace:
         self._count += 1
         return f"{self.root}/{self._count:04d}-{name}"
 
-    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None, **metrics: Column) -> DataFrame:
+        """The table, written and read back.  ``metrics`` are aggregates observed while it is written, see :func:`metric`."""
         target = self.path(name)
+        schema = df.schema
+        seen = Observation() if metrics else None
+        if seen is not None:
+            df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
         writer = df.write.mode("error")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(target)
-        out = self.spark.read.schema(df.schema).parquet(target)
+        out = self.spark.read.schema(schema).parquet(target)
         out._nearfield_path = target
+        out._nearfield_metrics = seen.get if seen is not None else {}
         return out
 
     def drop(self, df: DataFrame | None) -> None:

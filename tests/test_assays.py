@@ -117,3 +117,17 @@ def test_findings(spark):
     assert [r.finding_id for r in registry.search_findings(df, "protein split", ["title"]).collect()] == ["f2", "f1"]
     assert {r.finding_id: r.next_move for r in registry.next_moves(df, {"complete": "archive"}).collect()} == {"f2": "archive", "f1": "review", "f3": "review"}
     assert sinks.svg_scatter([{"p": 0.1, "o": 1.0, "s": 0.2}, {"p": None, "o": 1.0}], "p", "o", "s").count("<circle") == 1
+
+
+def test_dense_and_sparse_products_agree(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, f"k{k}", float(rng.randint(1, 9))) for i in range(40) for k in range(12) if rng.random() < 0.4]
+    df = spark.createDataFrame(rows, "id bigint, key string, weight double")
+    queries = df.where("id % 5 = 0")
+    out = {}
+    for share in (0.0, 1.1):
+        monkeypatch.setattr(C, "DENSE_SHARE", share)
+        monkeypatch.setattr(C, "DENSE_BLOCK", 7)
+        out[share] = {(r.sample_id, r.train_id): (round(r.dot, 9), round(r.low, 9)) for r in C.sparse_products(queries, df).collect()}
+    assert out[0.0] == out[1.1] and out[0.0]
+    assert C.sparse_products(queries.where("false"), df).count() == 0 and C.sparse_products(queries, df.where("false")).count() == 0
