@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.operators.skew import hot_keys, salted_join
-from nearfield.storage import Workspace
+from nearfield.storage import Workspace, metric
 
 MAX_ROUNDS = 60
 
@@ -32,11 +32,12 @@ def connected_components(edges: DataFrame, workspace: Workspace, left: str = "a"
     No edges give an empty table.  The number of rounds grows with the logarithm of the longest chain.
     """
     a, b = F.col(left), F.col(right)
+    count = F.count(F.lit(1))  # counted while the table is written
     graph = workspace.save(
-        edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges"
+        edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges", rows=count
     )
     forest: list[DataFrame] = []
-    n = graph.count()
+    n = metric(graph, "rows")
     for round_no in range(MAX_ROUNDS):
         if n == 0:
             break
@@ -55,10 +56,10 @@ def connected_components(edges: DataFrame, workspace: Workspace, left: str = "a"
             .select(F.col("parent").alias("a"), F.col("low").alias("b"))
             .distinct()
         )
-        nxt = workspace.save(nxt, f"edges{round_no}")
+        nxt = workspace.save(nxt, f"edges{round_no}", rows=count)
         workspace.drop(graph)
         workspace.drop(proposals)
-        n, graph = nxt.count(), nxt
+        n, graph = metric(nxt, "rows"), nxt
     if not forest:
         return graph.select(F.col("a").alias("record_id"), F.col("b").alias("group_id"))
     if n:
