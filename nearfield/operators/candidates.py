@@ -316,12 +316,33 @@ def frac_minhash(classes: DataFrame, scaled: int) -> DataFrame:
     return classes.select("class_id", F.filter("items", lambda t: F.xxhash64(t).bitwiseAND(F.lit(2**63 - 1)) < limit).alias("items"))
 
 
-def random_fourier(df: DataFrame, id_col: str, vector: str, dims: int, features: int = 32, gamma: float = 1.0, seed: int = 3) -> DataFrame:
-    """``id, z``: random Fourier features whose dot product approximates exp(-gamma |x - y|^2)."""
+def random_fourier(df: DataFrame, id_col: str, vector: str, dims: int, features: int = 4096, gamma: float = 1.0, seed: int = 3) -> DataFrame:
+    """``id, z``: random Fourier features whose dot product approximates exp(-gamma |x - y|^2).
+
+    The error of one product is about 1 / sqrt(features), so use them to preselect and rank by the exact
+    kernel afterwards (:func:`kernel_search`).
+    """
     rng = np.random.default_rng(seed)
-    w, b = rng.normal(scale=math.sqrt(2 * gamma), size=(features, dims)), rng.uniform(0, 2 * math.pi, features)
-    z = [math.sqrt(2 / features) * F.cos(K.dot(F.col(vector), F.array(*[F.lit(float(x)) for x in w[i]])) + float(b[i])) for i in range(features)]
-    return df.select(F.col(id_col).alias("id"), F.array(*z).alias("z"))
+    w, shift = rng.normal(scale=math.sqrt(2 * gamma), size=(dims, features)), rng.uniform(0, 2 * math.pi, features)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                z = math.sqrt(2 / features) * np.cos(np.stack(part["v"].to_numpy()) @ w + shift)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "z": list(z)})
+
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, "id bigint, z array<double>")
+
+
+def kernel_search(queries: DataFrame, train: DataFrame, vector: str, dims: int, k: int, gamma: float, preselect: int, features: int = 4096) -> DataFrame:
+    """Top-k under the RBF kernel: the ``preselect`` best by random Fourier features, then the exact kernel."""
+    from nearfield.operators.edges import dense_top_k, top_k
+
+    q, t = (random_fourier(df, "id", vector, dims, features, gamma) for df in (queries, train))
+    near = dense_top_k(q, t, "id", "id", "z", preselect, "dot").select("sample_id", "train_id")
+    exact = lambda a, b: F.exp(-gamma * K.total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
+    return top_k(verify(near, queries, train, vector, exact), k, 10)
 
 
 def inner_product_transform(df: DataFrame, vector: str, largest_norm: float, query: bool) -> DataFrame:

@@ -220,8 +220,8 @@ ORACLES["inner_product_search"] = f"""
 
 
 def fourier_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.random_fourier(_embeddings(spark, d), "id", "v", 64, 64, 0.01)
-    return E.dense_top_k(rows.where("id % 50 = 0"), rows, "id", "id", "z", 10, "dot").withColumn("similarity", F.round("similarity", 6))
+    rows = _embeddings(spark, d).select("id", "v")
+    return C.kernel_search(rows.where("id % 50 = 0"), rows, "v", 64, 10, 0.01, 400).withColumn("similarity", F.round("similarity", 6))
 
 
 QUERIES["fourier_features"] = fourier_features

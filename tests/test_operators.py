@@ -257,6 +257,9 @@ def test_lsh_recall_against_exact_search(spark):
     for candidates in (C.hyperplane_candidates(queries, df, "v", 16, 6, 12), C.projection_candidates(queries, df, "v", 16, 4.0, 3, 10)):
         got = {(r.sample_id, r.train_id) for r in E.top_k(C.verify(candidates, queries, df, "v", K.spectral_angle), 10, 10).collect()}
         assert len(got & exact) / len(exact) >= 0.9
+    kernel = {(r.sample_id, r.train_id) for r in C.kernel_search(queries, df, "v", 16, 10, 0.05, 60).collect()}
+    near = {(r.sample_id, r.train_id) for r in E.dense_top_k(queries, df, "id", "id", "v", 10, "euclidean").collect()}
+    assert len(kernel & near) / len(near) >= 0.9
     ivf = {(r.sample_id, r.train_id) for r in C.ivf_top_k(queries, df, "v", 8, 3, 10).collect()}
     assert len(ivf & exact) / len(exact) >= 0.9
 
