@@ -66,7 +66,7 @@ def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def _jump(pointers: DataFrame, workspace: Workspace) -> DataFrame:
     """Pointer jumping: ``node, to`` until every ``to`` is a root (a node that points nowhere).
 
-    Each pass jumps twice and counts, while writing, the nodes that still moved in its second jump.
+    Each pass jumps twice and counts the nodes that still moved in its second jump.
     """
     pointers = workspace.save(pointers, "pointers")
     while True:

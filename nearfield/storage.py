@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -27,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def metric(df: DataFrame, name: str):
-    """An aggregate that was observed when the table was written."""
-    return df._nearfield_metrics.get(name) or 0  # an empty plan may drop the observation
+    """An aggregate that was asked for when the table was saved."""
+    return df._nearfield_metrics[name]
 
 
 class Workspace:
@@ -47,19 +47,20 @@ class Workspace:
         return f"{self.root}/{self._count:04d}-{name}"
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None, **metrics: Column) -> DataFrame:
-        """The table, written and read back.  ``metrics`` are aggregates observed while it is written, see :func:`metric`."""
+        """The table, written and read back.  ``metrics`` are aggregates over what was written, see :func:`metric`.
+
+        They are not observed during the write: a session that has observed anything can no longer ship the
+        closures of fitted models.
+        """
         target = self.path(name)
         schema = df.schema
-        seen = Observation() if metrics else None
-        if seen is not None:
-            df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
         writer = df.write.mode("error")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(target)
         out = self.spark.read.schema(schema).parquet(target)
         out._nearfield_path = target
-        out._nearfield_metrics = seen.get if seen is not None else {}
+        out._nearfield_metrics = out.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict() if metrics else {}
         return out
 
     def drop(self, df: DataFrame | None) -> None:

@@ -131,3 +131,12 @@ def test_dense_and_sparse_products_agree(spark, monkeypatch):
         out[share] = {(r.sample_id, r.train_id): (round(r.dot, 9), round(r.low, 9)) for r in C.sparse_products(queries, df).collect()}
     assert out[0.0] == out[1.1] and out[0.0]
     assert C.sparse_products(queries.where("false"), df).count() == 0 and C.sparse_products(queries, df.where("false")).count() == 0
+
+
+def test_models_still_work_after_iterative_operators(spark, workspace):
+    """Iterations must leave nothing in the session that keeps fitted models from being shipped."""
+    from nearfield.operators import baselines, graph
+
+    graph.merge_components(spark.createDataFrame([(1, 2), (2, 3)], "a bigint, b bigint"), workspace).collect()
+    df = spark.createDataFrame([([float(i), 1.0], i % 2) for i in range(20)], "v array<double>, y int")
+    assert baselines.balanced_logistic(df, df, "v", "y").count() == 20
