@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, workspace: Workspace, left: str = "a"
     No edges give an empty table.  The number of rounds grows with the logarithm of the longest chain.
     """
     a, b = F.col(left), F.col(right)
-    count = F.count(F.lit(1))  # counted while the table is written
+    count = F.count(F.lit(1))
     graph = workspace.save(
         edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges", rows=count
     )
