@@ -230,9 +230,8 @@ def review(curve: DataFrame, performance: str, higher_is_better: bool) -> DataFr
     ).select("r", "easiest", "hardest", ((F.col("easiest") - F.col("hardest")) * sign).alias("degradation"))
 
 
-#: Other names that split statistics come with (fixed values).
+#: Other names that split statistics come with (fixed values); the parameter is any column that ends so.
 STATS_ALIASES = {
-    "SPECTRA_parameter": ("SPECTRA_parameter", "spectral_parameter", "parameter"),
     "train_size": ("train_size", "n_train"),
     "test_size": ("test_size", "n_test", "n"),
     "cross_split_overlap": ("cross_split_overlap", "overlap", "mean_overlap"),
@@ -241,10 +240,12 @@ STATS_ALIASES = {
 
 def split_stats_contract(stats: DataFrame) -> DataFrame:
     """One row (C11): at least three points, overlap not rising at all or in three quarters of the steps, sizes of ten and more."""
-    named = stats.select(*[F.coalesce(*[F.col(a) for a in names if a in stats.columns]).cast("double").alias(c) if any(a in stats.columns for a in names) else F.lit(None).cast("double").alias(c) for c, names in STATS_ALIASES.items()])
-    rows = named.where("SPECTRA_parameter is not null and cross_split_overlap is not null").withColumn("subset", F.col("SPECTRA_parameter").cast("string")).withColumn("test_size", F.coalesce("test_size", F.lit(1.0)))
+    names = {"parameter": tuple(c for c in stats.columns if c.lower().endswith("parameter")), **STATS_ALIASES}
+    known = {c: [F.col(a) for a in aliases if a in stats.columns] for c, aliases in names.items()}
+    named = stats.select(*[(F.coalesce(*cols) if cols else F.lit(None)).cast("double").alias(c) for c, cols in known.items()])
+    rows = named.where("parameter is not null and cross_split_overlap is not null").withColumn("subset", F.col("parameter").cast("string")).withColumn("test_size", F.coalesce("test_size", F.lit(1.0)))
     d = F.col("delta")
-    out = _steps(rows, "SPECTRA_parameter", "cross_split_overlap").agg(
+    out = _steps(rows, "parameter", "cross_split_overlap").agg(
         F.count("*").alias("points"), F.when(F.count(d) > 0, F.count_if(d <= TOLERANCE) / F.count(d)).alias("share"), F.count_if((F.col("test_size") < 10) | (F.col("train_size") < 10)).alias("small_points")
     )
     ok = (F.col("points") >= 3) & (F.coalesce("share", F.lit(0.0)) >= 0.75)

@@ -134,7 +134,7 @@ def threshold_split(labels: DataFrame, table: DataFrame) -> tuple[DataFrame, str
 
 
 def split_id(threshold: float) -> str:
-    return f"spectra_tau_{threshold:.2f}".replace(".", "p")
+    return f"tau_{threshold:.2f}".replace(".", "p")
 
 
 def violations(split: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:

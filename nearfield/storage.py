@@ -34,13 +34,19 @@ def metric(df: DataFrame, name: str):
 class Workspace:
     """Named parquet tables of one operator run below the shared folder.
 
-    ``save`` writes and reads back; ``drop`` removes a table that no later step reads.
+    ``save`` writes and reads back; ``drop`` removes a table that no later step reads; the rest is removed
+    when the application ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/nearfield/{label}-{uuid.uuid4().hex[:12]}"
         self._count = 0
+        self._marked = False
+
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         self._count += 1
@@ -58,6 +64,10 @@ class Workspace:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(target)
+        if not self._marked:  # what is left goes when the application ends
+            path, fs = self._file(self.root)
+            fs.deleteOnExit(path)
+            self._marked = True
         out = self.spark.read.schema(schema).parquet(target)
         out._nearfield_path = target
         out._nearfield_metrics = out.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict() if metrics else {}
@@ -67,6 +77,5 @@ class Workspace:
         target = getattr(df, "_nearfield_path", None)
         if target is None:
             return
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(target)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._file(target)
+        fs.delete(path, True)

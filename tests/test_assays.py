@@ -51,7 +51,7 @@ def test_focused_splits(spark, workspace):
     labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(rows)], "id string, label int")
     table, splits = A.focused_splits(sets, labels, workspace, (0.5, 0.3))
     got = {r.split_id: r for r in table.collect()}
-    assert set(got) == {"spectra_tau_0p50", "spectra_tau_0p30"} == set(splits)
+    assert set(got) == {"tau_0p50", "tau_0p30"} == set(splits)
     assert all(r.status == "valid" and r.train_size + r.test_size == 80 and r.violations == 0 for r in got.values())
     assert sum(r.recommended for r in got.values()) == 1
 
@@ -140,3 +140,13 @@ def test_models_still_work_after_iterative_operators(spark, workspace):
     graph.merge_components(spark.createDataFrame([(1, 2), (2, 3)], "a bigint, b bigint"), workspace).collect()
     df = spark.createDataFrame([([float(i), 1.0], i % 2) for i in range(20)], "v array<double>, y int")
     assert baselines.balanced_logistic(df, df, "v", "y").count() == 20
+
+
+def test_split_statistics_contract(spark):
+    from nearfield.operators import curve
+
+    good = spark.createDataFrame([(p / 4, 100, 50, 1 - p / 4) for p in range(5)], "some_parameter double, n_train int, n_test int, overlap double")
+    row = curve.split_stats_contract(good).first()
+    assert row.valid and row.monotonic and row.points == 5 and row.small_points == 0
+    assert not curve.split_stats_contract(good.limit(2)).first().valid
+    assert not curve.split_stats_contract(good.drop("overlap")).first().valid
