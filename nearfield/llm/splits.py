@@ -102,7 +102,8 @@ def update(state: DataFrame, records: DataFrame, edges: DataFrame, targets: Data
     """The next state after a batch: ``records`` (``record_id``) and ``edges`` (``a, b``).
 
     Records of the state and of the batch are the result; ids in edges that are neither are ignored only
-    if null.  ``targets`` has ``split, fraction`` (a handful of rows).  Repeated records and edges count
+    if null.  ``targets`` has ``split, fraction`` (a handful of rows); without any usable row new components
+    stay without a split.  Repeated records and edges count
     once; an empty batch returns the state unchanged.
     """
     goal = {r["split"]: float(r["fraction"]) for r in targets.where("split is not null and fraction > 0").collect()}
@@ -140,7 +141,8 @@ def update(state: DataFrame, records: DataFrame, edges: DataFrame, targets: Data
     held = {r["split"]: r["n"] for r in totals.collect()}  # one row a split
     new = groups.where(F.col("lo").isNull() & ~F.col("was")).select("component", "n")
     total = sum(held.values()) + (new.agg(F.sum("n")).first()[0] or 0)
-    filled = _fill(new, held, goal, total, workspace).withColumn("status", F.lit("new"))
+    placed = _fill(new, held, goal, total, workspace) if goal else new.select("component", F.lit(None).cast("string").alias("split"))
+    filled = placed.withColumn("status", F.lit("new"))
     decided = workspace.save(kept.drop("n").unionByName(filled), "decided")
     hot = hot_keys(named, "component", named.count())
     out = salted_join(named.select("record_id", "component"), decided, "component", hot, "record_id")

@@ -91,6 +91,11 @@ def test_empty_batch_and_empty_state(spark, workspace, targets):
     assert [tuple(r) for r in run(spark, [], targets, state, workspace).collect()] == [("b", "b", "train", "kept")]
 
 
+def test_without_targets_new_components_have_no_split(spark, workspace, targets):
+    state = run(spark, [("a", "r", 1, None, 0, ""), ("b", "r", 1, None, 0, "")], targets.where("false"), splits.empty_state(spark), workspace)
+    assert {(r.record_id, r.component, r.split, r.status) for r in state.collect()} == {("a", "a", None, "new"), ("b", "a", None, "new")}
+
+
 def test_tightest_fit_tree():
     rng = random.Random(9)
     tree, open_ = packing.TightestFit(300), []
