@@ -65,7 +65,7 @@ def _dtw_similarity(a, b, form: str, scale: float, window: int | None) -> float
 
 
 def spectrum_cosine(a, b, tolerance: float = 0.01) -> float | None:
-    """Greedy two-pointer match of sorted peaks within the tolerance, L2-normalised; two empty spectra are 1, one is 0."""
+    """Greedy two-pointer match of sorted peaks within the tolerance, L2-normalised; two empty peak lists are 1, one is 0."""
     if a is None or b is None:
         return None
     x = sorted((p["mz"], p["intensity"]) for p in a if p["intensity"] > 0)
