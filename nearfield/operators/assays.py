@@ -11,6 +11,7 @@ from nearfield.functions import features
 from nearfield.functions import kernels as K
 from nearfield.operators import candidates as C
 from nearfield.operators import graph as G
+from nearfield.operators import setblocks as SB
 from nearfield.operators import splits as S
 from nearfield.operators.edges import block_pairs
 from nearfield.schema import require
@@ -101,30 +102,42 @@ def node_index(nodes: DataFrame) -> DataFrame:
 def focused_splits(sets: DataFrame, labels: DataFrame, workspace: Workspace, thresholds: Sequence[float] = S.SWEEP) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The focused split pipeline (B5): one row a threshold, and the splits by id.
 
-    ``sets`` has ``id, items``, ``labels`` has ``id, label`` (0 or 1).  The edges at the smallest threshold
-    are found once by the prefix join; larger thresholds are filters of them.  Per threshold: components,
-    packing, check of the cross edges, similarity summary, label rate.  ``recommended`` marks the valid
-    split of lowest mean similarity whose label rate is within 0.1 of the whole.
+    ``sets`` has ``id, items``, ``labels`` has ``id, label`` (0 or 1).  Every pair of rows counts in the
+    packing order and in the similarity summary, whatever the thresholds are: pairs are never listed but
+    compared in blocks of equal sets (:mod:`setblocks`), once for the components, once for what lies
+    outside of them and once for the splits.  Per threshold: components, packing, check of the cross
+    edges, similarity summary, label rate.  ``recommended`` marks the valid split of lowest mean
+    similarity whose label rate is within 0.1 of the whole.
     """
-    low = min(thresholds)
     members, classes = C.set_classes(sets, "id", "items")
     members, classes = workspace.save(members, "members"), workspace.save(classes, "classes")
-    near = C.prefix_jaccard(classes, low).select(F.col("c1").alias("i"), F.col("c2").alias("j"), F.col("similarity").alias("w"))
-    # equal sets: every member hangs on the id of its class
-    same = members.where("id <> class_id").select(F.least("id", "class_id").alias("i"), F.greatest("id", "class_id").alias("j"), F.lit(1.0).alias("w"))
-    edges = workspace.save(near.unionByName(same), "edges")
-    nodes = workspace.save(members.select("id"), "nodes")
+    counts = members.groupBy("class_id").agg(F.count("*").alias("m"))
+    folded = workspace.save(classes.join(counts, "class_id").select("class_id", F.transform("items", lambda x: F.xxhash64(x)).alias("items"), "m"), "folded")
+    forest = workspace.save(SB.forest(folded, min(thresholds)), "forest")
+    nodes = folded.select(F.col("class_id").alias("id"))
+    found = [workspace.save(G.components(forest, nodes, t, workspace), "components") for t in thresholds]
+    tagged = folded
+    for k, f in enumerate(found):
+        tagged = tagged.join(f.select(F.col("id").alias("class_id"), F.col("component").alias(f"__{k}")), "class_id")
+    tagged = workspace.save(tagged.select("class_id", "items", "m", F.array(*[f"__{k}" for k in range(len(found))]).alias("tags")), "tagged")
+    tables = workspace.save(SB.component_tables(tagged), "tables")
+    splits, packed, tested = {}, [], folded
+    for k, t in enumerate(thresholds):
+        rows = members.join(found[k].select(F.col("id").alias("class_id"), "component"), "class_id").select("id", "component")
+        split, status = S.threshold_split(rows, tables.where(F.col("k") == k))
+        splits[S.split_id(t)] = split = workspace.save(split, "split")
+        packed.append(status)
+        tested = tested.join(split.select(F.col("sample_id").alias("class_id"), (F.col("split") == "test").alias(f"__{k}")), "class_id")
+    tested = workspace.save(tested.select("class_id", "items", "m", F.array(*[f"__{k}" for k in range(len(found))]).alias("tags")), "tested")
+    summaries = workspace.save(SB.split_summaries(tested, thresholds), "summaries")
     rate = labels.agg(F.avg("label")).first()[0] or 0.0
-    rows, splits = None, {}
-    for t in thresholds:
-        found = G.components(edges, nodes, t, workspace)
-        split, status = S.threshold_split(found, workspace.save(G.component_table(found, edges), "table"))
-        split = workspace.save(split, "split")
-        splits[S.split_id(t)] = split
-        test_rate = split.where("split = 'test'").join(labels.withColumnRenamed("id", "sample_id"), "sample_id").agg(F.avg("label").alias("test_rate"))
-        crossed = S.violations(split, edges, t).select("violations", F.col("status").alias("checked"))
-        row = S.split_summary(split, edges).crossJoin(test_rate).crossJoin(crossed).withColumns({"threshold": F.lit(float(t)), "split_id": F.lit(S.split_id(t)), "packed": F.lit(status)})  # one row each
+    rows = None
+    for k, t in enumerate(thresholds):
+        test_rate = splits[S.split_id(t)].where("split = 'test'").join(labels.withColumnRenamed("id", "sample_id"), "sample_id").agg(F.avg("label").alias("test_rate"))
+        checked = F.when((F.col("train_size") == 0) | (F.col("test_size") == 0), "invalid_empty_train_or_test").when(F.col("violations") > 0, "invalid_threshold_violation")
+        one = summaries.where(F.col("k") == k).drop("k", "violations").crossJoin(test_rate).crossJoin(summaries.where(F.col("k") == k).select("violations"))  # one row each
+        row = one.withColumns({"threshold": F.lit(float(t)), "split_id": F.lit(S.split_id(t)), "status": F.coalesce(checked, F.lit(packed[k]))})
         rows = row if rows is None else rows.unionByName(row)
-    rows = workspace.save(rows.withColumn("status", F.when(F.col("checked") != "valid", F.col("checked")).otherwise(F.col("packed"))).drop("checked", "packed"), "sweep")
+    rows = workspace.save(rows, "sweep")
     best = rows.where((F.col("status") == "valid") & (F.abs(F.col("test_rate") - rate) <= 0.1)).orderBy(F.asc_nulls_last("mean_max"), "split_id").limit(1).select("split_id", F.lit(True).alias("recommended"))
     return rows.join(F.broadcast(best), "split_id", "left").withColumn("recommended", F.coalesce("recommended", F.lit(False))), splits

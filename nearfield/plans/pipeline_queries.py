@@ -229,7 +229,7 @@ def focused_splits(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "focused_molecules").groupBy("sample_id").agg(F.min("smiles").alias("smiles"), F.max("y").alias("y"))
     sets = rows.select(F.col("sample_id").alias("id"), features.token_set(F.col("smiles"), ".").alias("items"))
     labels = rows.where("y is not null").select(F.col("sample_id").alias("id"), (F.col("y") > 0).cast("int").alias("label"))
-    return rounded(AS.focused_splits(sets, labels, Workspace(spark, "focused"), (0.8, 0.6, 0.4, 0.3))[0])
+    return rounded(AS.focused_splits(sets, labels, Workspace(spark, "focused"))[0])
 
 
 QUERIES["focused_splits"] = focused_splits

@@ -150,3 +150,47 @@ def test_split_statistics_contract(spark):
     assert row.valid and row.monotonic and row.points == 5 and row.small_points == 0
     assert not curve.split_stats_contract(good.limit(2)).first().valid
     assert not curve.split_stats_contract(good.drop("overlap")).first().valid
+
+
+def test_focused_splits_count_every_pair(spark, workspace, monkeypatch):
+    """Weak overlaps and repeated sets, against the whole matrix, over all fixed thresholds."""
+    from nearfield.operators import setblocks
+    from nearfield.operators import splits as S
+
+    monkeypatch.setattr(setblocks, "SET_BLOCK", 17)
+    rng = random.Random(4)
+    sets = {f"r{i:03d}": frozenset([f"m{rng.randint(0, 45)}", *rng.sample([f"s{k}" for k in range(12)], rng.randint(1, 4))]) for i in range(90)}
+    sets |= {f"z{i}": sets[f"r{i * 7:03d}"] for i in range(8)}
+    ids = sorted(sets)
+    w = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in ids for b in ids}
+    labels = spark.createDataFrame([(a, k % 2) for k, a in enumerate(ids)], "id string, label int")
+    table, splits = A.focused_splits(spark.createDataFrame([(a, sorted(s)) for a, s in sets.items()], "id string, items array<string>"), labels, workspace)
+    got = {r.threshold: r for r in table.collect()}
+    assert set(got) == set(S.SWEEP)
+    for t, row in got.items():
+        component = {a: a for a in ids}
+        for a in ids:
+            for b in ids:
+                if w[a, b] >= t and component[a] != component[b]:
+                    low, high = sorted((component[a], component[b]))
+                    component = {x: low if c == high else c for x, c in component.items()}
+        parts = {}
+        for a, c in component.items():
+            parts.setdefault(c, []).append(a)
+        order = []
+        for c, inside in parts.items():
+            cross = [w[a, b] for a in inside for b in ids if component[b] != c]
+            order.append((-max(cross, default=0), -round(sum(cross) / max(len(cross), 1), 12), len(inside), c))
+        test, least, most = set(), 15, 24  # of 98 rows
+        for enough in (20, least):
+            for *_, size, c in sorted(order):
+                if len(test) >= enough:
+                    break
+                if c not in test and len(parts[c]) + len(test) <= most and not test & set(parts[c]):
+                    test |= set(parts[c])
+        assert {r.sample_id for r in splits[row.split_id].where("split = 'test'").collect()} == test
+        best = [max(w[a, b] for b in ids if b not in test) for a in test]
+        if test:
+            assert row.mean_max == pytest.approx(sum(best) / len(best)) and row.max_max == pytest.approx(max(best))
+            assert row.mean_mean == pytest.approx(sum(w[a, b] for a in test for b in ids if b not in test) / len(test) / (len(ids) - len(test)))
+        assert (row.train_size, row.test_size, row.violations) == (len(ids) - len(test), len(test), 0)
