@@ -210,7 +210,10 @@ class ItemIndex:
             if (o, j - i) in walked and (o, i - 1, j - 1) in walked:
                 walked.add((o, i, j))  # an unbroken run was walked from its first window
                 continue
-            run = run_from_seed(self.items[o][1], i, tokens, j)
+            words_ = self.items[o][1]
+            if words_[i : i + WINDOW] != tokens[j : j + WINDOW]:
+                continue  # only near: nothing was walked, so the windows after it are still to be tried
+            run = run_from_seed(words_, i, tokens, j)
             walked.add((o, j - i))
             walked.add((o, i, j))
             if run:

@@ -82,6 +82,18 @@ def test_runs_are_found_exactly_as_defined():
     assert checked > 30
 
 
+def test_a_near_window_before_a_run_hides_nothing():
+    """Item and document differ in one word before a run, and the window with that word is within the radius."""
+    rng = random.Random(11)
+    vectors = leakage._Vectors()
+    rest = passage(rng, 20)
+    first = int(leakage.fingerprints(["x", *rest[:3]], vectors)[0])
+    near = next(w for w in (f"w{k}" for k in range(100_000)) if (int(leakage.fingerprints([w, *rest[:3]], vectors)[0]) ^ first).bit_count() <= leakage.RADIUS)
+    index = leakage.ItemIndex([(7, ["x", *rest])])
+    doc = [near, *rest]
+    assert [leak[:3] for leak in index.leaks(doc, leakage.fingerprints(doc, vectors))] == [(7, 20, 0)]
+
+
 def leakage_run(item, doc):
     """Runs that begin and end with words of their own, by walking from every common window."""
     windows = {}
