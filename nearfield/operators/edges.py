@@ -64,7 +64,8 @@ def top_k(edges: DataFrame, k: int, digits: int | None = None) -> DataFrame:
 def dense_top_k(queries: DataFrame, train: DataFrame, query_id: str, train_id: str, vector: str, k: int, metric: str = "cosine", scale: float = 1.0, raw: bool = False, self_pairs: bool = False, block: int = BLOCK) -> DataFrame:
     """Exact dense top-k (J2) by blocks of matrix products; only each block's k best rows leave it.
 
-    Metrics: cosine (zero vectors keep norm 1; shifted to 0..1 unless raw), dot, euclidean (exp(-d/scale)).
+    Metrics: cosine (zero vectors keep norm 1; shifted to 0..1 unless raw), dot, euclidean (exp(-d/scale)),
+    rbf (exp(-scale d^2)).
     Similarities are rounded to ten digits before ranking.  Vectors with null or non-finite parts fail.
     """
     out = "sample_id long, train_id long, similarity double"
@@ -85,7 +86,7 @@ def dense_top_k(queries: DataFrame, train: DataFrame, query_id: str, train_id: s
             sim = a @ b.T
         else:
             d = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0.0)
-            sim = np.exp(-np.sqrt(d) / scale)
+            sim = np.exp(-scale * d) if metric == "rbf" else np.exp(-np.sqrt(d) / scale)
         sim = np.round(sim, 10)
         ids, theirs = left["sample_id"].to_numpy(), right["train_id"].to_numpy()
         if not self_pairs:

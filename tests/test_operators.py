@@ -264,6 +264,22 @@ def test_lsh_recall_against_exact_search(spark):
     assert len(ivf & exact) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("rows", [400, 4000])
+def test_kernel_search_is_whole_where_the_features_cannot_tell(spark, rows):
+    """Kernel values closer together than the noise of the features, and few rows preselected."""
+    import numpy as np
+
+    points = np.random.default_rng(rows).normal(size=(rows, 16))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id bigint, v array<double>")
+    got = {(r.sample_id, r.train_id) for r in C.kernel_search(df.where("id % 100 = 0"), df, "v", 16, 10, 0.0005, 20, 512).collect()}
+    want = set()
+    for i in range(0, rows, 100):
+        d = ((points - points[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        want |= {(i, int(j)) for j in np.argsort(d)[:10]}
+    assert got == want
+
+
 def test_fallback_serves_queries_without_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1])], "id bigint, v array<double>")
     none = spark.createDataFrame([], "sample_id bigint, train_id bigint, similarity double")
