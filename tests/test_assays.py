@@ -194,3 +194,18 @@ def test_focused_splits_count_every_pair(spark, workspace, monkeypatch):
             assert row.mean_max == pytest.approx(sum(best) / len(best)) and row.max_max == pytest.approx(max(best))
             assert row.mean_mean == pytest.approx(sum(w[a, b] for a in test for b in ids if b not in test) / len(test) / (len(ids) - len(test)))
         assert (row.train_size, row.test_size, row.violations) == (len(ids) - len(test), len(test), 0)
+
+
+def test_mahalanobis_takes_every_part_of_the_embeddings(spark):
+    """The query over the smallest table, against numpy."""
+    import __spark_entry__ as entry
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    d = "/root/testdata/sf0.001"
+    t = pq.read_table(f"{d}/embeddings.parquet").to_pydict()
+    v = dict(zip(t["vec_id"], np.array(t["embedding"], dtype=float)))
+    inverse = np.linalg.pinv(np.cov(np.array(list(v.values())).T) + 1e-6 * np.eye(64))
+    want = {(a, b): np.exp(-np.sqrt((v[a] - v[b]) @ inverse @ (v[a] - v[b]))) for a in v if a % 50 == 0 for b in v if a != b}
+    got = {(r.sample_id, r.train_id): r.similarity for r in entry.queries()["kernel_mahalanobis_full"](spark, d).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
