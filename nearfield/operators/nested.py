@@ -9,7 +9,10 @@ once, partitioned by tag, and each table is then read from its own partition und
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
+from json.decoder import scanstring
 from typing import Any
 
 import pandas as pd
@@ -25,7 +28,7 @@ TABLES: dict[str, str] = {
     "finding": "record_no int, finding_id string, status string, known_gaps array<string>",
     "model": "model_no int, finding_id string, name string, execution_mode string, source_url_or_repo string",
     "checkpoint": (
-        "model_no int, finding_id string, execution_mode string, checkpoint_path string, depth int, "
+        "model_no int, finding_id string, execution_mode string, position int, checkpoint_path string, depth int, "
         "filename string, source_url_or_repo string, bytes_reported string"
     ),
     "checksum": "checksum_no int, kind string, value string",
@@ -34,19 +37,102 @@ TABLES: dict[str, str] = {
 }
 
 
+#: Rows that one emitted frame holds.
+FRAME_ROWS = 20_000
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+_LITERALS = {"true": True, "false": False, "null": None}
+
+
+class Number(str):
+    """A JSON number as it was written."""
+
+
 def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
 
+def _read_deep(text: str) -> Any:
+    """A JSON text of any depth, read with a stack of its own; ``ValueError`` if it is none."""
+    root: list = []
+    stack: list = [root]  # the containers that are open; a key that waits for its value stands in ``keys``
+    keys: list = [None]
+    at = _BLANK.match(text).end()
+    while True:
+        # one value
+        c = text[at : at + 1]
+        opened = False
+        if c == "{" or c == "[":
+            value: Any = {} if c == "{" else []
+            at += 1
+            opened = True
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        else:
+            word = next((w for w in _LITERALS if text.startswith(w, at)), None)
+            if word:
+                value, at = _LITERALS[word], at + len(word)
+            else:
+                number = _NUMBER.match(text, at)
+                if not number:
+                    raise ValueError("no value")
+                value, at = Number(number.group()), number.end()
+        top = stack[-1]
+        if isinstance(top, list):
+            top.append(value)
+        else:
+            top[keys[-1]] = value
+        if opened:
+            stack.append(value)
+            keys.append(None)
+        # what follows it, up to the start of the next value
+        while True:
+            at = _BLANK.match(text, at).end()
+            top = stack[-1]
+            if top is root:
+                if at != len(text):
+                    raise ValueError("text after the value")
+                return root[0]
+            c = text[at : at + 1]
+            if c == ("]" if isinstance(top, list) else "}"):
+                stack.pop()
+                keys.pop()
+                at += 1
+                opened = False
+                continue
+            if not opened:
+                if c != ",":
+                    raise ValueError("no comma")
+                at = _BLANK.match(text, at + 1).end()
+            if isinstance(top, dict):
+                if text[at : at + 1] != '"':
+                    raise ValueError("no key")
+                keys[-1], at = scanstring(text, at + 1, True)
+                at = _BLANK.match(text, at).end()
+                if text[at : at + 1] != ":":
+                    raise ValueError("no colon")
+                at = _BLANK.match(text, at + 1).end()
+            break
+
+
+def read_json(text: str) -> Any:
+    """A JSON text; numbers stay as written.  Texts nested deeper than the library's reader allows are read by :func:`_read_deep`."""
+    try:
+        return json.loads(text, parse_constant=_no_constant, parse_int=Number, parse_float=Number)
+    except RecursionError:
+        return _read_deep(text)
+
+
 def _open(value: Any) -> Any:
     """A text that is itself a JSON object or list is read as such, again and again; the rest is as it is."""
-    while isinstance(value, str):
+    while isinstance(value, str) and not isinstance(value, Number):
         text = value.strip()
         if not text or text[0] not in "{[":
             return value
         try:
-            inner = json.loads(text, parse_constant=_no_constant)
-        except (ValueError, RecursionError):
+            inner = read_json(text)
+        except ValueError:
             return value
         if not isinstance(inner, (dict, list)):
             return value
@@ -64,10 +150,28 @@ def _entries(value: Any) -> list[tuple[int, Any]]:
 
 
 def _text(value: Any) -> str | None:
-    """A scalar as it was written; objects and lists as JSON."""
+    """A scalar as it was written; objects and lists, of any depth, as JSON."""
     if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False)
+        return None if value is None else str(value)
+    out: list[str] = []
+    stack: list = [value]  # values, and marks of text to write as it is
+    while stack:
+        v = stack.pop()
+        if isinstance(v, tuple):
+            out.append(v[0])
+        elif isinstance(v, dict):
+            parts: list = []
+            for k, x in v.items():
+                parts += [(", ",) if parts else ("",), (json.dumps(k, ensure_ascii=False) + ": ",), x]
+            stack += [("}",), *reversed(parts), ("{",)]
+        elif isinstance(v, list):
+            parts = []
+            for x in v:
+                parts += [(", ",) if parts else ("",), x]
+            stack += [("]",), *reversed(parts), ("[",)]
+        else:
+            out.append(str(v) if isinstance(v, Number) else json.dumps(v, ensure_ascii=False))
+    return "".join(out)
 
 
 def _dump(**fields: Any) -> str:
@@ -78,16 +182,16 @@ def visit(payload: str | None) -> Iterator[tuple[str, str, str | None, str]]:
     """Depth-first visit of one payload: ``(tag, pk, parent_pk, payload)`` below the delivery.
 
     Null, empty, cut-off or otherwise invalid payloads give one ``reject`` row; valid JSON without
-    records gives nothing.  The walk keeps its own stack, so that long ``derived_from`` chains are safe.
+    records gives nothing.  Reader and walk keep their own stacks, so payloads may be nested to any depth.
+    Checkpoints are numbered within their model in the order of the visit.  ``position`` is a checkpoint's
+    own place; ``checkpoint_path``, all places from the model on, is written for checkpoints with a source
+    of their own only, as a chain of n checkpoints has paths of n^2 / 2 places in all.
     """
     if payload is None or not payload.strip():
         yield "reject", "0", None, _dump(reason="empty")
         return
     try:
-        root = _open(json.loads(payload, parse_constant=_no_constant))
-    except RecursionError:
-        yield "reject", "0", None, _dump(reason="too deep")
-        return
+        root = _open(read_json(payload))
     except ValueError:
         yield "reject", "0", None, _dump(reason="invalid")
         return
@@ -138,15 +242,18 @@ def visit(payload: str | None) -> Iterator[tuple[str, str, str | None, str]]:
                     source_url_or_repo=_text(model.get("source_url_or_repo")),
                 ),
             )
-            stack = [(model_pk, (), no, entry) for no, entry in reversed(_entries(model.get("weights_or_checkpoint")))]
+            # (parent key, place in the tree as (places above, own place, depth), entry)
+            stack = [(model_pk, (None, no, 1), entry) for no, entry in reversed(_entries(model.get("weights_or_checkpoint")))]
+            number = 0
             while stack:
-                parent, path, no, entry = stack.pop()
-                path = (*path, no)
-                here = f"{model_pk}/c{'.'.join(map(str, path))}"
+                parent, place, entry = stack.pop()
                 if isinstance(entry, list):  # a list inside a list: its entries stand one step deeper
-                    stack.extend((parent, path, i, x) for i, x in reversed(_entries(entry)))
+                    stack.extend((parent, (place, i, place[2] + 1), x) for i, x in reversed(_entries(entry)))
                     continue
+                here = f"{model_pk}/c{number}"
+                number += 1
                 fields = entry if isinstance(entry, dict) else {"source_url_or_repo": entry}
+                source = _text(fields.get("source_url_or_repo"))
                 yield (
                     "checkpoint",
                     here,
@@ -155,17 +262,26 @@ def visit(payload: str | None) -> Iterator[tuple[str, str, str | None, str]]:
                         model_no=model_no,
                         finding_id=finding_id,
                         execution_mode=mode,
-                        checkpoint_path=".".join(map(str, path)),
-                        depth=len(path),
+                        position=place[1],
+                        checkpoint_path=_path(place) if source else None,
+                        depth=place[2],
                         filename=_text(fields.get("filename")),
-                        source_url_or_repo=_text(fields.get("source_url_or_repo")),
+                        source_url_or_repo=source,
                         bytes_reported=_text(fields.get("bytes_reported")),
                     ),
                 )
                 for i, check in _entries(fields.get("checksums")):
                     if isinstance(check, dict):
                         yield "checksum", f"{here}/h{i}", here, _dump(checksum_no=i, kind=_text(check.get("kind")), value=_text(check.get("value")))
-                stack.extend((here, path, i, x) for i, x in reversed(_entries(fields.get("derived_from"))))
+                stack.extend((here, (place, i, place[2] + 1), x) for i, x in reversed(_entries(fields.get("derived_from"))))
+
+
+def _path(place: tuple) -> str:
+    parts = []
+    while place is not None:
+        parts.append(str(place[1]))
+        place = place[0]
+    return ".".join(reversed(parts))
 
 
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,12 +289,14 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         for delivery, payload in zip(batch["delivery_id"], batch["payload"]):
             key = None if pd.isna(delivery) else int(delivery)
-            prefix = f"{'' if key is None else key}:"
+            # one delivery id may come with several payloads: the key names both
+            mark = "" if payload is None else blake2b(payload.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+            prefix = f"{'' if key is None else key}:{mark}:"
             for tag, pk, parent, body in visit(payload):
                 rows.append((tag, key, prefix + pk, prefix + parent if parent else None, body))
-            if len(rows) >= 20_000:
-                yield _frame(rows)
-                rows = []
+                if len(rows) >= FRAME_ROWS:
+                    yield _frame(rows)
+                    rows = []
         if rows:
             yield _frame(rows)
 
@@ -198,11 +316,11 @@ def tagged_rows(deliveries: DataFrame, id_col: str = "delivery_id", payload_col:
 def flatten(deliveries: DataFrame, workspace: Workspace, id_col: str = "delivery_id", payload_col: str = "payload") -> dict[str, DataFrame]:
     """All flat tables of :data:`TABLES`.
 
-    Each has ``delivery_id, pk, parent_pk`` and its own columns; ``pk`` is unique among the rows of one
-    payload and ``parent_pk`` is the ``pk`` of the row above (findings have none).  The payloads are
-    parsed once; reading one table touches only its partition of the tagged rows.  An empty input gives
-    empty tables; extra input columns are ignored; if one delivery comes with two different payloads,
-    the rows of both are kept.
+    Each has ``delivery_id, pk, parent_pk`` and its own columns; ``pk``, made of the delivery, a hash of the
+    payload and the place in it, is unique in its table and ``parent_pk`` is the ``pk`` of the row above
+    (findings have none).  The payloads are parsed once; reading one table touches only its partition of the
+    tagged rows.  An empty input gives empty tables; extra input columns are ignored; if one delivery comes
+    with two different payloads, the rows of both are kept, under keys of their own.
     """
     tagged = workspace.save(tagged_rows(deliveries, id_col, payload_col), "tagged", ["tag"])
     out = {}

@@ -93,14 +93,22 @@ def flatten_provenance(records: DataFrame, columns: dict[str, str]) -> DataFrame
     return out
 
 
-def provenance_contract(findings: DataFrame, checkpoints: DataFrame, sources: DataFrame) -> DataFrame:
-    """R13 per finding: does it have an id, a status, a checkpoint with a source and a data source; ``complete`` if all."""
-    key = ["delivery_id", "finding_id"]
-    has_checkpoint = checkpoints.where("source_url_or_repo is not null").select(*key).distinct().withColumn("has_checkpoint", F.lit(True))
-    has_data = sources.where("role = 'dataset_sources'").select(*key).distinct().withColumn("has_dataset", F.lit(True))
+def provenance_contract(tables: dict[str, DataFrame]) -> DataFrame:
+    """R13 per finding: does it have an id, a status, a checkpoint with a source and a data source; ``complete`` if all.
+
+    ``tables`` come from :func:`nearfield.operators.nested.flatten`; rows are matched along their keys, so
+    findings without an id, and several of one id, keep what is theirs.
+    """
+    blank = F.length(F.trim(F.coalesce("source_url_or_repo", F.lit("")))) == 0
+    models = tables["model"].select("pk", F.col("parent_pk").alias("finding"))
+    # a checkpoint's key begins with that of its model, however deep it stands
+    with_source = tables["checkpoint"].where(~blank).select(F.regexp_extract("pk", r"^(.*/m\d+)/c\d+$", 1).alias("pk")).distinct()
+    has_checkpoint = models.join(with_source, "pk", "left_semi").select(F.col("finding").alias("pk")).distinct().withColumn("has_checkpoint", F.lit(True))
+    has_data = tables["source"].where("role = 'dataset_sources'").select(F.col("parent_pk").alias("pk")).distinct().withColumn("has_dataset", F.lit(True))
     false = F.lit(False)
-    out = findings.join(has_checkpoint, key, "left").join(has_data, key, "left").select(
+    out = tables["finding"].join(has_checkpoint, "pk", "left").join(has_data, "pk", "left").select(
         "delivery_id",
+        "pk",
         "finding_id",
         F.coalesce(F.length(F.trim("finding_id")) > 0, false).alias("has_id"),
         F.coalesce(F.length(F.trim("status")) > 0, false).alias("has_status"),

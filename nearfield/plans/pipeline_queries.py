@@ -149,7 +149,7 @@ QUERIES["catalog_validation"] = lambda s, d: registry.validate(strategies.entrie
 
 def provenance_contract(spark: SparkSession, d: str) -> DataFrame:
     t = nested.flatten(table(spark, d, "provenance_deliveries"), Workspace(spark, "contract"))
-    return registry.provenance_contract(t["finding"], t["checkpoint"], t["source"])
+    return registry.provenance_contract(t)
 
 
 QUERIES["provenance_contract"] = provenance_contract

@@ -2,7 +2,7 @@
 
 Iterative operators cut their lineage by writing parquet and reading it back, so that a lost executor
 costs only the tasks that were running.  The folder is ``spark.checkpoint.dir`` of the session; only
-where that is unset (tests, a laptop) a folder of the local machine is used.
+where that is unset and the session runs in one process (tests, a laptop) a folder of the machine is used.
 """
 
 from __future__ import annotations
@@ -15,11 +15,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 _LOCAL: dict[str, str] = {}
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or (master.startswith("local[") and not master.startswith("local-cluster"))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session."""
+    """The shared folder of this session; without one, a cluster is refused, as its executors share no local folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="nearfield-")

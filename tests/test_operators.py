@@ -137,10 +137,59 @@ def test_deep_chain_and_empty_input(spark, workspace):
         chain = {"derived_from": chain}
     rows = list(nested.visit(json.dumps({"provenance": {"model_source": {"weights_or_checkpoint": chain}}})))
     assert sum(r[0] == "checkpoint" for r in rows) == 301
+    deep = '{"provenance": {"finding_id": "f", "model_source": {"weights_or_checkpoint": ' + '[{"derived_from": ' * 100_000 + '{"source_url_or_repo": 1.50}' + "}]" * 100_000 + "}}}"
+    bottom = list(nested.visit(deep))[-1]
+    assert json.loads(bottom[3])["depth"] == 100_001 and json.loads(bottom[3])["source_url_or_repo"] == "1.50"
+    again = list(nested.visit(json.dumps({"provenance": {"model_source": {"name": "m", "weights_or_checkpoint": deep}}})))
+    assert [r[0] for r in again] == ["finding", "model", "checkpoint"]  # JSON within a text, of any depth, is no source
+    assert [r[0] for r in nested.visit("[" * 100_000)] == ["reject"]
     empty = nested.flatten(spark.createDataFrame([], "delivery_id bigint, payload string"), workspace)
     assert all(t.count() == 0 for t in empty.values())
 
 
+def test_the_deep_reader_agrees_with_the_library():
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.randint(0, 7 if depth < 5 else 5)
+        simple = [None, True, False, rng.randint(-99, 99), rng.random() * 10 ** rng.randint(-9, 9), rng.choice(["", "a\"b\\", "ü\n", "{"])]
+        if kind < 6:
+            return simple[kind]
+        items = [value(depth + 1) for _ in range(rng.randint(0, 3))]
+        return items if kind == 6 else {rng.choice(["a", "b", "ü"]): x for x in items}
+
+    def plain(v):
+        return float(v) if isinstance(v, nested.Number) else [plain(x) for x in v] if isinstance(v, list) else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    for _ in range(300):
+        v = value(0)
+        text = json.dumps(v, indent=rng.choice([None, 1]))
+        assert plain(nested._read_deep(f" {text}\n")) == plain(nested.read_json(text)) and nested._text(nested._read_deep("[" + text + "]")) == "[" + json.dumps(v, ensure_ascii=False) + "]"
+        broken = text[: rng.randrange(len(text))]
+        for reader in (nested._read_deep, nested.read_json):
+            try:
+                reader(broken)
+            except ValueError:
+                continue
+            assert isinstance(json.loads(broken), (int, float))
+    for broken in ("", "[1,]", "{,}", '{"a" 1}', '{"a":}', "[1 2]", "1 2", "{1: 2}", "[}", "nul"):
+        with pytest.raises(ValueError):
+            nested._read_deep(broken)
+
+
+def test_one_delivery_with_two_payloads_keeps_its_links_apart(spark, workspace):
+    def payload(fid, source):
+        return json.dumps({"provenance": {"finding_id": fid, "status": "done", "dataset_sources": "d", "model_source": {"weights_or_checkpoint": source}}})
+
+    rows = [(1, payload(None, "a/b")), (1, payload(None, " ")), (1, payload(None, "a/b")), (2, payload("f", [{"derived_from": "c"}]))]
+    tables = nested.flatten(spark.createDataFrame(rows, "delivery_id bigint, payload string"), workspace)
+    for t in ("finding", "model", "checkpoint"):
+        keys = [r.pk for r in tables[t].collect()]
+        assert len(keys) == len(set(keys)) == (4 if t == "checkpoint" else 3)
+    got = sorted((r.delivery_id, r.has_id, r.has_checkpoint, r.complete) for r in registry.provenance_contract(tables).collect())
+    assert got == [(1, False, False, False), (1, False, True, False), (2, True, True, True)]
+
+
 # ---- edges ------------------------------------------------------------------------------------------------
 
 
