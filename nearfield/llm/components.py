@@ -6,8 +6,8 @@ the *propagation forest*.  The proposals that meet at one vertex become the edge
 graph.  When no edge is left, what remains are the seeds (the roots), and their ids flow down the forest.
 
 All steps are equi-joins and map-side combined aggregations over (vertex, vertex) rows.  A vertex with a
-third of all edges is spread over salts in the only join on a vertex.  Every round is written to the
-shared folder, which cuts the lineage and survives lost executors.
+third of all edges, proposals or children is spread over salts in each of the three joins on a vertex.
+Every round is written to the shared folder, which cuts the lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from nearfield.operators.skew import hot_keys, salted_join
 from nearfield.storage import Workspace, metric
 
-MAX_ROUNDS = 60
-
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
@@ -36,45 +34,33 @@ def connected_components(edges: DataFrame, workspace: Workspace, left: str = "a"
     graph = workspace.save(
         edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges", rows=count
     )
-    forest: list[DataFrame] = []
+    forest: list[tuple[DataFrame, int]] = []
     n = metric(graph, "rows")
-    for round_no in range(MAX_ROUNDS):
-        if n == 0:
-            break
+    while n:
         both = _both_ways(graph)
         lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("low"))
-        hot = hot_keys(both, "u", 2 * n) if n > 100_000 else None
-        joined = both.join(lows, "u") if hot is None else salted_join(both, lows, "u", hot, "v")
         # proposals: v learns low(u) for each neighbour u, and its own low
-        proposals = workspace.save(joined.select(F.col("v").alias("u"), "low").unionByName(lows).distinct(), f"proposals{round_no}")
+        joined = salted_join(both, lows, "u", hot_keys(both, "u", 2 * n), "v").select(F.col("v").alias("u"), "low")
+        proposals = workspace.save(joined.unionByName(lows).distinct(), f"proposals{len(forest)}", rows=count)
         best = proposals.groupBy("u").agg(F.min("low").alias("parent"), F.max(F.col("low") == F.col("u")).alias("proposed"))
-        best = workspace.save(best, f"best{round_no}")
-        forest.append(best.where(~F.col("proposed")).select(F.col("u").alias("record_id"), "parent"))
-        nxt = (
-            proposals.join(best.select("u", "parent"), "u")
-            .where(F.col("low") != F.col("parent"))
-            .select(F.col("parent").alias("a"), F.col("low").alias("b"))
-            .distinct()
-        )
-        nxt = workspace.save(nxt, f"edges{round_no}", rows=count)
+        best = workspace.save(best, f"best{len(forest)}", dropped=F.count_if(~F.col("proposed")))
+        forest.append((best.where(~F.col("proposed")).select(F.col("u").alias("record_id"), "parent"), metric(best, "dropped")))
+        # a vertex of many neighbours has as many proposals as they have different minima
+        hot = hot_keys(proposals, "u", metric(proposals, "rows"))
+        met = salted_join(proposals, best.select("u", "parent"), "u", hot, "low").where(F.col("low") != F.col("parent"))
+        nxt = workspace.save(met.select(F.col("parent").alias("a"), F.col("low").alias("b")).distinct(), f"edges{len(forest)}", rows=count)
         workspace.drop(graph)
         workspace.drop(proposals)
         n, graph = metric(nxt, "rows"), nxt
     if not forest:
         return graph.select(F.col("a").alias("record_id"), F.col("b").alias("group_id"))
-    if n:
-        raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
-    # From the last round to the first: parents of round i are labelled by rounds > i or are seeds.
-    labels: DataFrame | None = None
-    for level in reversed(forest):
-        if labels is None:
-            done = level.select("record_id", F.col("parent").alias("group_id"))
-        else:
-            known = labels.withColumnRenamed("record_id", "parent")
-            done = level.join(known, "parent", "left").select("record_id", F.coalesce("group_id", "parent").alias("group_id")).unionByName(labels)
-        labels = done
-    assert labels is not None
-    labels = workspace.save(labels, "labels")
+    # From the last round to the first: parents of a round are labelled by later rounds or are seeds.
+    labels = forest[-1][0].select("record_id", F.col("parent").alias("group_id"))
+    for level, size in reversed(forest[:-1]):
+        known = labels.withColumnRenamed("record_id", "parent")
+        flowed = salted_join(level, known, "parent", hot_keys(level, "parent", size), "record_id", "left")
+        done = workspace.save(flowed.select("record_id", F.coalesce("group_id", "parent").alias("group_id")), "labels")
+        labels = labels.unionByName(done)  # each part is written down, so the plan grows by one scan a round
     roots = labels.select(F.col("group_id").alias("record_id")).distinct().select("record_id", F.col("record_id").alias("group_id"))
     return labels.unionByName(roots)
 

@@ -11,6 +11,7 @@ segment tree over remaining capacities, in logarithmic time.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,19 +43,21 @@ def _encoder(path: str):
     return _ENCODERS[path]
 
 
+#: Between these two characters a new word of the pattern begins whatever stands around them.
+_BOUNDARY = re.compile(r"[A-Za-z0-9](?=[ \n])")
+
+
 def count_tokens(text: str, path: str = TOKENIZER, block: int = 100_000) -> int:
-    """Tokens of a text.  Very long texts are encoded in blocks cut before a space, which changes no token
-    where the pattern starts a new word there; unencodable characters are replaced."""
+    """Tokens of a whole text; unencodable characters are replaced.
+
+    Long texts are encoded in blocks of ``block`` characters and what follows up to the end of a word before a blank, which changes no token; a run without such a place is encoded in one piece, however long.
+    """
     enc = _encoder(path)
     text = text.encode("utf-8", "replace").decode("utf-8")
     total, at = 0, 0
     while at < len(text):
-        end = at + block
-        if end < len(text):
-            cut = text.rfind(" ", at + 1, end)
-            while cut > at + 1 and text[cut - 1].isspace():
-                cut -= 1
-            end = cut if cut > at + 1 else end
+        cut = _BOUNDARY.search(text, at + block) if at + block < len(text) else None
+        end = cut.end() if cut else len(text)
         total += len(enc.encode_ordinary(text[at:end]))
         at = end
     return total
@@ -168,6 +171,8 @@ def pack(counts: DataFrame, windows: DataFrame, workspace: Workspace) -> DataFra
 
     def packed(rows: DataFrame, n: int, salt: str) -> DataFrame:
         sharded = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece"), F.lit(n)))
+        tasks = max(n, rows.sparkSession.sparkContext.defaultParallelism)
+        sharded = sharded.repartition(tasks, "window_name", "shard")  # a given number is not coalesced: the work is in packing, not in bytes
         return sharded.groupBy("window_name", "shard").applyInPandas(lambda pdf: _pack(pdf), PIECE + ", shard bigint, container bigint, fill bigint")
 
     first = workspace.save(packed(all_pieces, shards, "first"), "packed")
