@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from nearfield.operators.skew import HOT_SHARE
 from nearfield.storage import Workspace, metric
 
-#: Groups above this many items (and above a thousandth of the table) are hot.
+#: Groups above this many rows (and above a thousandth of the table) are hot.
 HOT_GROUP_ROWS = 20_000
 #: Aimed number of hot items a task sorts, and the fewest tasks.
 RANGE_ROWS = 250_000
@@ -34,22 +34,26 @@ def best_per_pair(edges: DataFrame) -> DataFrame:
     return valid_pairs(edges).groupBy("sample_id", "train_id").agg(F.max("similarity").alias("similarity"))
 
 
-def top_n(items: DataFrame, group: str, score: str, tie: str, n: int, workspace: Workspace) -> DataFrame:
+def top_n(items: DataFrame, source: DataFrame, group: str, score: str, tie: str, n: int, workspace: Workspace) -> DataFrame:
     """The ``n`` items with the highest ``score`` of each group, ties by smaller ``tie``; all if fewer.
 
-    ``items`` has one row per (group, tie); it is written down once and read by the counts and by both
-    paths.  Null groups and null scores give no row.  Repeated (group, tie) rows are ranked as separate
-    items.  The result has ``items``' columns and ``rank`` (from 1).  At most 1000 groups are hot, so their
-    keys may be broadcast; the tasks of the range sort follow the number of hot items.
+    ``items`` has one row per (group, tie); ``source`` is any table with the same group column and at
+    least as many rows a group, from which the exact counts are taken (the raw table, so that the count
+    does not repeat the aggregation behind ``items``).  Null groups and null scores give no row.
+    Repeated (group, tie) rows are ranked as separate items.  The result has ``items``' columns and
+    ``rank`` (from 1).  At most 1000 groups are hot, so their keys may be broadcast; the tasks of the range
+    sort follow the number of hot rows.
     """
-    items = workspace.save(items.where(F.col(group).isNotNull() & F.col(score).isNotNull()), "items", rows=F.count(F.lit(1)))
+    items = items.where(F.col(group).isNotNull() & F.col(score).isNotNull())
     order = [F.col(score).desc(), F.col(tie).asc()]
     whole = Window.partitionBy(group).orderBy(*order)
     ranked = lambda df: df.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= n)
-    if metric(items, "rows") <= HOT_GROUP_ROWS:
+    total = source.count()
+    if total <= HOT_GROUP_ROWS:
         return ranked(items)
-    limit = max(HOT_GROUP_ROWS, HOT_SHARE * metric(items, "rows"))
-    hot = workspace.save(items.groupBy(group).agg(F.count("*").alias("__n")).where(F.col("__n") > limit), "hot", rows=F.coalesce(F.sum("__n"), F.lit(0)))
+    limit = max(HOT_GROUP_ROWS, HOT_SHARE * total)
+    counts = source.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+    hot = workspace.save(counts, "hot", rows=F.coalesce(F.sum("__n"), F.lit(0)))
     if not metric(hot, "rows"):
         return ranked(items)
     hot_groups = F.broadcast(hot.select(group))
@@ -68,4 +72,4 @@ def top_n(items: DataFrame, group: str, score: str, tie: str, n: int, workspace:
 
 def nearest_train_rows(edges: DataFrame, n: int = 10, workspace: Workspace | None = None) -> DataFrame:
     """``sample_id, train_id, similarity, rank``: the ``n`` nearest training rows of every sample."""
-    return top_n(best_per_pair(edges), "sample_id", "similarity", "train_id", n, workspace or Workspace(edges.sparkSession, "top-n"))
+    return top_n(best_per_pair(edges), valid_pairs(edges), "sample_id", "similarity", "train_id", n, workspace or Workspace(edges.sparkSession, "top-n"))
