@@ -73,7 +73,7 @@ def test_runs_are_found_exactly_as_defined():
         n = rng.randint(8, len(item))
         at = rng.randint(0, len(item) - n)
         doc = passage(rng, 6) + edit(rng, item[at : at + n], rng.choice([0, 0, 1, 2, 3, n // 4])) + passage(rng, 6)
-        got = {leak[0] for leak in index.leaks(doc, leakage.fingerprints(doc, vectors))}
+        got = {leak[1] for leak in index.leaks([doc], vectors)}
         want = {i for i, w in items if allowed_run(w, doc)}
         assert got <= want
         strict = {i for i, w in items if leakage_run(w, doc)}
@@ -91,7 +91,7 @@ def test_a_near_window_before_a_run_hides_nothing():
     near = next(w for w in (f"w{k}" for k in range(100_000)) if (int(leakage.fingerprints([w, *rest[:3]], vectors)[0]) ^ first).bit_count() <= leakage.RADIUS)
     index = leakage.ItemIndex([(7, ["x", *rest])])
     doc = [near, *rest]
-    assert [leak[:3] for leak in index.leaks(doc, leakage.fingerprints(doc, vectors))] == [(7, 20, 0)]
+    assert [leak[1:4] for leak in index.leaks([doc], vectors)] == [(7, 20, 0)]
 
 
 def leakage_run(item, doc):
@@ -106,7 +106,8 @@ def test_all_fingerprints_within_the_radius_are_found():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    index = leakage.ItemIndex([(1, passage(random.Random(4), 60))])
+    words = passage(random.Random(4), 60)
+    index = leakage.HammingBlocks(leakage.fingerprints(words, leakage._Vectors(), 14))
     base = index.prints[:20]
     probes = []
     for p in base:
@@ -121,6 +122,31 @@ def test_all_fingerprints_within_the_radius_are_found():
     assert got == want
 
 
+@pytest.mark.parametrize("size", [14, 28, 56, 112])
+def test_item_sized_windows_find_whole_items_and_the_radius_decides(size):
+    """Whole items come by windows of their own size; with one word changed many of them at a distance of 1 to 3."""
+    rng = random.Random(size)
+    items = [(i, passage(rng, size + rng.randint(0, size // 4))) for i in range(40)]
+    index, vectors = leakage.ItemIndex(items), leakage._Vectors()
+    docs = [passage(rng, 9) + w + passage(rng, 9) for _, w in items]
+    got = sorted(index.leaks(docs, vectors))
+    assert [leak[:2] for leak in got] == [(i, i) for i in range(40)] and {leak[5] for leak in got} == {size} and min(leak[6] for leak in got) == 0
+    changed = [w[:k] + ["changed"] + w[k + 1 :] for _, w in items for k in [len(w) // 2]]
+    got = sorted(index.leaks(changed, vectors))
+    assert [leak[:2] for leak in got] == [(i, i) for i in range(40)]
+    if size >= 56:
+        assert any(leak[5] == size and 1 <= leak[6] <= 3 for leak in got)
+
+
+def test_documents_in_one_group_do_not_run_into_each_other(monkeypatch):
+    monkeypatch.setattr(leakage, "CHUNK", 16)
+    rng = random.Random(21)
+    item = passage(rng, 40)
+    docs = [item[:10], item[10:20], passage(rng, 30) + item[5:30], [], item[20:], passage(rng, 3)]
+    got = leakage.ItemIndex([(1, item)]).leaks(docs, leakage._Vectors())
+    assert sorted(leak[0] for leak in got) == [2, 4]
+
+
 def test_find_leaks_on_tables(spark):
     rng = random.Random(5)
     a, b = passage(rng, 30), passage(rng, 30)
