@@ -50,7 +50,7 @@ MAX_EDITS = 3
 #: Words of items that one pass holds in memory; more items take more passes.
 ITEM_WORDS_PER_PASS = 1_000_000
 #: Windows fingerprinted at once, and words of documents that are looked at together.
-CHUNK = 20_000
+CHUNK = 8_192
 GROUP_WORDS = 200_000
 _CACHE_WORDS = 150_000
 

@@ -144,7 +144,28 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return levels.join(sources, "doc_id").groupBy("source", F.round("level").cast("int").alias("level")).agg(F.count("*").alias("documents"), F.sum("n_words").alias("n_words"))
 
 
-QUERIES |= {"p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
+def p9_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The alternation: log-likelihood after each round."""
+    ws = Workspace(spark, "p9-fit")
+    model = reading.fit(ws.save(reading.units(_table(spark, d, "documents")), "units"), _table(spark, d, "reading_labels"), ws)
+    return spark.createDataFrame([(i + 1, x) for i, x in enumerate(model.likelihoods if model else [])], "round int, log_likelihood double")
+
+
+def p9_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out accuracy: labels of documents whose id is no multiple of four train, the others are compared.  One row."""
+    ws, labels = Workspace(spark, "p9-holdout"), _table(spark, d, "reading_labels")
+    levels = reading.reading_levels(_table(spark, d, "documents"), labels.where("doc_id % 4 <> 0"), ws)
+    both = levels.join(reading.doc_labels(labels.where("doc_id % 4 = 0")), "doc_id")
+    hard = F.col("y") >= reading.HARD
+    return both.agg(
+        F.count("*").alias("documents"),
+        F.avg(((F.col("hard_share") > 0.5) == hard).cast("double")).alias("agreement"),
+        F.avg(F.abs(F.col("level") - F.col("y"))).alias("mean_error"),
+        F.corr("level", "y").alias("correlation"),
+    )
+
+
+QUERIES |= {"p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p9_fit": p9_fit, "p9_holdout": p9_holdout}
 
 
 def p4_overlaps(spark: SparkSession, d: str) -> DataFrame:

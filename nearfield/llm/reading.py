@@ -1,39 +1,57 @@
 """Reading level of each document: a Rasch-style latent difficulty model, fitted by alternating optimisation.
 
-Texts are cut into sentences (long ones into pieces), the *units*.  Each unit has a latent level and each
-word a difficulty and a spread; a word's occurrence tells more about the level the smaller its spread.
-Besides its distinct words a unit holds two shape words, its mean word length and its number of words,
-which carry over between languages.  The steps alternate, each one a distributed aggregation:
-
-* words given levels: difficulty and spread are the (shrunken) mean and variance of the levels of the
-  units that hold the word; units of labelled documents count fully, others little;
-* levels given words: a unit's level is the information-weighted mean of its words' difficulties;
+Texts are cut into sentences (long ones into pieces), the *units*.  Unit u has a latent level t_u, word w an
+easiness a_w and a slope b_w, and the logit of a word against any other is linear in the level, as in the
+Rasch family (two parameters a word):
+
+    P(word w stands in u) = exp(a_w + b_w t_u) / Z(t_u),   Z(t) = sum over all words of exp(a_w + b_w t)
+
+A word's difficulty -a_w / b_w is the level at which it begins to outweigh the scale's origin; words of slope
+0 tell nothing.  Besides its distinct words a unit holds two shape words, its mean word length and its number
+of words, which carry over between languages.  The log-likelihood, penalised by normal priors on slopes and
+levels, is raised in turns, each a distributed aggregation:
+
+* words given levels: the sufficient statistics of a word are the number of its units and the sum of their
+  levels; with the counts of units per step of the level scale, Newton's method finds each slope, and the
+  easiness follows in closed form; then Z is summed anew and the step repeated;
+* levels given words: a unit needs only the weighted count and slope sum of its words; its level is the
+  posterior mean over the scale.  Units of labelled documents have a prior around the readers' judgement;
+* the alternation ends when the log-likelihood gains less than ``TOLERANCE`` of itself;
 * linking: as in every Rasch model the scale is free up to a line, so it is tied to the readers' scale by
   regressing the labels on the means of the labelled documents.
 
-Nothing but a handful of sums ever comes to the driver.  The word table is broadcast only if its counted
-size is below ``BROADCAST_WORDS``; else it is joined by shuffle.
+Only 41 numbers a step (sums over the scale) come to the driver.  The word table is broadcast only if its
+counted size is below ``BROADCAST_WORDS``; else it is joined by a shuffle in which frequent words are salted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.operators.skew import spread
-from nearfield.storage import Workspace
+from nearfield.operators.skew import HOT_ROWS, HOT_SHARE, salted_join
+from nearfield.storage import Workspace, metric
 
 UNIT_WORDS = 40
-ROUNDS = 3
-PRIOR = 1.0
-PRIOR_VARIANCE = 2.0
-FLOOR = 0.3
-UNLABELLED = 0.02
+#: The constants below were set by four-fold cross-validation over reading_labels.
+#: Steps of the level scale.
+SCALE = np.linspace(0.5, 5.5, 41)
+#: Precision of the prior on slopes, and deviations of the priors on levels, without and with a judgement.
+SLOPE_PRECISION = 1.0
+LEVEL_SPREAD = 1.5
+LABEL_SPREAD = 0.7
+#: Words of this many letters and more count fully for a unit's level, shorter ones by the square of their share of it.
+FULL_LENGTH = 7
+#: Words in fewer units are left out once all units take part.
 LEAST_UNITS = 3
+TOLERANCE = 0.1
+MOST_ROUNDS = 8
+NEWTON_STEPS = 8
 HARD = 3.5
-#: Words of this many letters and more count fully; shorter ones, function words above all, by the square of
-#: their share of it: they occur at every level, whatever the few labelled texts of a language seem to say.
-FULL_LENGTH = 7
 BROADCAST_WORDS = 300_000
 
 
@@ -58,7 +76,9 @@ def units(documents: DataFrame) -> DataFrame:
 
     pieces = F.filter(F.flatten(F.transform(tokens, cut)), lambda ws: F.size(ws) >= 2)
     source = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = spread(source.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", F.posexplode(pieces).alias("unit", "ws"))
+    # one shuffle spreads the texts and brings repeated rows together
+    tasks = max(2 * source.sparkSession.sparkContext.defaultParallelism, source.rdd.getNumPartitions())
+    rows = source.repartition(tasks, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.posexplode(pieces).alias("unit", "ws"))
     letters = F.aggregate("ws", F.lit(0), lambda a, w: a + F.length(w))
     shape = F.array(
         _id(F.xxhash64(F.lit("#length"), F.least(F.lit(12), F.round(letters / F.size("ws")).cast("int"))), F.lit(15)),
@@ -73,61 +93,159 @@ def doc_labels(labels: DataFrame) -> DataFrame:
     return good.groupBy("doc_id").agg(F.avg("reading_level").alias("y"))
 
 
-def _word_step(rows: DataFrame, mean: float, least: int) -> DataFrame:
-    """Difficulty and information of each word from rows ``ids, level, weight``."""
-    w, t = F.col("weight"), F.col("level")
-    sums = rows.select(F.explode("ids").alias("word"), "weight", "level").groupBy("word").agg(
-        F.sum(w).alias("k"), F.sum(w * t).alias("s"), F.sum(w * t * t).alias("q"), F.count("*").alias("c")
-    )
-    k, s, q = F.col("k"), F.col("s"), F.col("q")
-    variance = (F.greatest(q - s * s / k, F.lit(0.0)) + PRIOR * PRIOR_VARIANCE) / (k + PRIOR)
-    letters = F.least(F.lit(1.0), F.col("word").bitwiseAND(F.lit(15)) / FULL_LENGTH)
-    return sums.where(F.col("c") >= least).select(
-        "word", ((s + PRIOR * mean) / (k + PRIOR)).alias("difficulty"), (letters * letters / F.pow(variance + FLOOR, F.lit(2.0))).alias("info")
-    )
+def _weight(ids: np.ndarray) -> np.ndarray:
+    return np.minimum(1.0, (ids & 15) / FULL_LENGTH) ** 2
+
+
+def _sums(units_: DataFrame, mean: float) -> DataFrame:
+    """Sufficient statistics from rows ``ids, level, ll``: per word ``k`` units and ``s`` summed levels (from the mean).
+
+    The steps of the scale take part as words -1, -2, ..: their ``size`` is the number of words at that
+    level and their ``ll`` the log-likelihood, so that one pass over the units gives all.
+    """
+    step = F.round((F.col("level") - float(SCALE[0])) / float(SCALE[1] - SCALE[0])).cast("bigint")
+    marked = units_.select(F.explode(F.concat("ids", F.array(-1 - step))).alias("word"), (F.col("level") - mean).alias("t"), F.size("ids").alias("size"), "ll")
+    return marked.groupBy("word").agg(F.count("*").alias("k"), F.sum("t").alias("s"), F.sum("size").alias("size"), F.sum("ll").alias("ll"))
+
+
+WORDS = "word bigint, k bigint, s double, easiness double, slope double, weight double"
+
+
+def _newton(sums: DataFrame, at_level: np.ndarray, log_z: np.ndarray, t: np.ndarray) -> DataFrame:
+    """Slope and easiness of every word: Newton steps on the penalised likelihood, all words of a batch at once."""
+    mass = at_level * np.exp(-log_z)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            k, s = b["k"].to_numpy(dtype=float), b["s"].to_numpy(dtype=float)
+            slope = np.zeros(len(b))
+            for _ in range(NEWTON_STEPS):
+                e = np.exp(np.outer(slope, t)) * mass
+                total = e.sum(axis=1)
+                first = (e @ t) / total
+                second = np.maximum((e @ (t * t)) / total - first * first, 1e-9)
+                gain = (s - k * first - SLOPE_PRECISION * slope) / (k * second + SLOPE_PRECISION)
+                slope = np.clip(slope + np.clip(gain, -1, 1), -6, 6)
+            easiness = np.log(k) - np.log((np.exp(np.outer(slope, t)) * mass).sum(axis=1))
+            yield pd.DataFrame({"word": b["word"], "k": b["k"], "s": s, "easiness": easiness, "slope": slope, "weight": _weight(b["word"].to_numpy())})
 
-def _unit_step(rows: DataFrame, words: DataFrame, keep: list[str], with_ids: bool) -> DataFrame:
-    """Raw level of each unit; null if none of its words is known."""
-    size = words.count()
-    table = F.broadcast(words) if size <= BROADCAST_WORDS else words
-    single = rows.select("doc_id", "unit", "n", *keep, F.explode("ids").alias("word")).join(table, "word", "left")
-    sums = [F.sum(F.col("info") * F.col("difficulty")).alias("__a"), F.sum("info").alias("__b")]
+    return sums.select("word", "k", "s").mapInPandas(run, WORDS)
+
+
+def _log_z(words: DataFrame, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log Z over the scale, of all words and with the words weighted as they are for the levels."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            e = np.exp(b["easiness"].to_numpy()[:, None] + np.outer(b["slope"].to_numpy(), t))
+            yield pd.DataFrame({"place": range(len(t)), "z": e.sum(axis=0), "weighted": b["weight"].to_numpy() @ e})
+
+    rows = words.mapInPandas(run, "place int, z double, weighted double").groupBy("place").agg(F.sum("z").alias("z"), F.sum("weighted").alias("weighted")).collect()  # 41 rows
+    rows.sort(key=lambda r: r["place"])
+    return np.log([r["z"] for r in rows]), np.log([max(r["weighted"], 1e-300) for r in rows])
+
+
+def _word_step(units_: DataFrame, mean: float, least: int, workspace: Workspace) -> tuple[DataFrame | None, np.ndarray, float]:
+    """Words, weighted log Z and log-likelihood of rows ``ids, level, ll``; no words without rows."""
+    t = SCALE - mean
+    sums = workspace.save(_sums(units_, mean), "sums")
+    bins = {-1 - r["word"]: r for r in sums.where(F.col("word").between(-len(t), -1)).collect()}  # one row a step of the scale
+    if not bins:
+        return None, t, 0.0
+    at_level = np.array([float(bins[g]["size"]) if g in bins else 0.0 for g in range(len(t))])
+    own = sums.where(~F.col("word").between(-len(t), -1) & (F.col("k") >= least))
+    log_z, words = np.zeros(len(t)), None
+    for _ in range(2):
+        workspace.drop(words)
+        words = workspace.save(_newton(own, at_level, log_z, t), "words", size=F.count("*"), total=F.sum("k"))
+        log_z, weighted = _log_z(words, t)
+    workspace.drop(sums)
+    return words, weighted, sum(r["ll"] or 0.0 for r in bins.values())
+
+
+def _levels(rows: DataFrame, words: DataFrame, weighted: np.ndarray, mean: float, keep: list[str], with_ids: bool, judged: bool) -> DataFrame:
+    """Level and log-likelihood of each unit; a unit without a known word has the mean level."""
+    t = SCALE - mean
+    spread_of_prior = -((SCALE - mean) ** 2) / (2 * LEVEL_SPREAD**2)
+
+    @F.pandas_udf("level double, ll double")
+    def posterior(count: pd.Series, slope: pd.Series, y: pd.Series) -> pd.DataFrame:
+        level, ll = np.empty(len(count)), np.empty(len(count))
+        for at in range(0, len(count), 20_000):
+            part = slice(at, at + 20_000)
+            n, b, label = (x.iloc[part].to_numpy(dtype=float) for x in (count, slope, y))
+            fit = np.outer(np.nan_to_num(b), t) - np.outer(np.nan_to_num(n), weighted)
+            prior = np.where(np.isnan(label)[:, None], spread_of_prior, -((SCALE - label[:, None]) ** 2) / (2 * LABEL_SPREAD**2))
+            p = fit + prior
+            p = np.exp(p - p.max(axis=1, keepdims=True))
+            level[part] = (p @ SCALE) / p.sum(axis=1)
+            ll[part] = fit.max(axis=1)
+        return pd.DataFrame({"level": level, "ll": ll})
+
+    single = rows.select("doc_id", "unit", "n", *keep, F.explode("ids").alias("word"))
+    table = words.select("word", "weight", (F.col("weight") * F.col("slope")).alias("push"))
+    if metric(words, "size") <= BROADCAST_WORDS:
+        joined = single.join(F.broadcast(table), "word", "left")
+    else:
+        hot = words.where(F.col("k") > max(HOT_ROWS, HOT_SHARE * (metric(words, "total") or 0))).select("word")  # at most 1000
+        joined = salted_join(single, table, "word", hot, "doc_id", "left")
+    sums = [F.sum("weight").alias("__n"), F.sum("push").alias("__b")]
     if with_ids:
         sums.append(F.collect_list("word").alias("ids"))  # at most UNIT_WORDS + 2
-    out = single.groupBy("doc_id", "unit", "n", *keep).agg(*sums)
-    return out.withColumn("raw", F.col("__a") / F.col("__b")).drop("__a", "__b")
+    out = joined.groupBy("doc_id", "unit", "n", *keep).agg(*sums)
+    y = F.col("y") if judged else F.lit(None).cast("double")
+    return out.withColumn("__p", posterior("__n", "__b", y)).select("doc_id", "unit", "n", *keep, *(["ids"] if with_ids else []), "__p.level", "__p.ll")
 
 
 def _link(labelled: DataFrame) -> tuple[float, float]:
-    """Slope and intercept of the labels on the documents' mean raw level."""
-    per = labelled.where("raw is not null").groupBy("doc_id", "y").agg((F.sum(F.col("raw") * F.col("n")) / F.sum("n")).alias("x"))
+    """Slope and intercept of the labels on the documents' mean level."""
+    per = labelled.groupBy("doc_id", "y").agg((F.sum(F.col("level") * F.col("n")) / F.sum("n")).alias("x"))
     row = per.agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b")).first()
     if row["a"] is None or row["a"] != row["a"] or row["a"] <= 0:
         return 1.0, 0.0
     return float(row["a"]), float(row["b"])
 
 
-def fit(rows: DataFrame, labels: DataFrame, workspace: Workspace) -> tuple[DataFrame, float, float, float] | None:
-    """Word table and the line of the link; None without labels.  ``rows`` comes from :func:`units`, written down."""
+class Model:
+    """A fitted model: ``words``, the weighted log Z, the mean label, the line of the link and the log-likelihood of each round."""
+
+    def __init__(self, words: DataFrame, weighted: np.ndarray, mean: float):
+        self.words, self.weighted, self.mean = words, weighted, mean
+        self.slope, self.intercept = 1.0, 0.0
+        self.likelihoods: list[float] = []
+
+    def score(self, rows: DataFrame, workspace: Workspace) -> DataFrame:
+        """``rows`` with ``level`` on the readers' scale."""
+        scored = _levels(rows, self.words, self.weighted, self.mean, [], False, False)
+        return scored.withColumn("level", F.greatest(F.lit(0.5), F.least(F.lit(5.5), F.col("level") * self.slope + self.intercept)))
+
+
+def fit(rows: DataFrame, labels: DataFrame, workspace: Workspace) -> Model | None:
+    """The model of units ``rows`` (from :func:`units`, written down) and labels; None without usable labels.
+
+    The first words come from labelled units at their document's label; from then on all units take part.
+    """
     y = doc_labels(labels)
     labelled = workspace.save(rows.join(y, "doc_id"), "labelled")
-    mean = y.agg(F.avg("y")).first()[0]
-    if mean is None or not labelled.take(1):
+    # the mean over documents, not over their units
+    mean = labelled.select("doc_id", "y").distinct().agg(F.avg("y")).first()[0]
+    if mean is None:
         return None
-    words = workspace.save(_word_step(labelled.select("ids", F.col("y").alias("level"), F.lit(1.0).alias("weight")), mean, 1), "words")
-    a, b = _link(_unit_step(labelled, words, ["y"], False))
+    words, weighted, _ = _word_step(labelled.select("ids", F.col("y").alias("level"), F.lit(0.0).alias("ll")), mean, 1, workspace)
+    model = Model(words, weighted, mean)
     everything = rows.join(y, "doc_id", "left")
-    for _ in range(ROUNDS - 1):
-        level = F.greatest(F.lit(0.5), F.least(F.lit(5.5), F.coalesce(F.col("raw") * a + b, F.lit(mean))))
-        seen = _unit_step(everything, words, ["y"], True).select(
-            "ids",
-            F.when(F.col("y").isNotNull(), (F.col("y") + level) / 2).otherwise(level).alias("level"),
-            F.when(F.col("y").isNotNull(), 1.0).otherwise(UNLABELLED).alias("weight"),
-        )
-        words = workspace.save(_word_step(seen, mean, LEAST_UNITS), "words")
-        a, b = _link(_unit_step(labelled, words, ["y"], False))
-    return words, a, b, mean
+    for _ in range(MOST_ROUNDS):
+        placed = _levels(everything, model.words, model.weighted, mean, ["y"], True, True)
+        words, weighted, ll = _word_step(placed, mean, LEAST_UNITS, workspace)
+        gain = None if not model.likelihoods else ll - model.likelihoods[-1]
+        model.likelihoods.append(ll)
+        if words is None or not metric(words, "size"):
+            break
+        model.words, model.weighted = words, weighted
+        if gain is not None and gain < TOLERANCE * abs(model.likelihoods[-2]):
+            break
+    model.slope, model.intercept = _link(_levels(labelled, model.words, model.weighted, mean, ["y"], False, False))
+    return model
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, workspace: Workspace) -> DataFrame:
@@ -140,9 +258,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, workspace: Workspace
     model = fit(rows, labels, workspace)
     if model is None:
         return rows.groupBy("doc_id").agg(F.lit(None).cast("double").alias("level"), F.lit(0.0).alias("hard_share"), F.sum("n").alias("n_words"))
-    words, a, b, mean = model
-    level = F.greatest(F.lit(0.5), F.least(F.lit(5.5), F.coalesce(F.col("raw") * a + b, F.lit(mean))))
-    scored = _unit_step(rows, words, [], False).withColumn("level", level)
+    scored = model.score(rows, workspace)
     n = F.col("n")
     return scored.groupBy("doc_id").agg(
         (F.sum(F.col("level") * n) / F.sum(n)).alias("level"),
