@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.operators.skew import hot_keys, salted_join
+from nearfield.operators.skew import HOT_ROWS, hot_keys, salted_join
 from nearfield.storage import Workspace, metric
 
 #: Binary graphs denser than this are refused for split generation (fixed value).
@@ -63,23 +63,37 @@ def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _jump(pointers: DataFrame, workspace: Workspace) -> DataFrame:
     """Pointer jumping: ``node, to`` until every ``to`` is a root (a node that points nowhere).
 
-    Each pass jumps twice and counts the nodes that still moved in its second jump.
+    A node that has reached its root is written down and not carried on.  When all nodes of a large
+    component share one ``to``, its rows are spread over salts.
     """
-    pointers = workspace.save(pointers, "pointers")
-    while True:
-        def step(p: DataFrame) -> DataFrame:
-            onward = pointers.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            return p.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
-
-        stepped = workspace.save(step(step(pointers).select("node", "to")), "jumped", moved=F.coalesce(F.sum(F.col("moved").cast("bigint")), F.lit(0)))
-        workspace.drop(pointers)
-        pointers = stepped.select("node", "to")
-        pointers._nearfield_path = stepped._nearfield_path
-        if not metric(stepped, "moved"):
-            return pointers
+    active = workspace.save(pointers, "pointers", rows=F.count(F.lit(1)))
+    n, done, old = metric(active, "rows"), [], active
+    while n:
+        onward = _union([*done, active]).select(F.col("node").alias("to"), F.col("to").alias("next"))
+
+        def step(p: DataFrame, hot: DataFrame | None) -> DataFrame:
+            joined = p.join(onward, "to", "left") if hot is None else salted_join(p, onward, "to", hot, "node", "left")
+            return joined.select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
+
+        if n <= HOT_ROWS:  # no key can be hot: two jumps a pass
+            jumped = step(step(active, None).select("node", "to"), None)
+        else:
+            jumped = step(active, hot_keys(active, "to", n))
+        jumped = workspace.save(jumped, "jumped", moved=F.count_if("moved"))
+        workspace.drop(old)
+        done.append(jumped.where(~F.col("moved")).select("node", "to"))
+        active, n, old = jumped.where("moved").select("node", "to"), metric(jumped, "moved"), None
+    return _union(done) if done else active
 
 
 def merge_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
@@ -87,12 +101,14 @@ def merge_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour, flattens the hooks by pointer jumping and
     continues with the edges between different roots, of which there are at least halved many.  Every
-    round is written to the shared folder.  Self-edges are ignored, repeated edges count once.
+    round is written to the shared folder, and every join on a node or root is salted.  Self-edges are
+    ignored, repeated edges count once.
     """
+    count = F.count(F.lit(1))
 
     def save(e: DataFrame) -> DataFrame:
         clean = e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return workspace.save(clean, "edges", rows=F.count(F.lit(1)))
+        return workspace.save(clean, "edges", rows=count)
 
     edges = save(edges)
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -108,11 +124,14 @@ def merge_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
         if len(maps) > 1:  # the first table still gives the nodes
             workspace.drop(edges)
         edges = nxt
-    out = nodes.select("node", F.col("node").alias("root"))
+    out = workspace.save(nodes.select("node", F.col("node").alias("root")), "roots", rows=count)
     for flat in maps:
         step = flat.select(F.col("node").alias("root"), "to")
-        out = out.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return workspace.save(out, "roots")
+        moved = salted_join(out, step, "root", hot_keys(out, "root", metric(out, "rows")), "node", "left")
+        nxt = workspace.save(moved.select("node", F.coalesce("to", "root").alias("root")), "roots", rows=count)
+        workspace.drop(out)
+        out = nxt
+    return out
 
 
 def components(edges: DataFrame, nodes: DataFrame, threshold: float, workspace: Workspace) -> DataFrame:
@@ -125,9 +144,13 @@ def components(edges: DataFrame, nodes: DataFrame, threshold: float, workspace:
 def numbered(labels: DataFrame) -> DataFrame:
     """``id, component, number``: components numbered 0, 1, .. in the order of their smallest id.
 
-    The number of a component is its rank among the component ids, taken over the distinct ids only.
+    The distinct component ids are sorted by range over many tasks; a task's first number is the count of
+    the tasks before it.
     """
-    order = labels.select("component").distinct().withColumn("number", F.row_number().over(Window.orderBy("component")) - 1)
+    from nearfield.functions.features import row_ids
+
+    order = row_ids(labels.select(F.col("component").alias("id")).distinct(), "", ["id"], 1)
+    order = order.select(F.col("id").alias("component"), F.col("sample_id").cast("bigint").alias("number"))
     return labels.join(order, "component").select("id", "component", "number")
 
 

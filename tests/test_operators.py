@@ -363,6 +363,49 @@ def test_graph_operators(spark, graph, workspace):
     assert G.statistics(empty, nodes.where("false")).first().density == 0.0
 
 
+@pytest.mark.parametrize("rows", [0, 50_000])
+def test_merged_components_with_hot_hubs_match_union_find(spark, workspace, monkeypatch, rows):
+    """A hub, a chain and small groups; with a bound of 0 rows every key above a share of all rows is salted."""
+    if not rows:
+        monkeypatch.setattr(G, "HOT_ROWS", 0)
+        monkeypatch.setattr(G, "hot_keys", lambda df, key, total: skew.hot_keys(df, key, total, rows=10))
+    rng = random.Random(2)
+    pairs = [(1000, 1001 + i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(60)] + [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(120)] + [(1100, 2030), (7, 7)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            lo, hi = sorted((find(a), find(b)))
+            parent[hi] = lo
+    got = {r.node: r.root for r in G.merge_components(spark.createDataFrame(pairs, "a bigint, b bigint"), workspace).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert G.merge_components(spark.createDataFrame([], "a bigint, b bigint"), workspace).count() == 0
+
+
+def test_no_task_reads_a_hot_hub_alone(spark, workspace, monkeypatch):
+    """A key with half of all rows: after salting the largest partition of the join holds under 5 % of them."""
+    hub = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("to"), F.col("id").alias("node"))
+    onward = hub.select("to").distinct().withColumn("next", F.lit(0))
+    monkeypatch.setattr(skew, "SALTS", 64)
+    joined = skew.salted_join(hub, onward, "to", skew.hot_keys(hub, "to", 20_000, rows=1000), "node", "left", salts=64)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "256")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert sum(sizes) == 20_000 and max(sizes) < 1000
+
+
 def test_hops_and_neighbourhoods(spark, workspace):
     links = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "D")], "u string, v string")
     nodes = spark.createDataFrame([(x,) for x in "ABCD"], "id string")
