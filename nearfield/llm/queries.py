@@ -83,11 +83,30 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """The same table in two batches, the first run and then all others with it: what is kept, new and quarantined."""
+    """The same table in two batches on a persisted state, the first run and then all others with it: what is kept, new and quarantined."""
     rows, targets = _table(spark, d, "component_assignments"), _table(spark, d, "split_targets")
     first = rows.agg(F.min("run_id")).first()[0]
-    state = _split_state(spark, rows.where(F.col("run_id") == first), targets, splits.empty_state(spark), "p6-first")
-    return _split_state(spark, rows, targets, state, "p6-second")
+    ws = Workspace(spark, "p6-incremental")
+    path = ws.path("state")
+    state = None
+    for batch in (rows.where(F.col("run_id") == first), rows):
+        edges = splits.tie_edges(splits.tie_keys(batch))
+        state, _ = splits.update_saved(path, batch.select(F.col("sample_id").alias("record_id")), edges, targets, ws)
+    return state
+
+
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """One row: records, records without a split, keys whose records lie in several splits, and whether each split is near its target."""
+    rows = _table(spark, d, "component_assignments")
+    ws = Workspace(spark, "p6-check")
+    state = ws.save(p6_splits(spark, d), "state")
+    n = state.count()
+    keys = splits.tie_keys(rows)
+    torn = keys.join(state.select("record_id", "split"), "record_id").groupBy("key").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi")
+    share = state.groupBy("split").agg((F.count("*") / n).alias("share"))
+    apart = _table(spark, d, "split_targets").join(share, "split", "left").agg(F.max(F.abs(F.col("fraction") - F.coalesce("share", F.lit(0.0)))).alias("apart"))
+    counted = state.agg(F.count("*").alias("records"), F.count_if(F.col("split").isNull()).alias("without_split"))
+    return counted.crossJoin(torn.agg(F.count("*").alias("keys_torn"))).crossJoin(apart.select((F.col("apart") < 0.02).alias("near_target")))  # one row each
 
 
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +123,7 @@ QUERIES |= {
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p6_incremental": p6_incremental,
+    "p6_check": p6_check,
     "p7_packing": p7_packing,
     "p7_fill_report": p7_fill_report,
 }
@@ -118,6 +138,31 @@ ORACLES["p6_found"] = r"""
     SELECT sample_id, min(other) AS group_id FROM reach GROUP BY sample_id"""
 
 
+ORACLES["p6_check"] = "SELECT count(DISTINCT sample_id) AS records, 0::BIGINT AS without_split, 0::BIGINT AS keys_torn, true AS near_target FROM component_assignments"
+
+
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """One row a capacity: texts placed, containers over capacity, texts divided without need, texts with tokens lost or doubled, and whether 99 % is used."""
+    ws = Workspace(spark, "p7-check")
+    documents = _table(spark, d, "documents")
+    counts = ws.save(packing.token_counts(documents), "counts")
+    packed = ws.save(packing.pack(counts, _table(spark, d, "context_windows"), ws), "packed")
+    full = packed.groupBy("window_name", "capacity", "container_id").agg(F.sum("n_tokens").alias("used"))
+    full = full.groupBy("window_name").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"), (F.sum("used") / F.sum("capacity") > 0.99).alias("well_filled"))
+    texts = packed.groupBy("window_name", "capacity", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("placed")).join(counts, "doc_id")
+    least = F.ceil(F.col("n_tokens") / F.col("capacity"))
+    texts = texts.groupBy("window_name").agg(
+        F.count("*").alias("texts"), F.count_if(F.col("pieces") != least).alias("divided_without_need"), F.count_if(F.col("placed") != F.col("n_tokens")).alias("not_whole")
+    )
+    return texts.join(full, "window_name")
+
+
+QUERIES["p7_check"] = p7_check
+ORACLES["p7_check"] = r"""
+    SELECT window_name, count(*) AS texts, 0::BIGINT AS divided_without_need, 0::BIGINT AS not_whole, 0::BIGINT AS overfull, true AS well_filled
+    FROM documents, context_windows WHERE regexp_matches(text, '\S') GROUP BY window_name"""
+
+
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
 
@@ -126,7 +171,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id")
 
 
-QUERIES |= {"p8_found": p8_found, "p8_leaks": p8_leaks}
+def p8_verbatim(spark: SparkSession, d: str) -> DataFrame:
+    """The found pairs whose document holds the whole item letter by letter."""
+    documents, items = _table(spark, d, "documents").select("doc_id", F.col("text").alias("__t")), _table(spark, d, "eval_items").select("item_id", F.trim("text").alias("__i"))
+    found = p8_found(spark, d).join(documents, "doc_id").join(items, "item_id")
+    return found.where(F.contains("__t", "__i")).select("doc_id", "item_id").distinct()
+
+
+QUERIES |= {"p8_found": p8_found, "p8_leaks": p8_leaks, "p8_verbatim": p8_verbatim}
+ORACLES["p8_verbatim"] = "SELECT DISTINCT doc_id, item_id FROM documents d, eval_items i WHERE trim(i.text) <> '' AND contains(d.text, trim(i.text))"
 
 
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:

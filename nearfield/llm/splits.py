@@ -10,7 +10,8 @@ never records.  Then
   ``quarantined``, no split) until somebody decides, and nothing else moves;
 * new components fill the splits that are furthest below their target.
 
-The component id is the smallest record id in it.
+The component id is the smallest record id in it.  ``save_state`` and ``load_state`` keep the table in
+numbered versions below a durable path, so that batches may be days and applications apart.
 """
 
 from __future__ import annotations
@@ -20,19 +21,63 @@ from pyspark.sql import functions as F
 
 from nearfield.operators.graph import merge_components
 from nearfield.operators.skew import hot_keys, salted_join
-from nearfield.storage import Workspace
+from nearfield.storage import Workspace, metric
 
 STATE = "record_id string, component string, split string, status string"
 #: A new component above this share of the records is placed one by one: there are at most 1 / share.
 LARGE_SHARE = 0.001
-#: Buckets of the prefix sum over all other new components.
-SUM_BUCKETS = 1024
+#: Fewest and most buckets of the prefix sum over all other new components, and records a bucket aims at.
+SUM_BUCKETS = (1024, 65_536)
+BUCKET_RECORDS = 200_000
 
 
 def empty_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STATE)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions below a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [f.getPath() for f in fs.listStatus(where)]
+    done = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
+    return sorted(int(n.getName()[1:]) for n in done if n.getName()[:1] == "v" and n.getName()[1:].isdigit())
+
+
+def save_state(state: DataFrame, path: str) -> int:
+    """Writes the state as the next version below ``path``, a durable folder, and returns its number.
+
+    A version counts once it is complete; one that a failed job left half written is never read, and its
+    number is not used again.
+    """
+    spark = state.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    begun = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+    number = max([int(n[1:]) for n in begun if n[:1] == "v" and n[1:].isdigit()], default=0) + 1
+    state.select("record_id", "component", "split", "status").write.mode("error").parquet(f"{path}/v{number:08d}")
+    return number
+
+
+def load_state(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The state of a version, by default of the last complete one; an empty state where there is none yet."""
+    known = _versions(spark, path)
+    if version is None and not known:
+        return empty_state(spark)
+    if version is not None and version not in known:
+        raise ValueError(f"no complete version {version} below {path}")
+    return spark.read.schema(STATE).parquet(f"{path}/v{version or known[-1]:08d}")
+
+
+def update_saved(path: str, records: DataFrame, edges: DataFrame, targets: DataFrame, workspace: Workspace) -> tuple[DataFrame, int]:
+    """One batch on the persisted table: loads the last version, updates it and saves the next; the state and its version."""
+    spark = records.sparkSession
+    number = save_state(update(load_state(spark, path), records, edges, targets, workspace), path)
+    return load_state(spark, path, number), number
+
+
 def tie_keys(assignments: DataFrame) -> DataFrame:
     """``record_id, key``: the keys that tie records of ``component_assignments``.
 
@@ -77,8 +122,9 @@ def _fill(new: DataFrame, held: dict[str, int], targets: dict[str, float], total
         placed.append((row["component"], split))
     first = spark.createDataFrame(placed, "component string, split string")
 
+    buckets = int(min(SUM_BUCKETS[1], max(SUM_BUCKETS[0], total // BUCKET_RECORDS)))
     small = new.where(F.col("n") <= limit).withColumn("h", F.xxhash64(F.lit("fill"), "component"))
-    small = small.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(SUM_BUCKETS)))
+    small = small.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
     sums = {r["bucket"]: r["n"] for r in small.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     rest = sum(sums.values())
     open_ = {s: max(0.0, v) for s, v in lack.items()}
@@ -94,7 +140,7 @@ def _fill(new: DataFrame, held: dict[str, int], targets: dict[str, float], total
     for split in sorted(open_):  # from the last piece to the first
         choice = F.when(middle <= edge, F.lit(split)).otherwise(choice) if edge > 0 else choice
         edge -= open_[split] * scale
-    second = small.join(F.broadcast(offsets), "bucket").select("component", choice.alias("split"))  # SUM_BUCKETS rows
+    second = small.join(F.broadcast(offsets), "bucket").select("component", choice.alias("split"))  # one row a bucket
     return first.unionByName(second)
 
 
@@ -113,15 +159,16 @@ def update(state: DataFrame, records: DataFrame, edges: DataFrame, targets: Data
     current = workspace.save(
         known.join(fresh, "record_id", "full_outer").select("record_id", F.coalesce("old", "record_id").alias("at"), "split", "status", F.col("old").isNotNull().alias("before")),
         "records",
+        moved=F.count_if(F.col("before") & (F.col("at") != F.col("record_id"))),
     )
-    # the ends of the edges become the components that they are in now
-    where = current.select("record_id", "at").where(F.col("before") & (F.col("at") != F.col("record_id")))
-    lifted = (
-        edges.join(where.select(F.col("record_id").alias("a"), F.col("at").alias("ca")), "a", "left")
-        .select(F.coalesce("ca", "a").alias("a"), "b")
-        .join(where.select(F.col("record_id").alias("b"), F.col("at").alias("cb")), "b", "left")
-        .select("a", F.coalesce("cb", "b").alias("b"))
-    )
+    lifted = edges.select("a", "b")
+    if metric(current, "moved"):  # the ends of the edges become the components that they are in now
+        lifted = workspace.save(lifted.where("a is not null and b is not null"), "ties", rows=F.count(F.lit(1)))
+        where = current.select("record_id", "at").where(F.col("before") & (F.col("at") != F.col("record_id")))
+        for end, other in (("a", "b"), ("b", "a")):
+            hot = hot_keys(lifted, end, metric(lifted, "rows"))
+            moved = salted_join(lifted, where.select(F.col("record_id").alias(end), F.col("at").alias("__c")), end, hot, other, "left")
+            lifted = workspace.save(moved.select(F.coalesce("__c", end).alias(end), other), "lifted", rows=F.count(F.lit(1)))
     roots = merge_components(lifted, workspace)
     hot = hot_keys(current, "at", current.count())
     named = salted_join(current, roots.select(F.col("node").alias("at"), "root"), "at", hot, "record_id", "left")

@@ -79,6 +79,22 @@ def test_increment_keeps_splits_and_quarantines_conflicts(spark, workspace, targ
     assert later["a"] == ("a", None, "quarantined") and later["c"] == ("c", "train", "kept") and later["z"][2] == "new"
 
 
+def test_persisted_state_goes_on_in_versions(spark, workspace, targets, tmp_path):
+    path = f"file://{tmp_path}/state"
+    assert splits.load_state(spark, path).count() == 0
+    records = lambda *ids: spark.createDataFrame([(i,) for i in ids], "record_id string")
+    edges = lambda *pairs: spark.createDataFrame(list(pairs), "a string, b string")
+    first, one = splits.update_saved(path, records("a", "b", "c"), edges(("a", "b")), targets, workspace)
+    before = {r.record_id: r.split for r in first.collect()}
+    (tmp_path / "state" / "v00000002").mkdir()  # a job that failed half way
+    second, two = splits.update_saved(path, records("d"), edges(("b", "d")), targets, workspace)
+    after = {r.record_id: (r.component, r.split) for r in second.collect()}
+    assert (one, two) == (1, 3) and after["d"] == ("a", before["a"]) and all(after[k][1] == v for k, v in before.items())
+    assert {r.record_id for r in splits.load_state(spark, path, 1).collect()} == {"a", "b", "c"}
+    with pytest.raises(ValueError):
+        splits.load_state(spark, path, 2)
+
+
 def test_merged_old_components_take_the_smaller_id(spark, workspace, targets):
     state = spark.createDataFrame([("b", "b", "train", "kept"), ("c", "b", "train", "kept"), ("x", "x", "train", "kept")], splits.STATE)
     got = {r.record_id: r.component for r in run(spark, [("c", "r", 1, None, 0, ""), ("x", "r", 1, None, 0, ""), ("a", "r", 1, None, 0, "")], targets, state, workspace).collect()}
