@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,10 +146,10 @@ def _log_z(words: DataFrame, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log([r["z"] for r in rows]), np.log([max(r["weighted"], 1e-300) for r in rows])
 
 
-def _word_step(units_: DataFrame, mean: float, least: int, workspace: Workspace) -> tuple[DataFrame | None, np.ndarray, float]:
-    """Words, weighted log Z and log-likelihood of rows ``ids, level, ll``; no words without rows."""
+def _word_step(statistics: DataFrame, mean: float, least: int, workspace: Workspace) -> tuple[DataFrame | None, np.ndarray, float]:
+    """Words, weighted log Z and log-likelihood from sufficient statistics (see :func:`_sums`); no words without rows."""
     t = SCALE - mean
-    sums = workspace.save(_sums(units_, mean), "sums")
+    sums = workspace.save(statistics, "sums")
     bins = {-1 - r["word"]: r for r in sums.where(F.col("word").between(-len(t), -1)).collect()}  # one row a step of the scale
     if not bins:
         return None, t, 0.0
@@ -163,38 +164,116 @@ def _word_step(units_: DataFrame, mean: float, least: int, workspace: Workspace)
     return words, weighted, sum(r["ll"] or 0.0 for r in bins.values())
 
 
-def _levels(rows: DataFrame, words: DataFrame, weighted: np.ndarray, mean: float, keep: list[str], with_ids: bool, judged: bool) -> DataFrame:
-    """Level and log-likelihood of each unit; a unit without a known word has the mean level."""
+def _posterior(n: np.ndarray, push: np.ndarray, y: np.ndarray, weighted: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior mean level and log-likelihood of units with these weighted counts, slope sums and labels (NaN: none)."""
     t = SCALE - mean
-    spread_of_prior = -((SCALE - mean) ** 2) / (2 * LEVEL_SPREAD**2)
-
-    @F.pandas_udf("level double, ll double")
-    def posterior(count: pd.Series, slope: pd.Series, y: pd.Series) -> pd.DataFrame:
-        level, ll = np.empty(len(count)), np.empty(len(count))
-        for at in range(0, len(count), 20_000):
-            part = slice(at, at + 20_000)
-            n, b, label = (x.iloc[part].to_numpy(dtype=float) for x in (count, slope, y))
-            fit = np.outer(np.nan_to_num(b), t) - np.outer(np.nan_to_num(n), weighted)
-            prior = np.where(np.isnan(label)[:, None], spread_of_prior, -((SCALE - label[:, None]) ** 2) / (2 * LABEL_SPREAD**2))
-            p = fit + prior
-            p = np.exp(p - p.max(axis=1, keepdims=True))
-            level[part] = (p @ SCALE) / p.sum(axis=1)
-            ll[part] = fit.max(axis=1)
-        return pd.DataFrame({"level": level, "ll": ll})
-
-    single = rows.select("doc_id", "unit", "n", *keep, F.explode("ids").alias("word"))
-    table = words.select("word", "weight", (F.col("weight") * F.col("slope")).alias("push"))
-    if metric(words, "size") <= BROADCAST_WORDS:
-        joined = single.join(F.broadcast(table), "word", "left")
-    else:
-        hot = words.where(F.col("k") > max(HOT_ROWS, HOT_SHARE * (metric(words, "total") or 0))).select("word")  # at most 1000
+    level, ll = np.empty(len(n)), np.empty(len(n))
+    for at in range(0, len(n), 20_000):
+        part = slice(at, at + 20_000)
+        fit = np.outer(push[part], t) - np.outer(n[part], weighted)
+        label = y[part][:, None]
+        prior = np.where(np.isnan(label), -((SCALE - mean) ** 2) / (2 * LEVEL_SPREAD**2), -((SCALE - label) ** 2) / (2 * LABEL_SPREAD**2))
+        p = fit + prior
+        p = np.exp(p - p.max(axis=1, keepdims=True))
+        level[part] = (p @ SCALE) / p.sum(axis=1)
+        ll[part] = fit.max(axis=1)
+    return level, ll
+
+
+class Model:
+    """A fitted model: ``words``, the weighted log Z, the mean label, the line of the link and the log-likelihood of each round."""
+
+    def __init__(self, words: DataFrame, weighted: np.ndarray, mean: float):
+        self.mean, self.slope, self.intercept = mean, 1.0, 0.0
+        self.likelihoods: list[float] = []
+        self.set(words, weighted)
+
+    def set(self, words: DataFrame, weighted: np.ndarray) -> None:
+        self.words, self.weighted, self.shared = words, weighted, None
+        if metric(words, "size") <= BROADCAST_WORDS:  # counted: at most so many rows of three numbers
+            table = words.select("word", "weight", (F.col("weight") * F.col("slope")).alias("push")).toPandas().sort_values("word")
+            self.shared = words.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("word", "weight", "push")))
+
+    def statistics(self, rows: DataFrame) -> DataFrame:
+        """The sums of :func:`_sums` with each unit at its level under this model; ``rows`` has ``ids, y``."""
+        if self.shared is None:
+            return _sums(self._by_shuffle(rows, ["y"], True, True), self.mean)
+        shared, weighted, mean = self.shared, self.weighted, self.mean
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                flat, owner, n, push = _looked_up(b, *shared.value)
+                y = b.column("y").to_numpy(zero_copy_only=False).astype(float)
+                level, ll = _posterior(n, push, y, weighted, mean)
+                words, where = np.unique(flat, return_inverse=True)
+                step = np.round((level - SCALE[0]) / (SCALE[1] - SCALE[0])).astype("int64")
+                zeros, bins = np.zeros(len(words)), len(SCALE)
+                size = np.bincount(owner, minlength=len(level))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([words, -1 - np.arange(bins)])),
+                        pa.array(np.concatenate([np.bincount(where, minlength=len(words)), np.bincount(step, minlength=bins)]).astype("int64")),
+                        pa.array(np.concatenate([np.bincount(where, weights=(level - mean)[owner], minlength=len(words)), np.zeros(bins)])),
+                        pa.array(np.concatenate([zeros, np.bincount(step, weights=size, minlength=bins)]).astype("int64")),
+                        pa.array(np.concatenate([zeros, np.bincount(step, weights=ll, minlength=bins)])),
+                    ],
+                    names=["word", "k", "s", "size", "ll"],
+                )
+
+        parts = rows.select("ids", "y").mapInArrow(run, "word bigint, k bigint, s double, size bigint, ll double")
+        return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("k", "s", "size", "ll")])
+
+    def levels(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """``doc_id, n, level`` and ``keep`` of each unit, without a look at labels; a unit without a known word has the mean level."""
+        if self.shared is None:
+            return self._by_shuffle(rows, keep, False, False).select("doc_id", "n", *keep, "level")
+        shared, weighted, mean = self.shared, self.weighted, self.mean
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                _, _, n, push = _looked_up(b, *shared.value)
+                level, _ = _posterior(n, push, np.full(len(n), np.nan), weighted, mean)
+                names = ["doc_id", "n", *keep]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(level)], names=[*names, "level"])
+
+        kinds = dict(rows.dtypes)
+        return rows.select("doc_id", "n", *keep, "ids").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "n", *keep)) + ", level double")
+
+    def _by_shuffle(self, rows: DataFrame, keep: list[str], with_ids: bool, judged: bool) -> DataFrame:
+        """The same for any number of words: an equi-join on the word, salted for frequent ones."""
+        weighted, mean = self.weighted, self.mean
+
+        @F.pandas_udf("level double, ll double")
+        def posterior(n: pd.Series, push: pd.Series, y: pd.Series) -> pd.DataFrame:
+            level, ll = _posterior(*(x.to_numpy(dtype=float, na_value=0.0) for x in (n, push)), y.to_numpy(dtype=float), weighted, mean)
+            return pd.DataFrame({"level": level, "ll": ll})
+
+        single = rows.select("doc_id", "unit", "n", *keep, F.explode("ids").alias("word"))
+        table = self.words.select("word", "weight", (F.col("weight") * F.col("slope")).alias("push"))
+        hot = self.words.where(F.col("k") > max(HOT_ROWS, HOT_SHARE * (metric(self.words, "total") or 0))).select("word")  # at most 1000
         joined = salted_join(single, table, "word", hot, "doc_id", "left")
-    sums = [F.sum("weight").alias("__n"), F.sum("push").alias("__b")]
-    if with_ids:
-        sums.append(F.collect_list("word").alias("ids"))  # at most UNIT_WORDS + 2
-    out = joined.groupBy("doc_id", "unit", "n", *keep).agg(*sums)
-    y = F.col("y") if judged else F.lit(None).cast("double")
-    return out.withColumn("__p", posterior("__n", "__b", y)).select("doc_id", "unit", "n", *keep, *(["ids"] if with_ids else []), "__p.level", "__p.ll")
+        sums = [F.sum("weight").alias("__n"), F.sum("push").alias("__b")]
+        if with_ids:
+            sums.append(F.collect_list("word").alias("ids"))  # at most UNIT_WORDS + 2
+        out = joined.groupBy("doc_id", "unit", "n", *keep).agg(*sums)
+        y = F.col("y") if judged else F.lit(None).cast("double")
+        return out.withColumn("__p", posterior("__n", "__b", y)).select("doc_id", "unit", "n", *keep, *(["ids"] if with_ids else []), "__p.level", "__p.ll")
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """``doc_id, n, level`` of units, on the readers' scale."""
+        return self.levels(rows, []).withColumn("level", F.greatest(F.lit(0.5), F.least(F.lit(5.5), F.col("level") * self.slope + self.intercept)))
+
+
+def _looked_up(batch: pa.RecordBatch, words: np.ndarray, weight: np.ndarray, push: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of a batch of units in a row, the unit of each, and per unit the summed weights and pushes of the known words."""
+    ids = batch.column("ids")
+    lengths = ids.value_lengths().to_numpy(zero_copy_only=False)
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
+    known = np.flatnonzero(words[at] == flat) if len(words) else np.zeros(0, dtype="int64")
+    sums = [np.bincount(owner[known], weights=x[at[known]], minlength=len(lengths)) for x in (weight, push)]
+    return flat, owner, *sums
 
 
 def _link(labelled: DataFrame) -> tuple[float, float]:
@@ -206,20 +285,6 @@ def _link(labelled: DataFrame) -> tuple[float, float]:
     return float(row["a"]), float(row["b"])
 
 
-class Model:
-    """A fitted model: ``words``, the weighted log Z, the mean label, the line of the link and the log-likelihood of each round."""
-
-    def __init__(self, words: DataFrame, weighted: np.ndarray, mean: float):
-        self.words, self.weighted, self.mean = words, weighted, mean
-        self.slope, self.intercept = 1.0, 0.0
-        self.likelihoods: list[float] = []
-
-    def score(self, rows: DataFrame, workspace: Workspace) -> DataFrame:
-        """``rows`` with ``level`` on the readers' scale."""
-        scored = _levels(rows, self.words, self.weighted, self.mean, [], False, False)
-        return scored.withColumn("level", F.greatest(F.lit(0.5), F.least(F.lit(5.5), F.col("level") * self.slope + self.intercept)))
-
-
 def fit(rows: DataFrame, labels: DataFrame, workspace: Workspace) -> Model | None:
     """The model of units ``rows`` (from :func:`units`, written down) and labels; None without usable labels.
 
@@ -231,20 +296,20 @@ def fit(rows: DataFrame, labels: DataFrame, workspace: Workspace) -> Model | Non
     mean = labelled.select("doc_id", "y").distinct().agg(F.avg("y")).first()[0]
     if mean is None:
         return None
-    words, weighted, _ = _word_step(labelled.select("ids", F.col("y").alias("level"), F.lit(0.0).alias("ll")), mean, 1, workspace)
+    judged = labelled.select("ids", F.col("y").alias("level"), F.lit(0.0).alias("ll"))
+    words, weighted, _ = _word_step(_sums(judged, mean), mean, 1, workspace)
     model = Model(words, weighted, mean)
     everything = rows.join(y, "doc_id", "left")
     for _ in range(MOST_ROUNDS):
-        placed = _levels(everything, model.words, model.weighted, mean, ["y"], True, True)
-        words, weighted, ll = _word_step(placed, mean, LEAST_UNITS, workspace)
-        gain = None if not model.likelihoods else ll - model.likelihoods[-1]
+        words, weighted, ll = _word_step(model.statistics(everything), mean, LEAST_UNITS, workspace)
+        last = model.likelihoods[-1] if model.likelihoods else None
         model.likelihoods.append(ll)
         if words is None or not metric(words, "size"):
             break
-        model.words, model.weighted = words, weighted
-        if gain is not None and gain < TOLERANCE * abs(model.likelihoods[-2]):
+        model.set(words, weighted)
+        if last is not None and ll - last < TOLERANCE * abs(last):
             break
-    model.slope, model.intercept = _link(_levels(labelled, model.words, model.weighted, mean, ["y"], False, False))
+    model.slope, model.intercept = _link(model.levels(labelled, ["y"]))
     return model
 
 
@@ -258,7 +323,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, workspace: Workspace
     model = fit(rows, labels, workspace)
     if model is None:
         return rows.groupBy("doc_id").agg(F.lit(None).cast("double").alias("level"), F.lit(0.0).alias("hard_share"), F.sum("n").alias("n_words"))
-    scored = model.score(rows, workspace)
+    scored = model.score(rows)
     n = F.col("n")
     return scored.groupBy("doc_id").agg(
         (F.sum(F.col("level") * n) / F.sum(n)).alias("level"),
