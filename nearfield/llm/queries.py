@@ -55,7 +55,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_1").alias("sample_id_1"), F.col("id_2").alias("sample_id_2"))
 
 
-QUERIES["p5_found"] = p5_found
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """The class form: one row a record, copies are not paired."""
+    sets = setjoin.component_sets(_table(spark, d, "focused_molecules"), "sample_id", "smiles")
+    return setjoin.class_links(sets, Workspace(spark, "p5-links"), 0.6).withColumnRenamed("id", "sample_id")
+
+
+QUERIES |= {"p5_found": p5_found, "p5_links": p5_links}
 ORACLES["p5_found"] = r"""
     WITH s AS (
         SELECT sample_id, list_sort(list_distinct(list_filter(list_transform(string_split(smiles, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''))) AS items
@@ -65,6 +71,14 @@ ORACLES["p5_found"] = r"""
           FROM n a JOIN n b ON a.sample_id < b.sample_id)
     SELECT sample_id_1, sample_id_2 FROM p WHERE common >= 0.6 * (total - common) - 1e-9"""
 
+ORACLES["p5_links"] = r"""
+    WITH s AS (
+        SELECT sample_id, list_sort(list_distinct(list_filter(list_transform(string_split(smiles, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''))) AS items
+        FROM (SELECT sample_id, min(smiles) AS smiles FROM focused_molecules GROUP BY sample_id)),
+    c AS (SELECT items, min(sample_id) AS class_id, len(items) AS n FROM s WHERE len(items) > 0 GROUP BY items),
+    p AS (SELECT a.class_id AS c, b.class_id AS o FROM c a JOIN c b ON a.class_id <> b.class_id AND len(list_intersect(a.items, b.items)) >= 0.6 * (a.n + b.n - len(list_intersect(a.items, b.items))) - 1e-9)
+    SELECT sample_id, class_id, count(o) AS links FROM s JOIN c USING (items) LEFT JOIN p ON p.c = class_id GROUP BY sample_id, class_id"""
+
 
 def _split_state(spark: SparkSession, rows: DataFrame, targets: DataFrame, state: DataFrame, label: str) -> DataFrame:
     ws = Workspace(spark, label)

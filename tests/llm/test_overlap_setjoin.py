@@ -120,6 +120,19 @@ def test_set_join_matches_brute_force(spark, workspace, monkeypatch, block):
     assert set(got) == brute_sets(rows, 0.6) and len(got) == len(set(got))
 
 
+def test_copies_in_blocks_and_in_class_form(spark, workspace, monkeypatch):
+    monkeypatch.setattr(setjoin, "MEMBERS", 7)
+    monkeypatch.setattr(setjoin, "hot_keys", lambda df, key, total: df.groupBy(key).count().where("count > 5").select(key))
+    rows = [(f"c{i:02d}", "A.B.C.D.E") for i in range(40)] + [(f"d{i}", "A.B.C.D.F") for i in range(9)] + [("e", "X.Y"), ("f", "E.D.C.B.A.G")]
+    df = spark.createDataFrame(rows, "sample_id string, smiles string")
+    sets = setjoin.component_sets(df, "sample_id", "smiles")
+    parts = {i: set(s.split(".")) for i, s in rows}
+    want = sorted((x, y) for x in parts for y in parts if x < y and len(parts[x] & parts[y]) >= 0.6 * len(parts[x] | parts[y]))
+    assert sorted((r.id_1, r.id_2) for r in setjoin.similar_records(sets, workspace, 0.6).collect()) == want
+    links = {r.id: (r.class_id, r.links) for r in setjoin.class_links(sets, workspace, 0.6).collect()}
+    assert links["c17"] == ("c00", 2) and links["d3"] == ("d0", 1 + (("d0", "f") in want)) and links["e"] == ("e", 0)
+
+
 def test_set_join_of_nothing(spark, workspace):
     df = spark.createDataFrame([], "sample_id string, smiles string")
     assert setjoin.similar_records(setjoin.component_sets(df, "sample_id", "smiles"), workspace).count() == 0
