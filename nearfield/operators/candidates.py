@@ -18,9 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import kernels as K
-from nearfield.operators.skew import hot_keys, salted_join, spread
+from nearfield.operators.skew import hot_keys, meet, meet_two, salted_join, spread
+from nearfield.storage import Workspace
 
 _EPS = 1e-9
+#: Rows of one key that a block of a join holds.
+BLOCK_ROWS = 5_000
 
 
 def set_classes(df: DataFrame, id_col: str, set_col: str) -> tuple[DataFrame, DataFrame]:
@@ -56,13 +59,17 @@ def prefix_jaccard(classes: DataFrame, t: float) -> DataFrame:
     cut into blocks that meet pairwise, so that no task holds all of them.
     """
     p = _prefixes(classes, t)
-    counts = p.groupBy("token").agg(F.ceil(F.count("*") / F.lit(5_000)).cast("int").alias("parts"))
-    p = p.join(counts, "token").withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
-    left = p.select("token", F.col("class_id").alias("c1"), F.col("n").alias("n1"), F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    right = p.select("token", F.col("class_id").alias("c2"), F.col("n").alias("n2"), F.col("part").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
-    near = (F.col("c1") < F.col("c2")) & (F.least("n1", "n2") >= F.lit(t) * F.greatest("n1", "n2") - F.lit(_EPS))
-    candidates = left.join(right, ["token", "i", "j"]).where(near).select("c1", "c2").distinct()
-    return verify_sets(candidates, classes, t)
+    near = F.least("n_1", "n_2") >= F.lit(t) * F.greatest("n_1", "n_2") - F.lit(_EPS)
+    pairs = meet(p, "token", "class_id", ["class_id", "n"], BLOCK_ROWS, _workspace(classes)).where(near)
+    return verify_sets(_ordered(pairs).distinct(), classes, t)
+
+
+def _workspace(df: DataFrame) -> Workspace:
+    return Workspace(df.sparkSession, "candidates")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("class_id_1", "class_id_2").alias("c1"), F.greatest("class_id_1", "class_id_2").alias("c2"))
 
 
 def verify_sets(candidates: DataFrame, classes: DataFrame, t: float, kernel: Callable[[Column, Column], Column] = K.jaccard) -> DataFrame:
@@ -126,12 +133,8 @@ def minhash_jaccard(classes: DataFrame, t: float, hashes: int = 128, rows: int =
     (1 - 0.8^4)^32 < 1e-7 with the defaults.
     """
     sig = minhash_signatures(classes, hashes, rows).select("class_id", F.xxhash64("band", "bucket").alias("key"))
-    counts = sig.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / 5_000).cast("int").alias("parts"))
-    sig = sig.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
-    left = sig.select("key", F.col("class_id").alias("c1"), F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    right = sig.select("key", F.col("class_id").alias("c2"), F.col("part").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
-    candidates = left.join(right, ["key", "i", "j"]).where("c1 < c2").select("c1", "c2").distinct()
-    return verify_sets(candidates, classes, t)
+    pairs = meet(sig, "key", "class_id", ["class_id"], BLOCK_ROWS, _workspace(classes))
+    return verify_sets(_ordered(pairs).distinct(), classes, t)
 
 
 def _signs(vector: Column, planes: np.ndarray) -> Column:
@@ -144,12 +147,14 @@ def _signs(vector: Column, planes: np.ndarray) -> Column:
 
 
 def sign_codes(df: DataFrame, id_col: str, vector: str, bits: int) -> DataFrame:
-    """``id, code``: the signs of the first ``bits`` parts of a vector."""
-    chosen = [F.when(F.col(vector)[i] >= 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(bits)]
-    code = chosen[0]
-    for b in chosen[1:]:
-        code = code + b
-    return df.select(F.col(id_col).alias("id"), code.alias("code"))
+    """``id, code``: the signs of the first ``bits`` parts of a vector; one number, or an array of 32-bit numbers beyond 32 bits."""
+    words = []
+    for lo in range(0, bits, 32):
+        code = F.lit(0).cast("bigint")
+        for i in range(lo, min(bits, lo + 32)):
+            code = code + F.when(F.col(vector)[i] >= 0, F.lit(1 << (i - lo))).otherwise(F.lit(0)).cast("bigint")
+        words.append(code)
+    return df.select(F.col(id_col).alias("id"), (words[0] if bits <= 32 else F.array(*words)).alias("code"))
 
 
 def hyperplane_candidates(queries: DataFrame, train: DataFrame, vector: str, dims: int, bits: int = 8, tables: int = 8, seed: int = 11) -> DataFrame:
@@ -186,11 +191,10 @@ def block_join(queries: DataFrame, train: DataFrame, keys: list[str], similarity
     """Pairs that agree on all block columns, null with null (J5); ``similarity`` of the columns ``a_*`` and ``b_*``, else 1."""
     a = queries.select(F.col("id").alias("sample_id"), *[F.col(c).alias(f"a_{c}") for c in queries.columns if c != "id"])
     b = train.select(F.col("id").alias("train_id"), *[F.col(c).alias(f"b_{c}") for c in train.columns if c != "id"])
-    on = None
-    for k in keys:
-        same = F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}"))
-        on = same if on is None else on & same
-    return a.join(b, on).where("sample_id <> train_id").select("sample_id", "train_id", (similarity if similarity is not None else F.lit(1.0)).alias("similarity"))
+    # the block as one struct, which is never null itself, so that blocks of nulls match and are split like any other
+    name = lambda side: F.struct(*[F.col(f"{side}_{k}").alias(f"k{i}") for i, k in enumerate(keys)])
+    pairs = meet_two(a.withColumn("__block", name("a")), b.withColumn("__block", name("b")), "__block", "sample_id", "train_id", BLOCK_ROWS, _workspace(train))
+    return pairs.where("sample_id <> train_id").select("sample_id", "train_id", (similarity if similarity is not None else F.lit(1.0)).alias("similarity"))
 
 
 def qgram_edit_join(texts: DataFrame, id_col: str, text_col: str, distance: int, q: int = 2) -> DataFrame:
@@ -212,8 +216,8 @@ def qgram_edit_join(texts: DataFrame, id_col: str, text_col: str, distance: int,
     keyed = first.select("t", F.explode("p").alias("key")).unionByName(
         first.where(F.col("n") <= q * distance).select("t", F.explode(F.transform(F.sequence(F.length("t") - distance, F.length("t") + distance), lambda i: F.concat(F.lit("#length:"), i.cast("string")))).alias("key"))
     )
-    a, b = keyed.withColumnRenamed("t", "a"), keyed.withColumnRenamed("t", "b")
-    near = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= distance)).select("a", "b").distinct()
+    pairs = meet(keyed, "key", "t", ["t"], BLOCK_ROWS, _workspace(texts)).where(F.abs(F.length("t_1") - F.length("t_2")) <= distance)
+    near = pairs.select(F.least("t_1", "t_2").alias("a"), F.greatest("t_1", "t_2").alias("b")).distinct()
     scored = near.withColumn("edits", F.levenshtein("a", "b", distance)).where("edits >= 0")
     return scored.withColumn("similarity", F.greatest(F.lit(0.0), 1 - F.col("edits") / F.greatest(F.length("a"), F.length("b"))))
 
@@ -222,16 +226,31 @@ def hamming_radius(codes: DataFrame, bits: int, radius: int) -> DataFrame:
     """All pairs of codes within a Hamming radius (J9, T2): ``c1 < c2, distance, similarity``.
 
     Multi-index hashing: of radius + 1 pieces of the code at least one agrees, so the pieces are the keys
-    of an equi-join; ``codes`` has ``id, code``.
+    of an equi-join, in blocks where many codes share a piece.  ``codes`` has ``id, code``: one number, or
+    an array of numbers of 32 bits each for longer codes.
     """
+    if not codes.schema["code"].dataType.typeName() == "array":
+        codes = codes.select("id", F.array(F.col("code").bitwiseAND(F.lit(2**32 - 1)), F.shiftrightunsigned("code", 32)).alias("code"))
     pieces = radius + 1
     cuts = [round(i * bits / pieces) for i in range(pieces + 1)]
-    parts = F.array(*[F.shiftrightunsigned(F.col("code"), cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(pieces)])
-    keyed = codes.select("id", "code", F.posexplode(parts).alias("piece", "value"))
-    a = keyed.select(F.col("id").alias("c1"), F.col("code").alias("x"), "piece", "value")
-    b = keyed.select(F.col("id").alias("c2"), F.col("code").alias("y"), "piece", "value")
-    d = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    return a.join(b, ["piece", "value"]).where((F.col("c1") < F.col("c2")) & (d <= radius)).select("c1", "c2", d.alias("distance"), (1 - d / bits).alias("similarity")).distinct()
+    word = lambda i: F.col("code")[i]
+
+    def piece(lo: int, hi: int) -> Column:
+        """Bits lo .. hi - 1, which stand in one word or in two and more."""
+        out, shift = F.lit(0).cast("bigint"), 0
+        while lo < hi:
+            end = min(hi, (lo // 32 + 1) * 32)
+            part = F.shiftrightunsigned(word(lo // 32), lo % 32).bitwiseAND(F.lit((1 << (end - lo)) - 1))
+            out = out.bitwiseOR(F.shiftleft(part.cast("bigint"), shift)) if shift + end - lo <= 62 else F.xxhash64(out, part)
+            shift += end - lo
+            lo = end
+        return out
+
+    parts = F.array(*[F.xxhash64(F.lit(i), piece(cuts[i], cuts[i + 1])) for i in range(pieces)])
+    keyed = codes.select("id", "code", F.explode(parts).alias("key"))
+    d = K.total(F.zip_with("code_1", "code_2", lambda x, y: F.bit_count(x.bitwiseXOR(y)))).cast("int")
+    near = meet(keyed, "key", "id", ["id", "code"], BLOCK_ROWS, _workspace(codes)).withColumn("distance", d).where(F.col("distance") <= radius)
+    return near.select(F.least("id_1", "id_2").alias("c1"), F.greatest("id_1", "id_2").alias("c2"), "distance", (1 - F.col("distance") / bits).alias("similarity")).distinct()
 
 
 #: From this share of filled cells on, sparse rows are multiplied as dense blocks.
@@ -253,7 +272,7 @@ def sparse_products(queries: DataFrame, train: DataFrame) -> DataFrame:
         return _dense_products(queries, train, size["rows"])
     a = queries.select(F.col("id").alias("sample_id"), "key", F.col("weight").alias("x"))
     b = train.select(F.col("id").alias("train_id"), "key", F.col("weight").alias("y"))
-    joined = a.join(b, "key").where("sample_id <> train_id")
+    joined = meet_two(a, b, "key", "sample_id", "train_id", BLOCK_ROWS, _workspace(train)).where("sample_id <> train_id")
     return joined.groupBy("sample_id", "train_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.least("x", "y")).alias("low"))
 
 
@@ -353,7 +372,6 @@ def kernel_search(queries: DataFrame, train: DataFrame, vector: str, dims: int,
     searched exactly.
     """
     from nearfield.operators.edges import dense_top_k, top_k
-    from nearfield.storage import Workspace
 
     ws = Workspace(train.sparkSession, "kernel-search")
     rows, asked = train.count(), queries.count()

@@ -56,6 +56,61 @@ def salted_join(
     return left.drop("__hot").join(right, [key, "__salt"], how).drop("__salt")
 
 
+class KeyCounts:
+    """The exact counts of a key, written down once: which keys are cut into blocks of ``size``, and which are hot."""
+
+    def __init__(self, df: DataFrame, key: str, size: int, workspace):
+        n = F.col("__n")
+        counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+        self.table = workspace.save(counts, "counts", total=F.coalesce(F.sum(n), F.lit(0)), most=F.coalesce(F.max(n), F.lit(0)))
+        self.key, found = key, self.table._nearfield_metrics
+        self.cut = found["most"] > size
+        self.parts = self.table.where(n > size).select(key, F.ceil(n / F.lit(size)).cast("int").alias("__parts"))
+        self.hot = self.table.where(n > max(HOT_ROWS, HOT_SHARE * found["total"])).select(key)  # at most 1000
+        if found["most"] <= HOT_ROWS:
+            self.hot._nearfield_none = True
+
+    def with_parts(self, df: DataFrame, by: str, of: "KeyCounts | None" = None) -> DataFrame:
+        """``df`` with ``__parts``, the number of blocks of its key in this table or in that ``of`` the other side."""
+        other = of or self
+        if not other.cut:
+            return df.withColumn("__parts", F.lit(1))
+        return salted_join(df, other.parts, self.key, self.hot, by, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+
+
+def _part(by: str) -> Column:
+    return F.pmod(F.xxhash64(by), F.col("__parts")).cast("int")
+
+
+def meet(df: DataFrame, key: str, by: str, columns: list[str], size: int, workspace) -> DataFrame:
+    """Every unordered pair of rows that share a key, as ``{column}_1, {column}_2``, once for each key shared.
+
+    A self-join in which block meets block, so that no task holds all rows of a key.  ``by`` must differ
+    between the rows of a key; ``columns`` holds it.  Which row of a pair comes first is not defined.
+    """
+    blocks = KeyCounts(df, key, size, workspace).with_parts(df.where(F.col(key).isNotNull()), by).withColumn("__part", _part(by))
+    part, last = F.col("__part"), F.col("__parts") - 1
+    left = blocks.select(F.col(key).alias("__k"), *[F.col(c).alias(f"{c}_1") for c in columns], part.alias("__i"), F.explode(F.sequence(part, last)).alias("__j"))
+    right = blocks.select(F.col(key).alias("__k"), *[F.col(c).alias(f"{c}_2") for c in columns], part.alias("__j"), F.explode(F.sequence(F.lit(0), part)).alias("__i"))
+    pairs = left.join(right, ["__k", "__i", "__j"]).where((F.col("__i") < F.col("__j")) | (F.col(f"{by}_1") < F.col(f"{by}_2")))
+    return pairs.drop("__k", "__i", "__j")
+
+
+def meet_two(left: DataFrame, right: DataFrame, key: str, left_by: str, right_by: str, size: int, workspace) -> DataFrame:
+    """``left JOIN right USING (key)`` without the key, where both sides may have many rows of it: blocks meet blocks.
+
+    The other columns of the two sides must have different names.  Null keys match nothing.
+    """
+    a, b = KeyCounts(left, key, size, workspace), KeyCounts(right, key, size, workspace)
+    sides = []
+    for df, by, mine, theirs, own, other in ((left, left_by, a, b, "__i", "__j"), (right, right_by, b, a, "__j", "__i")):
+        placed = mine.with_parts(df.where(F.col(key).isNotNull()), by).withColumn(own, _part(by)).drop("__parts")
+        # every row meets all blocks that the other side has of its key
+        placed = mine.with_parts(placed, by, theirs).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+        sides.append(placed.drop("__parts"))
+    return sides[0].join(sides[1], [key, "__i", "__j"]).drop("__i", "__j", key)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """The rows over enough tasks for Python work on each row: shuffles only a table that came in too few splits."""
     wanted = 2 * df.sparkSession.sparkContext.defaultParallelism

@@ -388,6 +388,35 @@ def test_merged_components_with_hot_hubs_match_union_find(spark, workspace, monk
     assert G.merge_components(spark.createDataFrame([], "a bigint, b bigint"), workspace).count() == 0
 
 
+def test_meeting_in_blocks_equals_a_join(spark, workspace, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, "hot", "hot", "hot", f"k{rng.randint(0, 30)}"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, key string")
+    got = sorted(tuple(sorted((r.id_1, r.id_2))) for r in skew.meet(df, "key", "id", ["id"], 7, workspace).collect())
+    assert got == [(a, b) for a, k in rows for b, m in rows if a < b and k == m and k is not None]
+    other = df.where("id % 3 = 0").select(F.col("id").alias("q"), "key")
+    for size in (7, 1000):
+        got = sorted((r.q, r.id) for r in skew.meet_two(other, df, "key", "q", "id", size, workspace).collect())
+        assert got == sorted((a, b) for a, k in rows for b, m in rows if a % 3 == 0 and k == m and k is not None)
+
+
+def test_block_join_of_null_blocks(spark):
+    df = spark.createDataFrame([(1, None, 1), (2, None, 1), (3, "a", None), (4, "a", None), (5, "a", 1)], "id int, x string, y int")
+    assert sorted((r.sample_id, r.train_id) for r in C.block_join(df, df, ["x", "y"]).collect()) == [(1, 2), (2, 1), (3, 4), (4, 3)]
+
+
+def test_codes_beyond_32_bits(spark):
+    rng = random.Random(9)
+    vectors = [[rng.gauss(0, 1) for _ in range(70)] for _ in range(40)]
+    vectors += [[x if rng.random() > 0.04 else -x for x in v] for v in vectors]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id int, v array<double>")
+    for bits, radius in ((70, 4), (64, 3), (33, 2), (20, 2), (70, 0)):
+        signs = [[x >= 0 for x in v[:bits]] for v in vectors]
+        want = sorted((i, j, n) for i in range(80) for j in range(i + 1, 80) if (n := sum(a != b for a, b in zip(signs[i], signs[j]))) <= radius)
+        assert sorted((r.c1, r.c2, r.distance) for r in C.hamming_radius(C.sign_codes(df, "id", "v", bits), bits, radius).collect()) == want
+
+
 def test_no_task_reads_a_hot_hub_alone(spark, workspace, monkeypatch):
     """A key with half of all rows: after salting the largest partition of the join holds under 5 % of them."""
     hub = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("to"), F.col("id").alias("node"))
