@@ -64,6 +64,14 @@ def test_small_blocks_give_the_same(spark, workspace, monkeypatch):
     assert got == {(f"e{i}", f"t{j}") for i, a in enumerate(evals) for j, b in enumerate(train) if close(a, b)}
 
 
+def test_a_text_of_many_ids_meets_in_blocks(spark, workspace, monkeypatch):
+    monkeypatch.setattr(overlap, "MEMBERS", 3)
+    e = [(f"e{i}", "CCNOCCNOCCNO") for i in range(10)] + [("e9x", "CCNOCCNOCCNN"), ("e8x", None)]
+    t = [(f"t{i}", " CCNOCCNOCCNO") for i in range(11)] + [("ty", "CCNOCCNOCCN"), ("tz", "unlike")]
+    got = overlap.cross_split_overlaps(spark.createDataFrame(e, "sample_id string, smiles string"), spark.createDataFrame(t, "train_id string, smiles string"), workspace).collect()
+    assert {(r.sample_id, r.train_id) for r in got} == {(a, b) for a, x in e if x for b, y in t if close(x.strip(), y.strip())} and len(got) == 11 * 12
+
+
 def test_empty_tables(spark, workspace):
     t = spark.createDataFrame([], "train_id string, smiles string")
     e = spark.createDataFrame([("a", "CCCCCCCCCCCCCCC")], "sample_id string, smiles string")
