@@ -137,7 +137,7 @@ def blind_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["blind_bundle"] = blind_bundle
-ORACLES["blind_bundle"] = "SELECT sample_id, smiles, y_pred FROM (SELECT DISTINCT sample_id, smiles, y_pred, y_true FROM eval_molecules)"
+ORACLES["blind_bundle"] = "SELECT sample_id, smiles, CASE WHEN isfinite(y_pred) THEN y_pred END AS y_pred FROM (SELECT DISTINCT sample_id, smiles, y_pred, y_true FROM eval_molecules)"
 
 # ---- catalogs ---------------------------------------------------------------------------------------------
 
