@@ -1,120 +1,181 @@
-"""Kernels that need dynamic programming or ordered greedy steps: Arrow-batched pandas UDFs over pairs."""
+"""Kernels that need dynamic programming or ordered greedy steps: pandas UDFs that treat all pairs of a batch at once.
+
+The tables of the dynamic programs are swept along their anti-diagonals, whose cells do not depend on each
+other: one numpy step serves a whole diagonal of every pair of a chunk.  Pairs of like size share a chunk.
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+#: Pairs of a chunk, and cells of one diagonal over all its pairs.
+CHUNK_PAIRS = 512
+CHUNK_CELLS = 500_000
 
-def align(a, b) -> tuple[int, int]:
-    """(matches, aligned length) of a global alignment with +1 / -1 / -1; ties prefer diagonal, then up, then left."""
-    n, m = len(a), len(b)
-    score = np.zeros((n + 1, m + 1), dtype="int32")
-    score[:, 0], score[0, :] = -np.arange(n + 1), -np.arange(m + 1)
-    for i in range(1, n + 1):
-        row, above = score[i], score[i - 1]
-        x = a[i - 1]
-        for j in range(1, m + 1):
-            row[j] = max(above[j - 1] + (1 if x == b[j - 1] else -1), above[j] - 1, row[j - 1] - 1)
-    i, j, matches, length = n, m, 0, 0
-    while i or j:
-        if i and j and score[i, j] == score[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1):
-            matches += a[i - 1] == b[j - 1]
-            i, j = i - 1, j - 1
-        elif i and score[i, j] == score[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
-        length += 1
-    return int(matches), length
-
-
-def _identity(a, b) -> float | None:
-    if a is None or b is None:
-        return None
-    if not len(a) and not len(b):
-        return 1.0
-    matches, length = align(a, b)
-    return matches / length
-
-
-def dtw(a, b, window: int | None = None) -> float:
-    """Dynamic time warping with |difference| cost, a band of at least |n - m|, divided by n + m."""
-    n, m = len(a), len(b)
-    w = max(window if window is not None else max(n, m), abs(n - m))
-    previous = np.full(m + 1, math.inf)
-    previous[0] = 0.0
-    for i in range(1, n + 1):
-        current = np.full(m + 1, math.inf)
-        for j in range(max(1, i - w), min(m, i + w) + 1):
-            current[j] = abs(a[i - 1] - b[j - 1]) + min(previous[j], current[j - 1], previous[j - 1])
-        previous = current
-    return float(previous[m]) / (n + m)
-
-
-def _dtw_similarity(a, b, form: str, scale: float, window: int | None) -> float | None:
-    if a is None or b is None:
-        return None
-    if not len(a) or not len(b):
-        return 1.0 if len(a) == len(b) else 0.0
-    d = dtw(a, b, window)
-    return math.exp(-d / scale) if form == "exp" else 1 / (1 + d / scale)
-
-
-def spectrum_cosine(a, b, tolerance: float = 0.01) -> float | None:
-    """Greedy two-pointer match of sorted peaks within the tolerance, L2-normalised; two empty peak lists are 1, one is 0."""
-    if a is None or b is None:
-        return None
-    x = sorted((p["mz"], p["intensity"]) for p in a if p["intensity"] > 0)
-    y = sorted((p["mz"], p["intensity"]) for p in b if p["intensity"] > 0)
-    if not x or not y:
-        return 1.0 if not x and not y else 0.0
-    nx, ny = math.sqrt(sum(v * v for _, v in x)), math.sqrt(sum(v * v for _, v in y))
-    i = j = 0
-    total = 0.0
-    while i < len(x) and j < len(y):
-        d = x[i][0] - y[j][0]
-        if abs(d) <= tolerance:
-            total += x[i][1] * y[j][1]
-            i, j = i + 1, j + 1
-        elif d < 0:
-            i += 1
-        else:
-            j += 1
-    return max(0.0, min(1.0, total / (nx * ny)))
 
+def _chunks(n: np.ndarray, m: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of pairs in chunks of like size."""
+    order = np.argsort(n + m, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and end - at < CHUNK_PAIRS and (end - at + 1) * (max(n[order[at : end + 1]].max(), 1)) <= CHUNK_CELLS:
+            end += 1
+        yield order[at:end]
+        at = end
+
+
+def _padded(rows: Sequence, kind: str) -> np.ndarray:
+    out = np.zeros((len(rows), max(1, max((len(r) for r in rows), default=1))), dtype=kind)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out
+
+
+def _sizes(rows: Sequence) -> np.ndarray:
+    return np.array([len(r) for r in rows], dtype="int64")
 
-def alignment_identity():
-    """UDF of two strings or two arrays (K8, K9): matches / aligned length of a global alignment; both empty is 1."""
+
+def _diagonals(n: int, m: int) -> Iterator[tuple[int, int, int]]:
+    """(i + j, least i, greatest i) of the inner cells of an n x m table, diagonal after diagonal."""
+    for k in range(1, n + m + 1):
+        yield k, max(1, k - m), min(n, k - 1)
+
+
+def align_batch(left: Sequence, right: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """Matches and aligned lengths of global alignments with +1 / -1 / -1; ties prefer diagonal, then up, then left.
+
+    Every cell carries the matches and the length of its preferred path, so nothing has to be traced back.
+    """
+    codes: dict = {}
+    number = lambda row: [codes.setdefault(x, len(codes)) for x in row]
+    a, b = [number(r) for r in left], [number(r) for r in right]
+    n, m = _sizes(a), _sizes(b)
+    matches, length = np.zeros(len(a), dtype="int64"), np.zeros(len(a), dtype="int64")
+    for part in _chunks(n, m):
+        x, y = _padded([a[p] for p in part], "int64"), _padded([b[p] for p in part], "int64")
+        rows, wide = len(part), x.shape[1]
+        # score, matches and length of the last diagonal and of the one before, by i
+        last, before = (np.zeros((3, rows, wide + 1), dtype="int64") for _ in range(2))
+        for k, lo, hi in _diagonals(wide, y.shape[1]):
+            now = np.zeros_like(last)
+            now[0, :, 0] = -k  # (0, k)
+            now[2, :, 0] = k
+            if k <= wide:  # (k, 0)
+                now[0, :, k] = -k
+                now[2, :, k] = k
+            if lo <= hi:
+                same = (x[:, lo - 1 : hi] == y[:, k - hi - 1 : k - lo][:, ::-1]).astype("int64")
+                steps = np.stack([before[:, :, lo - 1 : hi], last[:, :, lo - 1 : hi], last[:, :, lo : hi + 1]])
+                scores = steps[:, 0] + np.stack([2 * same - 1, np.full_like(same, -1), np.full_like(same, -1)])
+                choice = scores.argmax(axis=0)  # the first of equal ones
+                pick = lambda v: np.take_along_axis(v, choice[None], axis=0)[0]
+                now[0, :, lo : hi + 1] = pick(scores)
+                now[1, :, lo : hi + 1] = pick(steps[:, 1]) + np.where(choice == 0, same, 0)
+                now[2, :, lo : hi + 1] = pick(steps[:, 2]) + 1
+            end = np.flatnonzero(n[part] + m[part] == k)
+            matches[part[end]], length[part[end]] = now[1, end, n[part[end]]], now[2, end, n[part[end]]]
+            before, last = last, now
+    return matches, length
+
+
+def dtw_batch(left: Sequence, right: Sequence, window: int | None = None) -> np.ndarray:
+    """Dynamic time warping with absolute differences, within a band of ``window`` (at least the difference of the lengths), over the sum of the lengths."""
+    n, m = _sizes(left), _sizes(right)
+    out = np.full(len(n), np.inf)
+    for part in _chunks(n, m):
+        x, y = _padded([left[p] for p in part], "float64"), _padded([right[p] for p in part], "float64")
+        gap = np.abs(n[part] - m[part])
+        band = np.maximum(np.maximum(n[part], m[part]) if window is None else window, gap)[:, None]
+        last, before = (np.full((len(part), x.shape[1] + 1), np.inf) for _ in range(2))
+        last[:, 0] = 0.0  # the empty beginnings, on diagonal 0
+        for k, lo, hi in _diagonals(x.shape[1], y.shape[1]):
+            now = np.full_like(last, np.inf)
+            if lo <= hi:
+                cost = np.abs(x[:, lo - 1 : hi] - y[:, k - hi - 1 : k - lo][:, ::-1])
+                reached = np.minimum(np.minimum(last[:, lo - 1 : hi], last[:, lo : hi + 1]), before[:, lo - 1 : hi])
+                apart = np.abs(2 * np.arange(lo, hi + 1) - k)
+                now[:, lo : hi + 1] = np.where(apart <= band, cost + reached, np.inf)
+            end = np.flatnonzero(n[part] + m[part] == k)
+            out[part[end]] = now[end, n[part[end]]] / k
+            before, last = last, now
+    return out
+
+
+def spectrum_batch(left: Sequence, right: Sequence, tolerance: float = 0.01) -> np.ndarray:
+    """Cosine of peak lists ``(mz, intensity)`` whose peaks are matched once each within the tolerance, from low to high mz.
+
+    All pairs of a chunk go through their peaks in step: where the lowest open peaks of both sides match,
+    both are used up, else the lower one is passed over.
+    """
+    a, b = ([sorted(p for p in r if p[1] > 0) for r in rows] for rows in (left, right))
+    n, m = _sizes(a), _sizes(b)
+    out = np.where((n == 0) & (m == 0), 1.0, 0.0)
+    filled = np.flatnonzero((n > 0) & (m > 0))
+    for local in _chunks(n[filled], m[filled]):
+        part = filled[local]
+        mass, strength = ([_padded([[p[f] for p in rows[k]] for k in part], "float64") for rows in (a, b)] for f in (0, 1))
+        rows, total = np.arange(len(part)), np.zeros(len(part))
+        i, j = np.zeros(len(part), dtype="int64"), np.zeros(len(part), dtype="int64")
+        while True:
+            open_ = np.flatnonzero((i < n[part]) & (j < m[part]))
+            if not len(open_):
+                break
+            gap = mass[0][open_, i[open_]] - mass[1][open_, j[open_]]
+            hit = np.abs(gap) <= tolerance
+            total[open_[hit]] += strength[0][open_[hit], i[open_[hit]]] * strength[1][open_[hit], j[open_[hit]]]
+            i[open_] += hit | (gap < 0)
+            j[open_] += hit | (gap > 0)
+        norm = [np.sqrt((s[rows] ** 2).sum(axis=1)) for s in strength]
+        out[part] = np.clip(total / (norm[0] * norm[1]), 0.0, 1.0)
+    return out
+
+
+def _udf(kernel: Callable[[list, list], np.ndarray], convert: Callable = lambda v: v):
+    """A UDF of two columns that is null where either side is null and asks the kernel for all other pairs at once."""
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_identity(x, y) for x, y in zip(a, b)], dtype="float64")
+        out: list = [None] * len(a)
+        x, y = a.tolist(), b.tolist()
+        both = [k for k in range(len(x)) if x[k] is not None and y[k] is not None]
+        if both:
+            for k, value in zip(both, kernel([convert(x[k]) for k in both], [convert(y[k]) for k in both]).tolist()):
+                out[k] = value
+        return pd.Series(out, dtype="object")
 
     return run
 
 
+def alignment_identity():
+    """UDF of two strings or two arrays (K8, K9): matches / aligned length of a global alignment; both empty is 1."""
+
+    def kernel(a: list, b: list) -> np.ndarray:
+        matches, length = align_batch(a, b)
+        return np.where(length > 0, matches / np.maximum(length, 1), 1.0)
+
+    return _udf(kernel)
+
+
 def dtw_similarity(form: str = "exp", scale: float = 1.0, window: int | None = None):
     """UDF of two ``array<double>`` (K10); empty against non-empty is 0, both empty is 1."""
 
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_dtw_similarity(x, y, form, scale, window) for x, y in zip(a, b)], dtype="float64")
+    def kernel(a: list, b: list) -> np.ndarray:
+        d = dtw_batch(a, b, window)
+        n, m = _sizes(a), _sizes(b)
+        near = np.exp(-d / scale) if form == "exp" else 1 / (1 + d / scale)
+        return np.where((n == 0) | (m == 0), np.where(n == m, 1.0, 0.0), near)
 
-    return run
+    return _udf(kernel)
 
 
 def spectrum_similarity(tolerance: float = 0.01):
-    """UDF of two arrays of peaks."""
-
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([spectrum_cosine(x, y, tolerance) for x, y in zip(a, b)], dtype="float64")
-
-    return run
+    """UDF of two arrays of peaks (K18); two empty lists are 1, one is 0."""
+    return _udf(lambda a, b: spectrum_batch(a, b, tolerance), lambda peaks: [(p["mz"], p["intensity"]) for p in peaks])
 
 
 def sinkhorn_similarity(epsilon: float = 0.1, rounds: int = 50, scale: float = 1.0):

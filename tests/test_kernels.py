@@ -110,3 +110,55 @@ def test_vector_choice(spark):
 def test_row_ids_follow_an_explicit_order(spark):
     df = spark.createDataFrame([(x,) for x in "dbca"], "k string").repartition(3)
     assert {r.k: r.sample_id for r in features.row_ids(df, "eval_", ["k"]).collect()} == {"a": "eval_00000", "b": "eval_00001", "c": "eval_00002", "d": "eval_00003"}
+
+
+def test_batched_programs_match_plain_recursions():
+    """Every table of the batch kernels against a memoised recursion, over pairs of many sizes in one call."""
+    import random
+    from functools import cache
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ABC") for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    left, right = texts[:30], texts[30:]
+    matches, length = PK.align_batch(left, right)
+    for k, (a, b) in enumerate(zip(left, right)):
+
+        @cache
+        def best(i, j, a=a, b=b):
+            """(score, order of preference, matches, length)"""
+            if not i or not j:
+                return -(i + j), 0, i + j
+            same = a[i - 1] == b[j - 1]
+            options = [(best(i - 1, j - 1), 2 * same - 1, same), (best(i - 1, j), -1, 0), (best(i, j - 1), -1, 0)]
+            step, gain, hit = max(options, key=lambda o: o[0][0] + o[1])
+            return step[0] + gain, step[1] + hit, step[2] + 1
+
+        assert (matches[k], length[k]) == best(len(a), len(b))[1:]
+    series = [[rng.gauss(0, 1) for _ in range(rng.randint(1, 8))] for _ in range(60)]
+    for window in (None, 1, 3):
+        got = PK.dtw_batch(series[:30], series[30:], window)
+        for k, (a, b) in enumerate(zip(series[:30], series[30:])):
+            band = max(window if window is not None else 99, abs(len(a) - len(b)))
+
+            @cache
+            def cost(i, j, a=a, b=b, band=band):
+                if i == 0 or j == 0:
+                    return 0.0 if i == j else float("inf")
+                if abs(i - j) > band:
+                    return float("inf")
+                return abs(a[i - 1] - b[j - 1]) + min(cost(i - 1, j), cost(i, j - 1), cost(i - 1, j - 1))
+
+            assert got[k] == pytest.approx(cost(len(a), len(b)) / (len(a) + len(b)))
+    peaks = lambda: [(round(rng.random() * 3, 2), rng.choice([0.0, 1.0, rng.random()])) for _ in range(rng.randint(0, 9))]
+    left, right = [peaks() for _ in range(40)], [peaks() for _ in range(40)]
+    got = PK.spectrum_batch(left, right, 0.1)
+    for k, (a, b) in enumerate(zip(left, right)):
+        x, y = sorted(p for p in a if p[1] > 0), sorted(p for p in b if p[1] > 0)
+        norm = (sum(v * v for _, v in x) * sum(v * v for _, v in y)) ** 0.5
+        total = 0.0
+        while x and y:
+            if abs(x[0][0] - y[0][0]) <= 0.1:
+                total += x.pop(0)[1] * y.pop(0)[1]
+            else:
+                (x if x[0][0] < y[0][0] else y).pop(0)
+        assert got[k] == pytest.approx(total / norm if norm else float(not [p for p in a + b if p[1] > 0]))
