@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,31 @@ def row_ids(df: DataFrame, prefix: str, order: list[str], width: int = 5) -> Dat
     number = F.lpad((F.col("__i") + F.col("__o")).cast("string"), width, "0")
     wide = F.when((F.col("__i") + F.col("__o")) >= 10**width, (F.col("__i") + F.col("__o")).cast("string")).otherwise(number)
     return parts.join(F.broadcast(offsets), "__p").withColumn("sample_id", F.concat(F.lit(prefix), wide)).drop("__p", "__i", "__o")
+
+
+#: Rows that one task of a distributed running sum holds.
+RUNNING_ROWS = 500_000
+
+
+def running(df: DataFrame, order: list, sums: dict, workspace) -> DataFrame:
+    """``df`` with running sums in an order over all rows: ``sums`` maps a new column to the Column that is summed.
+
+    The rows are sorted by range over many tasks and written down; a task's sums start from those of the
+    tasks before it, which are one row a task.
+    """
+    columns = df.columns
+    keyed = df.select("*", *[v.alias(f"__v_{k}") for k, v in sums.items()])
+    rows = keyed.count()
+    parts = max(1, -(-rows // RUNNING_ROWS))
+    placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    placed = workspace.save(placed, "ordered")
+    totals = sorted(placed.groupBy("__p").agg(*[F.sum(f"__v_{k}").alias(k) for k in sums]).collect(), key=lambda r: r["__p"])  # one row a task
+    starts, at = [], {k: 0 for k in sums}
+    for r in totals:
+        starts.append((r["__p"], *at.values()))
+        at = {k: v + (r[k] or 0) for k, v in at.items()}
+    kinds = {k: "bigint" if dict(placed.dtypes)[f"__v_{k}"] in ("int", "bigint") else "double" for k in sums}
+    offsets = df.sparkSession.createDataFrame(starts, "__p int" + "".join(f", `__s_{k}` {kinds[k]}" for k in sums))
+    window = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = placed.join(F.broadcast(offsets), "__p")
+    return joined.select(*columns, *[(F.sum(f"__v_{k}").over(window) + F.col(f"__s_{k}")).alias(k) for k in sums])

@@ -124,7 +124,7 @@ def focused_splits(sets: DataFrame, labels: DataFrame, workspace: Workspace, thr
     splits, packed, tested = {}, [], folded
     for k, t in enumerate(thresholds):
         rows = members.join(found[k].select(F.col("id").alias("class_id"), "component"), "class_id").select("id", "component")
-        split, status = S.threshold_split(rows, tables.where(F.col("k") == k))
+        split, status = S.threshold_split(rows, tables.where(F.col("k") == k), workspace)
         splits[S.split_id(t)] = split = workspace.save(split, "split")
         packed.append(status)
         tested = tested.join(split.select(F.col("sample_id").alias("class_id"), (F.col("split") == "test").alias(f"__{k}")), "class_id")

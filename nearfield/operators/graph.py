@@ -5,6 +5,8 @@ Edges are rows ``i, j, w`` with ``i < j``; pairs that are not listed have weight
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,25 +156,34 @@ def numbered(labels: DataFrame) -> DataFrame:
     return labels.join(order, "component").select("id", "component", "number")
 
 
-def threshold_summary(edges: DataFrame, nodes: DataFrame, thresholds: list[float], workspace: Workspace) -> DataFrame:
-    """Edges, components and the largest component per threshold.
+def component_sweep(edges: DataFrame, nodes: DataFrame, thresholds: list[float], workspace: Workspace) -> Iterator[tuple[float, DataFrame]]:
+    """``id, component`` for each threshold, from the highest down.
 
     Components only merge as the threshold falls, so each threshold starts from the roots of the one above.
     """
-    spark = nodes.sparkSession
-    base = workspace.save(nodes.select("id", F.col("id").alias("component")), "labels")
-    out = None
+    base = workspace.save(nodes.select("id", F.col("id").alias("component")), "labels", rows=F.count(F.lit(1)))
     for t in sorted(set(thresholds), reverse=True):
         ends = edges.where(F.col("w") >= t)
         a, b = base.select(F.col("id").alias("i"), F.col("component").alias("a")), base.select(F.col("id").alias("j"), F.col("component").alias("b"))
-        lifted = ends.join(a, "i").join(b, "j").select("a", "b")
+        n = ends.count()
+        lifted = salted_join(ends, a, "i", hot_keys(ends, "i", n), "j")
+        lifted = salted_join(lifted, b, "j", hot_keys(ends, "j", n), "i").select("a", "b")
         roots = merge_components(lifted, workspace).select(F.col("node").alias("component"), "root")
-        base = workspace.save(base.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
-        sizes = base.groupBy("component").count().agg(F.count("*").alias("components"), F.max("count").alias("largest"))
-        row = ends.agg(F.count("*").alias("edges")).crossJoin(sizes).withColumn("threshold", F.lit(float(t)))  # one row each
+        hot = hot_keys(base, "component", metric(base, "rows"))
+        merged = salted_join(base, roots, "component", hot, "id", "left").select("id", F.coalesce("root", "component").alias("component"))
+        base = workspace.save(merged, "labels", rows=F.count(F.lit(1)))
+        yield t, base
+
+
+def threshold_summary(edges: DataFrame, nodes: DataFrame, thresholds: list[float], workspace: Workspace) -> DataFrame:
+    """Edges, components and the largest component per threshold."""
+    out = None
+    for t, labels in component_sweep(edges, nodes, thresholds, workspace):
+        sizes = labels.groupBy("component").count().agg(F.count("*").alias("components"), F.max("count").alias("largest"))
+        row = edges.where(F.col("w") >= t).agg(F.count("*").alias("edges")).crossJoin(sizes).withColumn("threshold", F.lit(float(t)))  # one row each
         out = row if out is None else out.unionByName(row)
     if out is None:
-        return spark.createDataFrame([], "threshold double, edges bigint, components bigint, largest bigint")
+        return nodes.sparkSession.createDataFrame([], "threshold double, edges bigint, components bigint, largest bigint")
     return out.select("threshold", "edges", "components", F.coalesce("largest", F.lit(0)).alias("largest"))
 
 
@@ -185,7 +196,9 @@ def component_table(labels: DataFrame, edges: DataFrame) -> DataFrame:
     sizes = labels.groupBy("component").agg(F.count("*").alias("size"), F.min("id").alias("min_id"))
     a = labels.select(F.col("id").alias("u"), F.col("component").alias("ca"))
     b = labels.select(F.col("id").alias("v"), F.col("component").alias("cb"))
-    outside = both_ways(edges).join(a, "u").join(b, "v").where("ca <> cb").groupBy(F.col("ca").alias("component")).agg(F.max("w").alias("m"), F.sum("w").alias("s"))
+    ends, m = both_ways(edges), 2 * edges.count()
+    met = salted_join(salted_join(ends, a, "u", hot_keys(ends, "u", m), "v"), b, "v", hot_keys(ends, "v", m), "u")
+    outside = met.where("ca <> cb").groupBy(F.col("ca").alias("component")).agg(F.max("w").alias("m"), F.sum("w").alias("s"))
     rest = F.lit(n) - F.col("size")
     return sizes.join(outside, "component", "left").select(
         "component",

@@ -1,7 +1,7 @@
 """Construction of train / test splits: independent sets, component packing, sweeps and the operating-point family.
 
-Hash choices are ``(id * MULTIPLIER + seed) mod MODULUS`` for numbers, which any SQL engine can repeat, and
-``xxhash64`` for other ids.  Both depend on the id alone, not on order or partitioning.
+Hash choices are ``(id * MULTIPLIER + seed) mod MODULUS`` for numbers and the first 32 bits of an MD5 for other
+ids, both of which any SQL engine can repeat.  They depend on the id alone, not on order or partitioning.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import kernels
-from nearfield.storage import Workspace
+from nearfield.functions.features import running
+from nearfield.operators.skew import hot_keys, salted_join
+from nearfield.storage import Workspace, metric
 
 MULTIPLIER, MODULUS = 2654435761, 1_000_003
 #: Bounds of the test side in component packing, as shares of all rows (fixed values).
@@ -27,7 +29,8 @@ def pseudo(id_col: str, numeric: bool, seed: int = 0) -> Column:
     """A repeatable number in 0 .. MODULUS - 1 for an id."""
     if numeric:
         return F.pmod(F.col(id_col).cast("bigint") * MULTIPLIER + seed * 40_503, F.lit(MODULUS))
-    return F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(MODULUS))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(MODULUS))
 
 
 def half_even(x: float) -> int:
@@ -37,23 +40,27 @@ def half_even(x: float) -> int:
 # ---- independent sets -------------------------------------------------------------------------------------
 
 
-def independent_set(edges: DataFrame, nodes: DataFrame, parameter: float, threshold: float, workspace: Workspace, seed: int = 0) -> DataFrame:
+def independent_set(edges: DataFrame, nodes: DataFrame, parameter: float, threshold: float, workspace: Workspace, seed: int = 0, least_degree: bool = False) -> DataFrame:
     """``id`` of the kept nodes (X1): a randomised independent set with a spectral parameter.
 
     Parameter 0 keeps all nodes, 1 a maximal set without any edge of weight above ``threshold``.  Between,
     every edge takes part with that probability (a coin of its two ids).  In rounds each node that
     comes before all its remaining neighbours in a hash order is kept and its neighbours are dropped; this
-    needs a logarithmic number of rounds, and the result depends on ids and seed only.
+    needs a logarithmic number of rounds, and the result depends on ids and seed only.  With ``least_degree``
+    the order is that of the nodes' remaining degrees, counted anew each round, then of the hash (W9).
     """
     if not 0 <= parameter <= 1:
         raise ValueError("the spectral parameter lies in 0..1")
     coin = F.pmod(F.xxhash64(F.lit(seed), "i", "j"), F.lit(1_000_000)) < int(parameter * 1_000_000)
     live = workspace.save(edges.where((F.col("w") > threshold) & coin).select("i", "j"), "edges")
-    order = lambda c: F.struct(F.xxhash64(F.lit(seed + 1), c), F.col(c))
+    order = lambda c: F.struct(*([F.col(f"d{c}")] if least_degree else []), F.xxhash64(F.lit(seed + 1), c), F.col(c))
     dropped: DataFrame | None = None
     while live.take(1):
         both = live.select(F.explode(F.array(F.struct(F.col("i").alias("u"), F.col("j").alias("v")), F.struct(F.col("j").alias("u"), F.col("i").alias("v")))).alias("e")).select("e.*")
-        first = both.groupBy("u").agg(F.min(order("v")).alias("m")).where(order("u") < F.col("m")).select("u")
+        if least_degree:
+            degree = workspace.save(both.groupBy("u").agg(F.count("*").alias("du")), "degrees")
+            both = both.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("du").alias("dv")), "v")
+        first = both.groupBy("u", *(["du"] if least_degree else [])).agg(F.min(order("v")).alias("m")).where(order("u") < F.col("m")).select("u")
         gone = workspace.save(both.join(first, "u", "left_semi").select(F.col("v").alias("id")).distinct(), "dropped")
         dropped = gone if dropped is None else dropped.unionByName(gone)
         kept = live.join(gone.select(F.col("id").alias("i")), "i", "left_anti").join(gone.select(F.col("id").alias("j")), "j", "left_anti")
@@ -97,40 +104,40 @@ def _roles(rows: DataFrame, test: Column, *more: Column) -> DataFrame:
 # ---- component packing ------------------------------------------------------------------------------------
 
 
-def pack_components(table: DataFrame, n: int) -> tuple[set, str]:
-    """The components of the test side (X2) and ``valid`` or ``invalid_test_size``.
+def pack_components(table: DataFrame, n: int, workspace: Workspace) -> tuple[DataFrame, str]:
+    """``component`` of the test side (X2), and ``valid`` or ``invalid_test_size``.
 
-    Components come in the order of largest external maximum, then external mean (largest first, nulls
-    last), then size, then smallest id.  Those that are larger than the whole test side may never be
-    chosen and stay out; the scan ends when the least size is reached after the first pass, so at most
-    the components that fit into a quarter of the rows are ever looked at, one pass at a time.
+    Components come in the order of largest external maximum, then external mean (to twelve digits), largest
+    first and nulls last, then size, then smallest id.  Each is taken unless it would lead beyond the most
+    rows, until the target is reached.  A component that cannot lead from below the target beyond the most
+    is never passed over, so all of those come by a distributed running sum of their sizes; the others, of
+    which there are at most twenty (or few rows at all), are decided one after another.
     """
     target, least, most = half_even(TARGET * n), math.ceil(LEAST * n - 1e-9), math.floor(MOST * n + 1e-9)
-    order = table.where(F.col("size") <= most).orderBy(
-        F.when(F.isnan("external_max"), None).otherwise(F.col("external_max")).desc_nulls_last(), F.when(F.isnan("external_mean"), None).otherwise(F.col("external_mean")).desc_nulls_last(), "size", "min_id"
-    )
-    chosen: set = set()
-    total = 0
-    for enough in (target, least):
-        if total >= enough:
-            break
-        for row in order.select("component", "size").toLocalIterator():
-            if row["component"] in chosen or total + row["size"] > most:
-                continue
-            chosen.add(row["component"])
-            total += row["size"]
-            if total >= enough:
-                break
-    return chosen, "valid" if least <= total <= most else "invalid_test_size"
-
-
-def threshold_split(labels: DataFrame, table: DataFrame) -> tuple[DataFrame, str]:
+    number = lambda c: F.when(~F.isnan(c), F.col(c))
+    order = [number("external_max").desc_nulls_last(), F.round(number("external_mean"), 12).desc_nulls_last(), F.asc("size"), F.asc("min_id")]
+    small = F.col("size") <= most - target
+    fits = table.where(F.col("size") <= most).select("component", F.col("size").cast("bigint").alias("size"), "external_max", "external_mean", "min_id")
+    ran = workspace.save(running(fits, order, {"place": F.lit(1), "before": F.when(small, F.col("size")).otherwise(0)}, workspace), "ran")
+    taken: list[tuple] = []
+    for row in ran.where(~small).orderBy("place").select("component", "place", "before", "size").collect():  # at most n / (most - target) rows
+        total = row["before"] + sum(size for *_, size in taken)
+        if total < target and total + row["size"] <= most:
+            taken.append((row["component"], row["place"], row["size"]))
+    earlier = sum((F.when(F.col("place") > place, size).otherwise(0) for _, place, size in taken), F.lit(0))
+    chosen = ran.where(F.when(small, F.col("before") - F.col("size") + earlier < target).otherwise(F.col("component").isin([c for c, *_ in taken])))
+    chosen = workspace.save(chosen.select("component", "size"), "chosen", total=F.coalesce(F.sum("size"), F.lit(0)))
+    return chosen.select("component"), "valid" if least <= metric(chosen, "total") <= most else "invalid_test_size"
+
+
+def threshold_split(labels: DataFrame, table: DataFrame, workspace: Workspace | None = None) -> tuple[DataFrame, str]:
     """``sample_id, split, role`` and the status of the packing for labelled components."""
     n = labels.count()
-    chosen, status = pack_components(table, n)
-    kind = labels.schema["component"].dataType.simpleString()
-    test = labels.sparkSession.createDataFrame([(c,) for c in chosen], f"component {kind}").withColumn("t", F.lit(True))
-    return _roles(labels.withColumnRenamed("id", "sample_id").join(test, "component", "left"), F.col("t")), status
+    chosen, status = pack_components(table, n, workspace or Workspace(labels.sparkSession, "packing"))
+    test = chosen.withColumn("t", F.lit(True))
+    rows = labels.select(F.col("id").alias("sample_id"), "component")
+    joined = salted_join(rows, test, "component", hot_keys(rows, "component", n), "sample_id", "left")
+    return _roles(joined, F.col("t")), status
 
 
 def split_id(threshold: float) -> str:

@@ -91,27 +91,58 @@ def _threshold_split(spark: SparkSession, d: str, tau: float) -> tuple[DataFrame
     edges, nodes = _graph(spark, d)
     ws = Workspace(spark, "threshold-split")
     edges = ws.save(edges, "graph")
-    labels = G.components(edges, ws.save(nodes, "nodes"), tau, ws)
-    split, status = S.threshold_split(labels, ws.save(G.component_table(labels, edges), "table"))
-    return split, edges, status
+    labels = ws.save(G.components(edges, ws.save(nodes, "nodes"), tau, ws), "labels")
+    split, status = S.threshold_split(labels, ws.save(G.component_table(labels, edges), "table"), ws)
+    return ws.save(split, "split"), edges, status
 
 
+def _packed(tau: float) -> str:
+    """Common table expressions down to ``split``: the packing walks through the ordered components one by one."""
+    return f"""g AS MATERIALIZED ({_G}), nodes AS MATERIALIZED ({_N}), {_reach(tau).replace("labels AS (", "labels AS MATERIALIZED (")},
+    e AS (SELECT i AS u, j AS v, w FROM g UNION ALL SELECT j, i, w FROM g),
+    o AS (SELECT a.component, max(w) AS m, sum(w) AS s FROM e JOIN labels a ON a.id = u JOIN labels b ON b.id = v WHERE a.component <> b.component GROUP BY a.component),
+    z AS (SELECT component, count(*) AS size, min(id) AS min_id FROM labels GROUP BY component),
+    x AS (SELECT count(*) AS n, round_even(0.2 * count(*), 0) AS target, ceil(0.15 * count(*) - 1e-9) AS least, floor(0.25 * count(*) + 1e-9) AS most FROM nodes),
+    f AS MATERIALIZED (SELECT component, size, row_number() OVER (ORDER BY CASE WHEN n > size THEN coalesce(m, 0) END DESC NULLS LAST, round(CASE WHEN n > size THEN coalesce(s, 0) / (size * (n - size)) END, 12) DESC NULLS LAST, size, min_id) AS k
+        FROM z LEFT JOIN o USING (component), x WHERE size <= most),
+    walk(k, total, component) AS (SELECT 0::BIGINT, 0::BIGINT, NULL::VARCHAR UNION ALL
+        SELECT f.k, CASE WHEN total + size <= most THEN total + size ELSE total END, CASE WHEN total + size <= most THEN f.component END FROM walk JOIN f ON f.k = walk.k + 1, x WHERE total < target),
+    split AS MATERIALIZED (SELECT id AS sample_id, CASE WHEN w.component IS NOT NULL THEN 'test' ELSE 'train' END AS split, CASE WHEN w.component IS NOT NULL THEN 'held_out' ELSE 'fit' END AS role
+        FROM labels LEFT JOIN (SELECT component FROM walk WHERE component IS NOT NULL) w USING (component))"""
+
+
+_CROSSED = "SELECT count(*) FROM g JOIN split a ON a.sample_id = i JOIN split b ON b.sample_id = j WHERE a.split <> b.split AND w >= {tau}"
+_NEAREST = """SELECT t.sample_id, coalesce(max(w), 0) AS m, coalesce(sum(w), 0) / (SELECT count(*) FROM split WHERE split = 'train') AS s
+    FROM (SELECT * FROM split WHERE split = 'test') t LEFT JOIN (SELECT u, w FROM e JOIN split ON sample_id = v AND split = 'train') ON u = t.sample_id GROUP BY t.sample_id"""
+_SUMMARY = f"""(SELECT count(*) FROM split WHERE split = 'train') AS train_size, count(*) AS test_size, round(avg(m), 6) AS mean_max, round(quantile_cont(m, 0.5), 6) AS median_max, round(quantile_cont(m, 0.1), 6) AS p10_max,
+    round(quantile_cont(m, 0.9), 6) AS p90_max, round(max(m), 6) AS max_max, round(avg(s), 6) AS mean_mean FROM ({_NEAREST})"""
+
 QUERIES["threshold_split"] = lambda s, d: _threshold_split(s, d, 0.8)[0]
+ORACLES["threshold_split"] = f"WITH RECURSIVE {_packed(0.8)} SELECT * FROM split"
 QUERIES["threshold_split_check"] = lambda s, d: S.violations(*_threshold_split(s, d, 0.8)[:2], 0.8)
+ORACLES["threshold_split_check"] = f"""WITH RECURSIVE {_packed(0.8)}
+    SELECT count(*) FILTER (split = 'train') AS train_size, count(*) FILTER (split = 'test') AS test_size, ({_CROSSED.format(tau=0.8)}) AS violations, 'valid' AS status FROM split"""
 QUERIES["threshold_split_summary"] = lambda s, d: rounded(S.split_summary(*_threshold_split(s, d, 0.8)[:2]))
+ORACLES["threshold_split_summary"] = f"WITH RECURSIVE {_packed(0.8)} SELECT {_SUMMARY}"
 
 
 def sweep(spark: SparkSession, d: str) -> DataFrame:
-    """One row a threshold (X3): status and summary of the split."""
-    out = None
-    for tau in (0.9, 0.8, 0.7):
-        split, edges, status = _threshold_split(spark, d, tau)
-        row = S.split_summary(split, edges).withColumn("threshold", F.lit(tau)).withColumn("split_id", F.lit(S.split_id(tau))).withColumn("status", F.lit(status))
+    """One row a threshold (X3): status and summary of the split, over all thresholds of the sweep."""
+    edges, nodes = _graph(spark, d)
+    ws = Workspace(spark, "sweep")
+    edges, out = ws.save(edges, "graph"), None
+    for tau, labels in G.component_sweep(edges, ws.save(nodes, "nodes"), list(S.SWEEP), ws):
+        split, status = S.threshold_split(labels, ws.save(G.component_table(labels, edges), "table"), ws)
+        row = S.split_summary(ws.save(split, "split"), edges).withColumn("threshold", F.lit(tau)).withColumn("split_id", F.lit(S.split_id(tau))).withColumn("status", F.lit(status))
         out = row if out is None else out.unionByName(row)
     return rounded(out)
 
 
 QUERIES["threshold_sweep"] = sweep
+_STATUS = "CASE WHEN (SELECT count(*) FROM split WHERE split = 'test') >= (SELECT least FROM x) THEN 'valid' ELSE 'invalid_test_size' END"
+ORACLES["threshold_sweep"] = " UNION ALL ".join(
+    f"(WITH RECURSIVE {_packed(t)} SELECT {t}::DOUBLE AS threshold, '{S.split_id(t)}' AS split_id, {_STATUS} AS status, {_SUMMARY})" for t in S.SWEEP
+)
 
 
 def cross_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -219,6 +250,8 @@ for _name, _group in (("cross_species_taxon_holdout", "c_nationkey"), ("perturba
     _op(_name, "customer", _role(f"CAST({_group} AS VARCHAR) = '{_value[0]}'", f", CASE WHEN CAST({_group} AS VARCHAR) = '{_value[0]}' THEN CAST({_group} AS VARCHAR) END AS heldout_group", "c_custkey", "customer"), id_col="c_custkey", groups=[_group], held_out=[_value])
 _op("leave_assay_out_bioactivity_split", "train_molecules", _role("source = 'assay_bank'", ", CASE WHEN source = 'assay_bank' THEN source END AS heldout_group", "train_id", "train_molecules"), id_col="train_id", groups=["source"], held_out=[("assay_bank",)])
 _op("graph_covariate_concept_shift_split", "events", _role("event_type = 'error'", ", CASE WHEN event_type = 'error' THEN event_type END AS heldout_group", "event_id", "events"), id_col="event_id", groups=["event_type"], held_out=[("error",)])
+#: The repeatable hash of texts.
+_MD5 = "(CAST('0x' || substr(md5('0|' || {id}), 1, 8) AS BIGINT) % 1000003)"
 for _name, _source, _id, _groups in (
     ("molecular_scaffold_split", "train_molecules", "train_id", ["murcko_scaffold"]),
     ("materials_leave_cluster_composition_split", "part", "p_partkey", ["p_brand"]),
@@ -228,7 +261,9 @@ for _name, _source, _id, _groups in (
     ("regulatory_cross_cell_type_assay_holdout", "part", "p_partkey", ["p_brand", "p_type"]),
     ("perturbation_systematic_variation_confounder_holdout", "orders", "o_orderkey", ["o_orderpriority"]),
 ):
-    _op(_name, _source, "", id_col=_id, groups=_groups)
+    _group = "concat_ws('|', " + ", ".join(f"coalesce(CAST({g} AS VARCHAR), '<null>')" for g in _groups) + ")"
+    _held = _MD5.format(id="grp") + " < 200000"
+    _op(_name, _source, _role(_held, f", CASE WHEN {_held} THEN grp END AS heldout_group", _id, f"(SELECT *, {_group} AS grp FROM {_source})"), id_col=_id, groups=_groups)
 
 _STEP = "(SELECT list_sum([CAST(c < epoch(o_orderdate) AS INT) FOR c IN q]) FROM x)"
 QUERIES["op_bioactivity_step_forward_split"] = lambda s, d: S.operating_point("bioactivity_step_forward_split", table(s, d, "orders"), id_col="o_orderkey", order="o_orderdate", steps=5)
@@ -249,6 +284,10 @@ ORACLES["op_spatial_block_buffered_cv"] = f"""WITH p AS (SELECT c_custkey AS id,
     SELECT id AS sample_id, CASE WHEN t THEN 'test' ELSE 'train' END AS split, CASE WHEN t THEN 'held_out' ELSE 'fit' END AS role, 'spatial_block_buffered_cv' AS operating_point_id, 'low_overlap' AS expected_curve_region
     FROM h a WHERE t OR NOT EXISTS (SELECT 1 FROM h b WHERE b.t AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND {_KM} <= 200)"""
 QUERIES["op_spatiotemporal_forecast_horizon_split"] = lambda s, d: S.operating_point("spatiotemporal_forecast_horizon_split", table(s, d, "events"), id_col="event_id", block=F.col("user_id"), ts="ts", origin="2024-01-15", horizon_days=7)
+_BLOCK = _MD5.format(id="CAST(user_id AS VARCHAR)") + " < 200000"
+_TEST = f"{_BLOCK} AND ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-22'"
+ORACLES["op_spatiotemporal_forecast_horizon_split"] = f"""SELECT *, 'spatiotemporal_forecast_horizon_split' AS operating_point_id, 'axis_specific' AS expected_curve_region
+    FROM ({_role(_TEST, "", "event_id", "events")} WHERE ts IS NOT NULL AND (({_TEST}) OR (NOT ({_BLOCK}) AND ts < TIMESTAMP '2024-01-15')))"""
 
 
 def cold_start(spark: SparkSession, d: str) -> DataFrame:
@@ -266,11 +305,13 @@ def _cluster(name: str, tau: float) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         edges, nodes = _graph(spark, d)
         ws = Workspace(spark, name)
-        labels = G.components(edges, nodes, tau, ws)
-        return S.operating_point(name, labels, table=ws.save(G.component_table(labels, edges), "table"))
+        edges = ws.save(edges, "graph")
+        labels = ws.save(G.components(edges, nodes, tau, ws), "labels")
+        return S.operating_point(name, labels, table=ws.save(G.component_table(labels, edges), "table"), workspace=ws)
 
     return run
 
 
 for _name, _tau in (("biological_sequence_homology_cluster_split", 0.9), ("molecular_fingerprint_cluster_split", 0.8), ("rna_structurally_dissimilar_split", 0.85)):
     QUERIES[f"op_{_name}"] = _cluster(_name, _tau)
+    ORACLES[f"op_{_name}"] = f"WITH RECURSIVE {_packed(_tau)} SELECT *, '{_name}' AS operating_point_id, 'low_overlap' AS expected_curve_region FROM split"
