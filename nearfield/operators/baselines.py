@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -28,9 +28,27 @@ def balanced_logistic(train: DataFrame, test: DataFrame, vector: str, label: str
     return model.transform(_features(test, vector)).withColumn("score", vector_to_array("probability")[1]).drop("__f", "rawPrediction", "probability", "prediction")
 
 
-def ridge_on_tokens(train: DataFrame, test: DataFrame, tokens: str, target: str, alpha: float = 1.0, buckets: int = 4096) -> DataFrame:
-    """``test`` with ``y_pred`` (M2): ridge regression on hashed token counts; the penalty is alpha / n on raw features."""
-    tf = HashingTF(inputCol=tokens, outputCol="__f", numFeatures=buckets)
+def logistic_on_tokens(train: DataFrame, test: DataFrame, tokens: str, label: str, features: int = 1024) -> DataFrame | None:
+    """``test`` with ``score``: balanced logistic regression on hashed tokens; None if a side has a single class."""
+    hashed = HashingTF(inputCol=tokens, outputCol="__h", numFeatures=features, binary=True)
+    both = [hashed.transform(df).withColumn("__v", vector_to_array("__h")).drop("__h") for df in (train, test)]
+    return balanced_logistic(both[0], both[1], "__v", label)
+
+
+def forest_on_tokens(train: DataFrame, test: DataFrame, tokens: str, target: str, features: int = 512, trees: int = 120, seed: int = 13) -> DataFrame:
+    """``test`` with ``y_pred`` (M3): a random forest on hashed tokens, present or not."""
+    tf = HashingTF(inputCol=tokens, outputCol="__f", numFeatures=features, binary=True)
+    model = RandomForestRegressor(featuresCol="__f", labelCol=target, numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=6, seed=seed).fit(tf.transform(train))
+    return model.transform(tf.transform(test)).withColumnRenamed("prediction", "y_pred").drop("__f")
+
+
+def ridge_on_tokens(train: DataFrame, test: DataFrame, tokens: str, target: str, alpha: float = 1.0, buckets: int | None = 4096) -> DataFrame:
+    """``test`` with ``y_pred`` (M2): ridge regression on token counts; the penalty is alpha / n on raw features.
+
+    Tokens are hashed into ``buckets``; with None every token of the training side is a feature of its own, up
+    to 2^18 by frequency.
+    """
+    tf = HashingTF(inputCol=tokens, outputCol="__f", numFeatures=buckets) if buckets else CountVectorizer(inputCol=tokens, outputCol="__f", vocabSize=1 << 18).fit(train)
     n = train.count()
     model = LinearRegression(featuresCol="__f", labelCol=target, regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False, solver="l-bfgs").fit(tf.transform(train))
     return model.transform(tf.transform(test)).withColumnRenamed("prediction", "y_pred").drop("__f")

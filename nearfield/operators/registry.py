@@ -46,9 +46,19 @@ def search(df: DataFrame, query: str, boosts: Sequence[tuple[Column, int]] = (),
     return out.orderBy(*order).limit(max(1, k))
 
 
-def search_strategies(df: DataFrame, query: str, kind: str = "", large: bool = False, exact: bool = False, k: int = 8) -> DataFrame:
-    """Four points for the kind, two for not being exact at large scale, two for being exact when asked."""
+#: Words that say that data are large (fixed values).
+SIZE_WORDS = ("million", "millions", "billion", "billions", "large", "huge", "massive")
+
+
+def search_strategies(df: DataFrame, query: str, kind: str = "", large: bool = False, exact: bool = False, k: int = 8, shape: str = "") -> DataFrame:
+    """Four points for the kind, two for not being exact at large scale, two for being exact when asked.
+
+    With ``shape`` four more for entries of that data shape in their text; words of size in the query ask for large scale.
+    """
     boosts = []
+    large = large or bool(set(re.findall("[a-z]+", query.lower())) & set(SIZE_WORDS))
+    if shape:
+        boosts.append((F.contains(F.lower("text"), F.lit(normalise(shape))), 4))
     if kind:
         boosts.append((F.contains(F.col("kind"), F.lit(normalise(kind))), 4))
     if large:
@@ -58,6 +68,47 @@ def search_strategies(df: DataFrame, query: str, kind: str = "", large: bool = F
     return search(df.where("catalog = 'strategy'"), query, boosts, k=k)
 
 
+def search_definitions(df: DataFrame, query: str, data_type: str = "", inputs: Sequence[str] = (), k: int = 8) -> DataFrame:
+    """R2: three points for the data type; entries of another type lose three and must share seven words and more; entries without a shared word are dropped."""
+    wanted = sorted(set(re.findall("[a-z0-9_]+", query.lower().replace("-", "_"))))
+    shared = F.size(F.array_intersect(tokens(F.col("text")), F.array(*map(F.lit, wanted)).cast("array<string>")))
+    if not data_type:
+        return search(df.where(shared > 0) if wanted else df, query, inputs=inputs, k=k)
+    fits = F.contains(F.col("kind"), F.lit(normalise(data_type)))
+    return search(df.where((shared > 0) & (fits | (shared >= 7))), query, [(fits, 3), (~fits, -3)], inputs, k)
+
+
+def search_operating_points(df: DataFrame, query: str, data_type: str = "", axis: str = "", k: int = 8) -> DataFrame:
+    """Four points each for the data type in the text and for the axis in the held-out unit."""
+    boosts = [(F.contains(F.lower("text"), F.lit(normalise(data_type))), 4)] if data_type else []
+    boosts += [(F.contains(F.col("kind"), F.lit(normalise(axis))), 4)] if axis else []
+    return search(df, query, boosts, k=k)
+
+
+def _field_search(df: DataFrame, query: str, boosts: list, fields: Sequence[str], per_field: int, tie: str, k: int) -> DataFrame:
+    given = F.array(*[F.lit(normalise(f)) for f in fields]).cast("array<string>")
+    points = [(F.size(F.array_intersect("inputs", given)) >= n, per_field) for n in range(1, len(set(fields)) + 1)]
+    return search(df, query, [*boosts, *points], k=k, tie=tie)
+
+
+def search_datasets(df: DataFrame, query: str, domain: str = "", data_type: str = "", family: str = "", fields: Sequence[str] = (), k: int = 8) -> DataFrame:
+    """R5 over entries with ``domain, kind, family, inputs, active``: five points for the domain, four each for type and family, two a field; active ones first among equals."""
+    asked = ((domain, "domain", 5), (data_type, "kind", 4), (family, "family", 4))
+    return _field_search(df, query, [(F.contains(F.col(c), F.lit(normalise(v))), n) for v, c, n in asked if v], fields, 2, "active", k)
+
+
+def search_memories(df: DataFrame, query: str, domain: str = "", data_type: str = "", family: str = "", model: str = "", tags: Sequence[str] = (), tie: str = "active", k: int = 8) -> DataFrame:
+    """Five points for the domain, four for the type, five for the family, six for the model, three a tag; high priority first among equals."""
+    asked = ((domain, "domain", 5), (data_type, "kind", 4), (family, "family", 5), (model, "model", 6))
+    return _field_search(df, query, [(F.contains(F.col(c), F.lit(normalise(v))), n) for v, c, n in asked if v], tags, 3, tie, k)
+
+
+def forbidden(df: DataFrame, columns: Sequence[str], paths: Sequence[str]) -> DataFrame:
+    """``id, found``, the forbidden texts that stand in an entry's columns; entries without any are left out."""
+    held = [F.when(F.coalesce(*[F.when(F.contains(F.col(c), F.lit(p)), True) for c in columns], F.lit(False)), F.lit(p)) for p in paths]
+    return df.select("id", F.array_compact(F.array(*held)).alias("found")).where(F.size("found") > 0)
+
+
 def validate(df: DataFrame, required: Sequence[str], statuses: Sequence[str] = (), status: str = "status") -> DataFrame:
     """One row per entry: ``id, errors``, the required columns that are missing, null or empty, and unknown statuses."""
     def problem(c: str) -> Column:

@@ -142,9 +142,9 @@ ORACLES["blind_bundle"] = "SELECT sample_id, smiles, CASE WHEN isfinite(y_pred)
 # ---- catalogs ---------------------------------------------------------------------------------------------
 
 QUERIES["catalog_counts"] = lambda s, d: strategies.entries(s).groupBy("catalog").agg(F.count("*").alias("n"), F.count_if(F.col("operator") != "-").alias("executable"))
-QUERIES["catalog_search"] = lambda s, d: registry.search(strategies.entries(s).where("catalog = 'definition'"), "protein sequence alignment similarity", inputs=["sequence"], k=8).select("id", "score", "operator", "missing_inputs")
+QUERIES["catalog_search"] = lambda s, d: registry.search(strategies.entries(s).where("catalog = 'definition'"), "protein sequence alignment similarity", inputs=["sequence"], k=8).select("id", "score", "operator", F.concat_ws(" ", "missing_inputs").alias("missing_inputs"))
 QUERIES["strategy_search"] = lambda s, d: registry.search_strategies(strategies.entries(s), "million scale set similarity minhash", "hashing_sketch_lsh", large=True).select("id", "score", "operator")
-QUERIES["catalog_validation"] = lambda s, d: registry.validate(strategies.entries(s), ["id", "kind", "operator", "text"])
+QUERIES["catalog_validation"] = lambda s, d: registry.validate(strategies.entries(s), ["id", "kind", "operator", "text"]).withColumn("errors", F.concat_ws("; ", "errors"))
 
 
 def provenance_contract(spark: SparkSession, d: str) -> DataFrame:

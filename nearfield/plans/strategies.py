@@ -74,12 +74,12 @@ disk_backed_vector_ann_search | disk_backed_vector_index | approximate | ivf_top
 distributed_partitioned_ann_search | distributed_similarity_search | approximate | ivf_top_k
 dtw_lower_bound_pruning | metric_lower_bound_pruning | hybrid | dtw_pruned
 exact_chunked_all_pairs | chunked_exact | exact | block_pairs
-faiss_ivf_pq_compressed_topk | compressed_vector_index | approximate | ivf_top_k
+faiss_ivf_pq_compressed_topk | compressed_vector_index | approximate | pq_search
 filtered_ann_attribute_constrained_search | filtered_ann | approximate | block_join
 genomic_sketch_fracminhash_search | domain_specific_sketch | approximate | frac_minhash
 gpu_accelerated_similarity_join | gpu_similarity_acceleration | hybrid | -
 graph_kernel_random_feature_sketch | kernel_feature_sketch | approximate | wl_labels
-hybrid_multimodal_similarity_index | hybrid_multimodal_index | hybrid | block_join
+hybrid_multimodal_similarity_index | hybrid_multimodal_index | hybrid | multimodal_search
 kernel_approximation_feature_map | kernel_feature_sketch | approximate | random_fourier
 learned_candidate_filter_similarity_join | learned_filter | approximate | learned_filter
 lp_stable_lsh_distance | hashing_sketch_lsh | hybrid | projection_candidates
@@ -91,19 +91,19 @@ molecular_fingerprint_tanimoto_index | domain_specific_index | hybrid | prefix_j
 multi_vector_late_interaction_search | multi_vector_search | approximate | late_interaction
 nn_descent_neighbor_graph | neighbor_graph_construction | approximate | neighbour_descent
 pivot_permutation_metric_index | metric_space_index | hybrid | pivot_candidates
-privacy_preserving_similarity_search | privacy_preserving_similarity | approximate | salted_tokens
+privacy_preserving_similarity_search | privacy_preserving_similarity | approximate | links_of_salted
 semantic_ontology_similarity_join | semantic_ontology_join | hybrid | ancestor_sets
 sequence_seed_prefilter_alignment_rerank | seed_extend_sequence_search | hybrid | seed_candidates
 sinkhorn_wasserstein_histogram_search | optimal_transport_approximation | approximate | sinkhorn_similarity
 sparse_inverted_index_topk | sparse_inverted_index | hybrid | sparse_products
 streaming_similarity_join_sketch | streaming_similarity_join | approximate | stream_candidates
 string_edit_similarity_join | similarity_join | hybrid | qgram_edit_join
-structured_edit_distance_filter_verify | structured_edit_distance | hybrid | label_bound_join
+structured_edit_distance_filter_verify | structured_edit_distance | hybrid | tree_edit_join
 threshold_similarity_join_filter_verify | similarity_join | hybrid | prefix_jaccard
 time_series_matrix_profile_index | time_series_index | hybrid | matrix_profile
-trajectory_metric_index_filter_refine | metric_tree_index | exact | trajectory_cells
+trajectory_metric_index_filter_refine | metric_tree_index | exact | trajectory_join
 two_stage_prefilter_rerank | generic_prefilter_rerank | hybrid | verify
-weighted_minhash_generalized_jaccard | hashing_sketch_lsh | hybrid | weighted_jaccard_pairs
+weighted_minhash_generalized_jaccard | hashing_sketch_lsh | hybrid | weighted_minhash_candidates
 """
 
 ENTRY = "id string, catalog string, kind string, exactness string, inputs array<string>, operator string, text string"
@@ -113,10 +113,15 @@ def _rows(text: str) -> list[list[str]]:
     return [[x.strip() for x in line.split("|")] for line in text.strip().splitlines()]
 
 
-def entries(spark: SparkSession) -> DataFrame:
-    """All catalog entries: ``id, catalog, kind, exactness, inputs, operator, text``."""
+def entry_rows() -> list[tuple]:
+    """All catalog entries as plain rows."""
     rows = [(i, "definition", kind, "exact", inputs.split(), kernel, " ".join((i, kind, inputs))) for i, kind, inputs, kernel in _rows(DEFINITIONS)]
     rows += [(i, "strategy", family, exactness, [], operator, " ".join((i, family, exactness))) for i, family, exactness, operator in _rows(STRATEGIES)]
     rows += [(i, "operating_point", unit, "exact", [unit], operator, " ".join((i, unit, region))) for i, (operator, unit, region) in OPERATING_POINTS.items()]
     # ids and their single words both can be searched for
-    return spark.createDataFrame([(*r[:-1], f"{r[-1]} {r[-1].replace('_', ' ')}") for r in rows], ENTRY)
+    return [(*r[:-1], f"{r[-1]} {r[-1].replace('_', ' ')}") for r in rows]
+
+
+def entries(spark: SparkSession) -> DataFrame:
+    """All catalog entries: ``id, catalog, kind, exactness, inputs, operator, text``."""
+    return spark.createDataFrame(entry_rows(), ENTRY)

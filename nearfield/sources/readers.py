@@ -53,6 +53,27 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return require(spark.read.parquet(path), ["sample_id", "train_id", "similarity"], path)
 
 
+def read_edge_chunks(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
+    """Edges ``i, j, w`` of all chunks (S6, G2); another number of rows than ``expected`` raises ``ValueError``."""
+    edges = require(spark.read.parquet(path), ["i", "j", "w"], path).select("i", "j", "w")
+    if expected is not None and edges.count() != expected:
+        raise ValueError(f"{path} does not hold {expected} edges")
+    return edges
+
+
+def read_flattened(df: DataFrame, n: int) -> DataFrame:
+    """A flattened upper triangle (S5): rows ``place, w`` of the pairs (0,1), (0,2), .., (1,2), .. of n nodes as edges ``i, j, w``.
+
+    The row of a place follows from the triangle's root, so no pair is listed to find it.
+    """
+    p, m = F.col("place").cast("double"), F.lit(2.0 * n - 1)
+    i = F.floor((m - F.sqrt(m * m - 8 * p)) / 2).cast("bigint")
+    start = lambda k: k * F.lit(n) - F.shiftright(k * (k + 1), 1)
+    # the root of a large number may be off by one
+    i = F.when(start(i) > F.col("place"), i - 1).when(start(i + 1) <= F.col("place"), i + 1).otherwise(i)
+    return df.select(i.alias("i"), "place", "w").select("i", (F.col("place") - start(F.col("i")) + F.col("i") + 1).cast("bigint").alias("j"), "w")
+
+
 def read_json_entries(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document a file, as rows."""
     return spark.read.json(path, multiLine=True)

@@ -22,6 +22,21 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True)
 
 
+def union_of_keys(tables: Sequence[DataFrame]) -> DataFrame:
+    """Tables with different columns as one (S9): the columns of all in the order of their first appearance, null where a table lacks one."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def write_edge_chunks(edges: DataFrame, path: str, chunks: int) -> int:
+    """Edges ``i, j, w`` in chunks of their first node, partitioned by ``chunk`` (S6), with their number."""
+    chunked = edges.select("i", "j", "w", F.pmod(F.xxhash64("i"), F.lit(chunks)).cast("int").alias("chunk"))
+    chunked.repartition(chunks, "chunk").write.mode("overwrite").partitionBy("chunk").parquet(path)
+    return edges.sparkSession.read.parquet(path).count()
+
+
 def write_capped(df: DataFrame, path: str, cap: int = CAP) -> dict:
     """The table if it has at most ``cap`` rows, else nothing but a note (S15, S16): ``rows, written, note``."""
     n = df.count()
@@ -48,9 +63,16 @@ def write_json(payload: dict, path: str) -> None:
     Path(path).write_text(json.dumps(payload, indent=2, sort_keys=True, default=str), encoding="utf-8")
 
 
+#: Most points of a curve that is drawn or written as a card.
+MOST_POINTS = 10_000
+
+
 def curve_rows(curve: DataFrame) -> list[dict]:
-    """The points of a curve, in the order of novelty (W13); a curve has a handful of rows."""
-    return [{k: _plain(v) for k, v in r.asDict().items()} for r in curve.orderBy(F.asc_nulls_first("mean_novelty"), "subset").limit(10_000).collect()]
+    """The points of a curve, in the order of novelty (W13); a curve has a handful of rows, and one of more than ``MOST_POINTS`` is refused."""
+    rows = curve.orderBy(F.asc_nulls_first("mean_novelty"), "subset").limit(MOST_POINTS + 1).collect()
+    if len(rows) > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} points: write the curve as a table")
+    return [{k: _plain(v) for k, v in r.asDict().items()} for r in rows]
 
 
 def svg_curve(rows: Sequence[dict], metric: str, title: str, width: int = 860, height: int = 540) -> str:
