@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.functions.features import running
+from nearfield.storage import Workspace
+
+#: Up to so many rows the percentiles of a group are taken in one task; beyond, all rows are sorted by range.
+ONE_TASK_ROWS = 5_000_000
+
 
 def regression_aggregates(y_true: str = "y_true", y_pred: str = "y_pred") -> list[Column]:
     """Aggregates of A1: n, mae, rmse, r2, bias, median / p90 / p95 / max absolute error.
@@ -30,6 +38,62 @@ def regression_aggregates(y_true: str = "y_true", y_pred: str = "y_pred") -> lis
     ]
 
 
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, points: Sequence[float], workspace: Workspace) -> DataFrame:
+    """``keys`` and ``q``, the exact interpolated percentiles of a value per group, whatever the size of a group.
+
+    The rows are sorted by range over many tasks; the places that the percentiles fall on follow from the
+    counts of the groups, and only these rows are picked.  Null values do not count; groups without any are
+    missing.
+    """
+    rows = df.select(*keys, value.cast("double").alias("__v")).where("__v is not null")
+    ran = workspace.save(running(rows, [*map(F.asc, keys), F.asc("__v")], {"__place": F.lit(1)}, workspace).select("__v", "__place"), "ranked")
+    groups = workspace.save(rows.groupBy(*keys).agg(F.count("*").alias("__n")) if keys else rows.agg(F.count("*").alias("__n")).where("__n > 0"), "groups")
+    upto = running(groups, list(map(F.asc, keys)) or [F.asc("__n")], {"__upto": F.col("__n")}, workspace)
+    steps = F.posexplode(F.array(*[F.lit(float(p)) for p in points])).alias("__k", "__p")
+    at = upto.select(*keys, "__n", (F.col("__upto") - F.col("__n")).alias("__start"), steps)
+    rank = F.col("__p") * (F.col("__n") - 1)
+    at = at.select(*keys, "__k", "__start", F.floor(rank).alias("__lo"), (rank - F.floor(rank)).alias("__f"), F.ceil(rank).alias("__hi"))
+    ends = at.select(*keys, "__k", "__f", F.explode(F.array(F.struct(F.lit(0).alias("e"), (F.col("__start") + F.col("__lo") + 1).alias("__place")), F.struct(F.lit(1).alias("e"), (F.col("__start") + F.col("__hi") + 1).alias("__place")))).alias("x"))
+    ends = ends.select(*keys, "__k", "__f", "x.e", "x.__place").join(ran, "__place")
+    both = ends.groupBy(*keys, "__k", "__f").agg(F.max(F.when(F.col("e") == 0, F.col("__v"))).alias("a"), F.max(F.when(F.col("e") == 1, F.col("__v"))).alias("b"))
+    value_at = F.when(F.col("__f") == 0, F.col("a")).otherwise((1 - F.col("__f")) * F.col("a") + F.col("__f") * F.col("b"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("__k", value_at.alias("v")))), lambda x: x["v"])  # one entry a point
+    return both.groupBy(*keys).agg(listed.alias("q")) if keys else both.agg(listed.alias("q")).where(F.size("q") > 0)
+
+
+def percentiles_of(df: DataFrame, value: Column | str, points: Sequence[float]) -> list[float] | None:
+    """Exact percentiles of one column over all rows; None without a value."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    rows = df.select(v.alias("v")).where("v is not null")
+    if rows.count() <= ONE_TASK_ROWS:
+        return rows.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in points])).alias("q")).first()["q"]
+    found = exact_percentiles(rows, [], F.col("v"), points, Workspace(df.sparkSession, "percentiles")).first()
+    return found["q"] if found else None
+
+
+def regression_table(rows: DataFrame, keys: Sequence[str], size: int, more: Sequence[Column] = (), medians: dict[str, str] | None = None, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+    """A1 per group, with further aggregates and medians of columns; ``size`` bounds the number of rows.
+
+    The same numbers at any size: beyond :data:`ONE_TASK_ROWS` the percentiles come from
+    :func:`exact_percentiles` and are joined to the other aggregates.  Keys may be null.
+    """
+    medians = medians or {}
+    own = regression_aggregates(y_true, y_pred)
+    if size <= ONE_TASK_ROWS:
+        return rows.groupBy(*keys).agg(*own, *more, *[F.percentile(c, F.lit(0.5)).alias(n) for n, c in medians.items()])
+    ws = Workspace(rows.sparkSession, "regression")
+    name = F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("<null>")).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit("").alias("k0"))
+    rows = ws.save(rows.withColumn("__g", F.to_json(name)), "rows")
+    plain = [a for a in own if not any(w in str(a) for w in ("median_abs_error", "p90_abs_error", "p95_abs_error"))]
+    out = rows.groupBy("__g", *keys).agg(*plain, *more)
+    e = F.abs(F.col(y_true) - F.col(y_pred))
+    q = exact_percentiles(rows, ["__g"], e, (0.5, 0.9, 0.95), ws)
+    out = out.join(q.select("__g", *[F.col("q")[i].alias(n) for i, n in enumerate(("median_abs_error", "p90_abs_error", "p95_abs_error"))]), "__g", "left")
+    for n, c in medians.items():
+        out = out.join(exact_percentiles(rows, ["__g"], F.col(c), (0.5,), ws).select("__g", F.col("q")[0].alias(n)), "__g", "left")
+    return out.drop("__g")
+
+
 def error_columns(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """Adds abs_error and squared_error (P10)."""
     d = F.col(y_true) - F.col(y_pred)

@@ -43,7 +43,7 @@ def quantile_thresholds(df: DataFrame, axis: str, kind: str, bins: int = 5) -> l
     if bins < 2:
         raise ValueError("at least two bins")
     finite = df.where(F.col(axis).isNotNull() & ~F.isnan(axis) & (F.abs(axis) != math.inf))
-    row = finite.agg(F.percentile(axis, F.array(*[F.lit(i / (bins - 1)) for i in range(bins)])).alias("q")).first()["q"]
+    row = metrics.percentiles_of(finite, axis, [i / (bins - 1) for i in range(bins)])
     if row is None:
         raise ValueError("axis has no finite value")
     return sorted(set(row), reverse=axis_type(kind) == "similarity")
@@ -80,9 +80,9 @@ def axis_curve(evals: DataFrame, axis: str, kind: str, thresholds: Sequence[floa
     member = [F.when(usable & (F.col("a") <= t if kind == "similarity" else F.col("a") >= t), F.struct(F.lit(names[t]).alias("subset"), F.lit(t).alias("threshold"))) for t in ts]
     every = F.struct(F.lit("all_eval").alias("subset"), F.lit(None).cast("double").alias("threshold"))
     spread = rows.select("*", F.explode(F.array_compact(F.array(every, *member))).alias("s")).select("a", "novelty", "y_true", "y_pred", "s.*")
-    curve = spread.groupBy("subset", "threshold").agg(
-        *metrics.regression_aggregates(), F.avg("a").alias("mean_axis_value"), F.percentile("a", F.lit(0.5)).alias("median_axis_value"), F.avg("novelty").alias("mean_novelty")
-    )
+    size = evals.count() * (len(ts) + 1)
+    more = [F.avg("a").alias("mean_axis_value"), F.avg("novelty").alias("mean_novelty")]
+    curve = metrics.regression_table(spread, ["subset", "threshold"], size, more, {"median_axis_value": "a"})
     whole = Window.partitionBy(F.lit(0))  # one row a subset
     curve = curve.withColumn("__all", F.max(F.when(F.col("subset") == "all_eval", F.col("n"))).over(whole)).where((F.col("subset") == "all_eval") | (F.col("n") < F.col("__all")))
     overlap = F.col("mean_axis_value") if kind == "similarity" else -F.col("mean_axis_value")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.functions.metrics import percentiles_of
 from nearfield.operators.skew import HOT_ROWS, hot_keys, salted_join
 from nearfield.storage import Workspace, metric
 
@@ -300,5 +301,5 @@ def cross_overlap(edges: DataFrame, train: DataFrame, test: DataFrame, threshold
 def pair_quantiles(edges: DataFrame, nodes: DataFrame, points: int = 11) -> DataFrame:
     """``quantile, similarity`` over all pairs (A6), linearly interpolated; the graph must list every pair."""
     steps = [i / (points - 1) for i in range(points)]
-    values = edges.agg(F.percentile("w", F.array(*map(F.lit, steps))).alias("v"))
-    return values.select(F.posexplode("v").alias("k", "similarity")).select((F.col("k") / (points - 1)).alias("quantile"), "similarity")
+    values = percentiles_of(edges, "w", steps) or []
+    return edges.sparkSession.createDataFrame(list(zip(steps, values)), "quantile double, similarity double")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import kernels
 from nearfield.functions.features import running
+from nearfield.functions.metrics import percentiles_of
 from nearfield.operators.skew import hot_keys, salted_join
 from nearfield.storage import Workspace, metric
 
@@ -249,7 +250,7 @@ def contiguous_interval(df: DataFrame, position: str, share: float) -> tuple[flo
 def quantile_holdout(rows: DataFrame, id_col: str, value: str, share: float = 0.1, side: str = "high") -> DataFrame:
     """The extreme tail of a property is test (O15); NaN and null are train."""
     v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-    cut = rows.agg(F.percentile(v, F.lit(1 - share if side == "high" else share)).alias("q")).first()["q"]
+    cut = (percentiles_of(rows, v, [1 - share if side == "high" else share]) or [None])[0]
     return predicate_split(rows, id_col, (v > cut if side == "high" else v < cut) if cut is not None else F.lit(False))
 
 
@@ -265,7 +266,7 @@ def step_forward(rows: DataFrame, id_col: str, order: str, steps: int) -> DataFr
     """
     timed = rows.schema[order].dataType.typeName().startswith("timestamp")
     key = F.col(order).cast("timestamp").cast("double") if timed else F.col(order).cast("double")
-    cuts = rows.agg(F.percentile(key, F.array(*[F.lit(i / steps) for i in range(1, steps)])).alias("q")).first()["q"]
+    cuts = percentiles_of(rows, key, [i / steps for i in range(1, steps)])
     edges = F.array(*[F.lit(float(c)) for c in (cuts or [])])
     stepped = rows.where(F.col(order).isNotNull()).select(F.col(id_col).alias("sample_id"), F.size(F.filter(edges, lambda c: c < key)).alias("step"))
     folds = stepped.withColumn("fold_id", F.explode(F.sequence(F.lit(0), F.lit(steps - 2)))).where(F.col("step") <= F.col("fold_id") + 1)

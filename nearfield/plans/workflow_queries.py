@@ -22,7 +22,7 @@ from nearfield.operators import registry as R
 from nearfield.operators import splits as S
 from nearfield.operators import workflows as W
 from nearfield.plans import strategies
-from nearfield.plans.curve_queries import _CURVE, _METRICS, _SCORED, _VALID, ORACLES as _CURVES, _axes, _fixed, rounded, scored, valid_edges
+from nearfield.plans.curve_queries import _METRICS, _SCORED, _VALID, ORACLES as _CURVES, _axes, _fixed, rounded, scored, valid_edges
 from nearfield.plans.kernel_queries import _EMBED, _embeddings
 from nearfield.plans.split_queries import _G, _HASH, _N, _NEAREST, _graph, _packed, _threshold_split
 from nearfield.plans.tables import table
@@ -340,7 +340,7 @@ ORACLES["hamming_radius_64"] = f"""
     SELECT c1, c2, CAST(d AS INT) AS distance, round(1 - d / 64, 6) AS similarity FROM p WHERE d <= 15"""
 QUERIES["pq_search"] = lambda s, d: rounded(I.pq_search(_embeddings(s, d).where("id % 50 = 0"), _embeddings(s, d), "v", 16, 10, 60))
 QUERIES["multimodal_search"] = lambda s, d: rounded(I.multimodal_search(_embeddings(s, d).where("id % 50 = 0"), _embeddings(s, d), "label", "v", 64, (2.0, 1.0), 10))
-QUERIES["neighbour_descent"] = lambda s, d: rounded(C.neighbour_descent(_embeddings(s, d).select("id", "v"), "v", 10, 2, Workspace(s, "descent")))
+QUERIES["neighbour_descent"] = lambda s, d: rounded(C.neighbour_descent(_embeddings(s, d).select("id", "v"), "v", 20, 2, Workspace(s, "descent")).where("rank <= 10"))
 
 
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:

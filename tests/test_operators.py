@@ -624,3 +624,19 @@ def test_files(spark, tmp_path, evals, edges):
 def test_planes_of_plans(spark, edges):
     plan = E.top_k(edges, 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_percentiles_by_sorting_equal_those_of_one_task(spark, workspace, monkeypatch):
+    rng = random.Random(31)
+    rows = [(rng.choice(["a", "b", None, "c"]), rng.choice([None, float("nan"), 1.0, rng.gauss(0, 3), rng.gauss(0, 3)]), rng.gauss(0, 1)) for _ in range(500)] + [("one", 2.5, 1.0)]
+    df = spark.createDataFrame(rows, "g string, y_true double, y_pred double").where("y_true is null or not isnan(y_true)")
+    monkeypatch.setattr("nearfield.functions.features.RUNNING_ROWS", 90)
+    plain = {r.g: r.asDict() for r in M.regression_table(df, ["g"], 501, [F.avg("y_pred").alias("m")], {"median": "y_pred"}).collect()}
+    sorted_ = {r.g: r.asDict() for r in M.regression_table(df, ["g"], 10**9, [F.avg("y_pred").alias("m")], {"median": "y_pred"}).collect()}
+    assert set(plain) == set(sorted_) == {"a", "b", None, "c", "one"}
+    for g, want in plain.items():
+        assert set(want) == set(sorted_[g]) and all(sorted_[g][k] == pytest.approx(v) for k, v in want.items()), g
+    points = [0, 0.1, 0.5, 0.77, 1]
+    want = M.percentiles_of(df, "y_true", points)
+    monkeypatch.setattr(M, "ONE_TASK_ROWS", 0)
+    assert M.percentiles_of(df, "y_true", points) == pytest.approx(want) and M.percentiles_of(df.where("false"), "y_true", points) is None
