@@ -117,11 +117,12 @@ def running(df: DataFrame, order: list, sums: dict, workspace) -> DataFrame:
     placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     placed = workspace.save(placed, "ordered")
     totals = sorted(placed.groupBy("__p").agg(*[F.sum(f"__v_{k}").alias(k) for k in sums]).collect(), key=lambda r: r["__p"])  # one row a task
-    starts, at = [], {k: 0 for k in sums}
+    whole = {k: dict(placed.dtypes)[f"__v_{k}"] in ("int", "bigint") for k in sums}
+    starts, at = [], {k: 0 if whole[k] else 0.0 for k in sums}
     for r in totals:
         starts.append((r["__p"], *at.values()))
         at = {k: v + (r[k] or 0) for k, v in at.items()}
-    kinds = {k: "bigint" if dict(placed.dtypes)[f"__v_{k}"] in ("int", "bigint") else "double" for k in sums}
+    kinds = {k: "bigint" if whole[k] else "double" for k in sums}
     offsets = df.sparkSession.createDataFrame(starts, "__p int" + "".join(f", `__s_{k}` {kinds[k]}" for k in sums))
     window = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = placed.join(F.broadcast(offsets), "__p")

@@ -142,20 +142,38 @@ def binary_labels(df: DataFrame, column: str) -> DataFrame:
     return marked.withColumn("label", value).drop("lo", "hi", "k")
 
 
+def _above(per: DataFrame, keys: list[str]) -> DataFrame:
+    """``tp`` and ``fp``: positives and negatives at each distinct score and above it, per group; rows ``keys, s, pos, neg``."""
+    if per.count() <= ONE_TASK_ROWS:
+        at = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc("s"))
+        return per.withColumn("tp", F.sum("pos").over(at)).withColumn("fp", F.sum("neg").over(at))
+    ws = Workspace(per.sparkSession, "scores")
+    ran = running(per, [*map(F.asc, keys), F.desc("s")], {"__tp": F.col("pos"), "__fp": F.col("neg")}, ws)
+    if not keys:
+        return ran.withColumnsRenamed({"__tp": "tp", "__fp": "fp"})
+    groups = ws.save(per.groupBy(*keys).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n")), "groups")
+    starts = running(groups, list(map(F.asc, keys)), {"__a": F.col("__p"), "__b": F.col("__n")}, ws)
+    starts = starts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (F.col("__a") - F.col("__p")).alias("__a"), (F.col("__b") - F.col("__n")).alias("__b"))
+    on = None
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        on = same if on is None else on & same
+    return ran.join(starts, on).select(*per.columns, (F.col("__tp") - F.col("__a")).alias("tp"), (F.col("__fp") - F.col("__b")).alias("fp"))
+
+
 def classification(df: DataFrame, label: str, score: str, threshold: float = 0.5, groups: list[str] | None = None) -> DataFrame:
     """A19 per group: n, positives, roc_auc, average_precision, balanced_accuracy, accuracy, f1, mcc, brier.
 
     Rows with a null label or score (NaN too) are left out.  Equal scores share their rank; average
     precision adds, per distinct score from high to low, precision times the gained recall.  Metrics whose
     denominator is empty are null, f1 and mcc 0.  The only sort is over distinct scores: they are
-    aggregated first.
+    aggregated first, and sorted by range over many tasks if they are very many.
     """
     keys = groups or []
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     rows = rows.select(*keys, F.col(label).cast("double").alias("y"), F.col(score).cast("double").alias("s"))
     per = rows.groupBy(*keys, "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    at = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc("s"))
-    ran = per.withColumn("tp", F.sum("pos").over(at)).withColumn("fp", F.sum("neg").over(at))
+    ran = _above(per, keys)
     # pairs of a positive above a negative: negatives below a score, half of those that tie
     agg = ran.groupBy(*keys).agg(
         F.sum("pos").alias("np"), F.sum("neg").alias("nn"), F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2)).alias("behind"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap")

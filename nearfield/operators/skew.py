@@ -112,6 +112,12 @@ def meet_two(left: DataFrame, right: DataFrame, key: str, left_by: str, right_by
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows over enough tasks for Python work on each row: shuffles only a table that came in too few splits."""
+    """The rows over enough tasks for Python work on each row: shuffles only a table that comes in too few splits.
+
+    The splits are those of the input; a frame that holds a shuffle is not run to find its number of tasks,
+    which would be that of the moment only, but dealt anew.
+    """
     wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df.repartition(wanted, *keys)
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)

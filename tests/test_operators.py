@@ -640,3 +640,41 @@ def test_percentiles_by_sorting_equal_those_of_one_task(spark, workspace, monkey
     want = M.percentiles_of(df, "y_true", points)
     monkeypatch.setattr(M, "ONE_TASK_ROWS", 0)
     assert M.percentiles_of(df, "y_true", points) == pytest.approx(want) and M.percentiles_of(df.where("false"), "y_true", points) is None
+
+
+def test_scores_sorted_by_range_give_the_same_metrics(spark, monkeypatch):
+    rng = random.Random(41)
+    rows = [(rng.choice(["a", "b", "c"]), rng.randint(0, 1), round(rng.random(), 2)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+    plain = [{r.g: r.asDict() for r in M.classification(df, "y", "s", 0.5, ["g"]).collect()}, M.classification(df, "y", "s").first().asDict()]
+    monkeypatch.setattr(M, "ONE_TASK_ROWS", 0)
+    monkeypatch.setattr("nearfield.functions.features.RUNNING_ROWS", 40)
+    assert {r.g: {k: pytest.approx(v) for k, v in r.asDict().items()} for r in M.classification(df, "y", "s", 0.5, ["g"]).collect()} == plain[0]
+    assert {k: pytest.approx(v) for k, v in M.classification(df, "y", "s").first().asDict().items()} == plain[1]
+
+
+def test_windows_and_kernel_sums_in_blocks(spark, monkeypatch):
+    rng = random.Random(42)
+    series = [(k, [rng.gauss(0, 1) for _ in range(rng.randint(3, 14))]) for k in range(4)]
+    got = {(r.id, r.start): r.distance for r in A.matrix_profile(spark.createDataFrame(series, "id int, v array<double>"), "v", 4).collect()}
+
+    def z(w):
+        mu = sum(w) / 4
+        sd = math.sqrt(max(0.0, sum(x * x for x in w) / 4 - mu * mu))
+        return [(x - mu) / sd for x in w]
+
+    want = {}
+    for k, v in series:
+        windows = {i + 1: z(v[i : i + 4]) for i in range(len(v) - 3)}
+        for i, w in windows.items():
+            near = [math.dist(w, x) for j, x in windows.items() if abs(i - j) > 2]
+            if near:
+                want[k, i] = min(near)
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    monkeypatch.setattr(A, "MMD_BLOCK", 7)
+    rows = [(k, rng.choice(["x", "y"]), [rng.gauss(0, 1), rng.gauss(0, 1)]) for k in range(30)]
+    got = {(r.a, r.b): r.similarity for r in A.domain_mmd(spark.createDataFrame(rows, "id int, d string, v array<double>"), "d", "v", 0.5).collect()}
+    mean = lambda a, b: sum(math.exp(-0.5 * math.dist(u, w) ** 2) for _, d, u in rows for _, e, w in rows if (d, e) == (a, b)) / sum((d, e) == (a, b) for _, d, _u in rows for _, e, _w in rows)
+    for a in "xy":
+        for b in "xy":
+            assert got[a, b] == pytest.approx(math.exp(-max(0.0, mean(a, a) + mean(b, b) - 2 * mean(a, b))))
