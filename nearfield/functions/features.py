@@ -111,19 +111,19 @@ def running(df: DataFrame, order: list, sums: dict, workspace) -> DataFrame:
     tasks before it, which are one row a task.
     """
     columns = df.columns
-    keyed = df.select("*", *[v.alias(f"__v_{k}") for k, v in sums.items()])
+    keyed = df.select("*", *[v.alias(f"__running_v_{k}") for k, v in sums.items()])
     rows = keyed.count()
     parts = max(1, -(-rows // RUNNING_ROWS))
-    placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__running_part", F.spark_partition_id())
     placed = workspace.save(placed, "ordered")
-    totals = sorted(placed.groupBy("__p").agg(*[F.sum(f"__v_{k}").alias(k) for k in sums]).collect(), key=lambda r: r["__p"])  # one row a task
-    whole = {k: dict(placed.dtypes)[f"__v_{k}"] in ("int", "bigint") for k in sums}
+    totals = sorted(placed.groupBy("__running_part").agg(*[F.sum(f"__running_v_{k}").alias(k) for k in sums]).collect(), key=lambda r: r["__running_part"])  # one row a task
+    whole = {k: dict(placed.dtypes)[f"__running_v_{k}"] in ("int", "bigint") for k in sums}
     starts, at = [], {k: 0 if whole[k] else 0.0 for k in sums}
     for r in totals:
-        starts.append((r["__p"], *at.values()))
+        starts.append((r["__running_part"], *at.values()))
         at = {k: v + (r[k] or 0) for k, v in at.items()}
     kinds = {k: "bigint" if whole[k] else "double" for k in sums}
-    offsets = df.sparkSession.createDataFrame(starts, "__p int" + "".join(f", `__s_{k}` {kinds[k]}" for k in sums))
-    window = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = placed.join(F.broadcast(offsets), "__p")
-    return joined.select(*columns, *[(F.sum(f"__v_{k}").over(window) + F.col(f"__s_{k}")).alias(k) for k in sums])
+    offsets = df.sparkSession.createDataFrame(starts, "__running_part int" + "".join(f", `__running_s_{k}` {kinds[k]}" for k in sums))
+    window = Window.partitionBy("__running_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = placed.join(F.broadcast(offsets), "__running_part")
+    return joined.select(*columns, *[(F.sum(f"__running_v_{k}").over(window) + F.col(f"__running_s_{k}")).alias(k) for k in sums])
