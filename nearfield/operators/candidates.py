@@ -39,7 +39,7 @@ def set_classes(df: DataFrame, id_col: str, set_col: str) -> tuple[DataFrame, Da
 
 
 def _prefixes(classes: DataFrame, t: float) -> DataFrame:
-    """``class_id, items, n, token`` for each of the first ``n - ceil(t n) + 1`` tokens, rarest first (ties by token)."""
+    """``class_id, n, pos, token`` for each of the first ``n - ceil(t n) + 1`` tokens, rarest first (ties by token)."""
     single = classes.select("class_id", F.explode("items").alias("token"))
     counts = single.groupBy("token").agg(F.count("*").alias("df"))
     hot = hot_keys(single, "token", single.count())
@@ -49,18 +49,22 @@ def _prefixes(classes: DataFrame, t: float) -> DataFrame:
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("items"))
     )
     n = F.size("items")
-    return ordered.select("class_id", n.alias("n"), F.explode(F.slice("items", F.lit(1), n - F.ceil(n * F.lit(t) - F.lit(_EPS)).cast("int") + 1)).alias("token"))
+    return ordered.select("class_id", n.alias("n"), F.posexplode(F.slice("items", F.lit(1), n - F.ceil(n * F.lit(t) - F.lit(_EPS)).cast("int") + 1)).alias("pos", "token"))
 
 
 def prefix_jaccard(classes: DataFrame, t: float) -> DataFrame:
     """All pairs of classes with Jaccard >= t (J6): ``c1 < c2, similarity``.
 
-    Prefix filter, size filter, then the exact kernel.  A prefix token whose classes are very many is
+    Prefix filter, size and position filters, then the exact kernel.  A prefix token whose classes are very many is
     cut into blocks that meet pairwise, so that no task holds all of them.
     """
-    p = _prefixes(classes, t)
+    ws = _workspace(classes)
+    p = ws.save(_prefixes(classes, t), "prefixes")
     near = F.least("n_1", "n_2") >= F.lit(t) * F.greatest("n_1", "n_2") - F.lit(_EPS)
-    pairs = meet(p, "token", "class_id", ["class_id", "n"], BLOCK_ROWS, _workspace(classes)).where(near)
+    # at the rarest token that a pair shares, what follows it on either side must still make up the overlap
+    left = F.least(F.col("n_1") - F.col("pos_1"), F.col("n_2") - F.col("pos_2"))
+    near = near & (left >= F.lit(t / (1 + t)) * (F.col("n_1") + F.col("n_2")) - F.lit(_EPS))
+    pairs = meet(p, "token", "class_id", ["class_id", "n", "pos"], BLOCK_ROWS, ws).where(near)
     return verify_sets(_ordered(pairs).distinct(), classes, t)
 
 
@@ -133,7 +137,8 @@ def minhash_jaccard(classes: DataFrame, t: float, hashes: int = 128, rows: int =
     (1 - 0.8^4)^32 < 1e-7 with the defaults.
     """
     sig = minhash_signatures(classes, hashes, rows).select("class_id", F.xxhash64("band", "bucket").alias("key"))
-    pairs = meet(sig, "key", "class_id", ["class_id"], BLOCK_ROWS, _workspace(classes))
+    ws = _workspace(classes)
+    pairs = meet(ws.save(sig, "signatures"), "key", "class_id", ["class_id"], BLOCK_ROWS, ws)
     return verify_sets(_ordered(pairs).distinct(), classes, t)
 
 
@@ -216,7 +221,8 @@ def qgram_edit_join(texts: DataFrame, id_col: str, text_col: str, distance: int,
     keyed = first.select("t", F.explode("p").alias("key")).unionByName(
         first.where(F.col("n") <= q * distance).select("t", F.explode(F.transform(F.sequence(F.length("t") - distance, F.length("t") + distance), lambda i: F.concat(F.lit("#length:"), i.cast("string")))).alias("key"))
     )
-    pairs = meet(keyed, "key", "t", ["t"], BLOCK_ROWS, _workspace(texts)).where(F.abs(F.length("t_1") - F.length("t_2")) <= distance)
+    ws = _workspace(texts)
+    pairs = meet(ws.save(keyed, "keyed"), "key", "t", ["t"], BLOCK_ROWS, ws).where(F.abs(F.length("t_1") - F.length("t_2")) <= distance)
     near = pairs.select(F.least("t_1", "t_2").alias("a"), F.greatest("t_1", "t_2").alias("b")).distinct()
     scored = near.withColumn("edits", F.levenshtein("a", "b", distance)).where("edits >= 0")
     return scored.withColumn("similarity", F.greatest(F.lit(0.0), 1 - F.col("edits") / F.greatest(F.length("a"), F.length("b"))))

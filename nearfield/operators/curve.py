@@ -64,7 +64,7 @@ def _subset_name(prefix: str, t: float) -> str:
     return prefix + f"{float(t):g}".replace(".", "_").replace("-", "minus_")
 
 
-def axis_curve(evals: DataFrame, axis: str, kind: str, thresholds: Sequence[float] | None = None, bins: int = 5, train_size: int = 0, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+def axis_curve(evals: DataFrame, axis: str, kind: str, thresholds: Sequence[float] | None = None, bins: int = 5, train_size: int = 0, y_true: str = "y_true", y_pred: str = "y_pred", rows_known: int | None = None) -> DataFrame:
     """The curve of an audit (C1): metrics of all rows and of each nested subset, in one pass.
 
     Subsets are ``axis <= t`` for similarity and ``axis >= t`` for distance; a NaN or null axis is in
@@ -80,7 +80,7 @@ def axis_curve(evals: DataFrame, axis: str, kind: str, thresholds: Sequence[floa
     member = [F.when(usable & (F.col("a") <= t if kind == "similarity" else F.col("a") >= t), F.struct(F.lit(names[t]).alias("subset"), F.lit(t).alias("threshold"))) for t in ts]
     every = F.struct(F.lit("all_eval").alias("subset"), F.lit(None).cast("double").alias("threshold"))
     spread = rows.select("*", F.explode(F.array_compact(F.array(every, *member))).alias("s")).select("a", "novelty", "y_true", "y_pred", "s.*")
-    size = evals.count() * (len(ts) + 1)
+    size = (evals.count() if rows_known is None else rows_known) * (len(ts) + 1)
     more = [F.avg("a").alias("mean_axis_value"), F.avg("novelty").alias("mean_novelty")]
     curve = metrics.regression_table(spread, ["subset", "threshold"], size, more, {"median_axis_value": "a"})
     whole = Window.partitionBy(F.lit(0))  # one row a subset
@@ -93,9 +93,20 @@ def axis_curve(evals: DataFrame, axis: str, kind: str, thresholds: Sequence[floa
 
 
 def pairwise_curve(evals: DataFrame, edges: DataFrame, thresholds: Sequence[float] | None = None, bins: int = 5, train_size: int = 0, strict: bool = True, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """The curve over the highest similarity per evaluation row (C2): aggregate, attach, curve."""
+    """The curve over the highest similarity per evaluation row (C2): aggregate, attach, curve.
+
+    With ``strict`` a row without any edge fails the query, as the audit demands.  Without, such rows have no
+    place on the axis and are in no subset, not even in that of all rows; how many they are is what
+    :func:`coverage` counts.
+    """
     joined = attach_axis(evals, edges, strict)
-    return axis_curve(joined if strict else joined.where("axis is not null"), "axis", "similarity", thresholds, bins, train_size, y_true, y_pred)
+    return axis_curve(joined if strict else joined.where("axis is not null"), "axis", "similarity", thresholds, bins, train_size, y_true, y_pred, evals.count())
+
+
+def coverage(evals: DataFrame, edges: DataFrame, group: str) -> DataFrame:
+    """``rows, with_axis, left_out`` per group: what a curve that is not strict is about."""
+    rows = attach_axis(evals, edges, False)
+    return rows.groupBy(group).agg(F.count("*").alias("rows"), F.count("axis").alias("with_axis"), F.count_if(F.col("axis").isNull()).alias("left_out"))
 
 
 def similarity_bands(evals: DataFrame, edges: DataFrame, thresholds: Sequence[float] = THRESHOLDS, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:

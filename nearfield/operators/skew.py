@@ -87,8 +87,11 @@ def meet(df: DataFrame, key: str, by: str, columns: list[str], size: int, worksp
 
     A self-join in which block meets block, so that no task holds all rows of a key.  ``by`` must differ
     between the rows of a key; ``columns`` holds it.  Which row of a pair comes first is not defined.
+    Rows whose key no other row has are left out first.  ``df`` is read twice, so write it down if it is costly.
     """
-    blocks = KeyCounts(df, key, size, workspace).with_parts(df.where(F.col(key).isNotNull()), by).withColumn("__part", _part(by))
+    counts = KeyCounts(df, key, size, workspace)
+    shared = counts.table.where(F.col("__n") > 1).select(key, F.ceil(F.col("__n") / F.lit(size)).cast("int").alias("__parts"))
+    blocks = salted_join(df.where(F.col(key).isNotNull()), shared, key, counts.hot, by).withColumn("__part", _part(by))
     part, last = F.col("__part"), F.col("__parts") - 1
     left = blocks.select(F.col(key).alias("__k"), *[F.col(c).alias(f"{c}_1") for c in columns], part.alias("__i"), F.explode(F.sequence(part, last)).alias("__j"))
     right = blocks.select(F.col(key).alias("__k"), *[F.col(c).alias(f"{c}_2") for c in columns], part.alias("__j"), F.explode(F.sequence(F.lit(0), part)).alias("__i"))

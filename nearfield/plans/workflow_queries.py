@@ -259,8 +259,7 @@ ORACLES["split_stats_contract"] = f"""WITH c AS ({_CURVES["pairwise_curve"]}), s
 
 def axis_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How many evaluation rows the curves over similarity leave out because nothing is known of their neighbours."""
-    rows = E.attach_axis(scored(spark, d), valid_edges(spark, d), strict=False)
-    return rows.groupBy("split").agg(F.count("*").alias("rows"), F.count("axis").alias("with_axis"), F.count_if(F.col("axis").isNull()).alias("left_out"))
+    return curve.coverage(scored(spark, d), valid_edges(spark, d), "split")
 
 
 QUERIES["axis_coverage"] = axis_coverage
