@@ -89,16 +89,37 @@ ORACLES["profile_responses"] = """WITH p AS (SELECT CAST(dayofweek(ts) + 1 AS VA
     SELECT a.cell_type, a.condition, a.gene, round(a.m - b.m, 6) AS response FROM p a JOIN p b USING (cell_type, gene) WHERE a.condition <> 'view' AND b.condition = 'view'"""
 
 
+def _combined(spark: SparkSession, d: str) -> DataFrame:
+    """What is measured on days on which a user has two types of events, as combinations ``A+B`` of them."""
+    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), F.dayofweek("ts").cast("string").alias("cell_type"), F.hour("ts").alias("gene"), "event_type", "value")
+    days = e.select("user_id", "day", "event_type").distinct()
+    left = days.where("event_type in ('click', 'error')").withColumnRenamed("event_type", "l")
+    right = days.where("event_type in ('purchase', 'signup')").withColumnRenamed("event_type", "r")
+    both = e.join(left.join(right, ["user_id", "day"]), ["user_id", "day"]).where((F.col("event_type") == F.col("l")) | (F.col("event_type") == F.col("r")))
+    return both.select("cell_type", F.concat_ws("+", "l", "r").alias("condition"), "gene", "value")
+
+
 def perturbation_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of event types as combinations: additive prediction from the single types, scored by support."""
-    response = A.responses(A.profiles(_daily(spark, d)), "view")
-    left, right = response.where("condition in ('click', 'error')"), response.where("condition in ('purchase', 'signup')")
-    observed = left.alias("l").join(right.alias("r"), ["cell_type", "gene"]).select("cell_type", F.concat_ws("+", "l.condition", "r.condition").alias("condition"), "gene", ((F.col("l.response") + F.col("r.response")) * 0.9).alias("response"))
-    known = response.where("condition <> 'signup'")
+    """Pairs of event types as combinations: the additive prediction from the single types against what is measured, by support."""
+    single = A.profiles(_daily(spark, d))
+    known = A.responses(single, "view").where("condition <> 'signup'")
+    control = single.where("condition = 'view'")
+    observed = A.responses(A.profiles(_combined(spark, d)).unionByName(control), "view")
     return rounded(A.support_summary(A.profile_rmse(A.additive_prediction(observed, known), observed), A.component_support(observed, known)))
 
 
 QUERIES["perturbation_pipeline"] = perturbation_pipeline
+ORACLES["perturbation_pipeline"] = """
+    WITH s AS (SELECT CAST(dayofweek(ts) + 1 AS VARCHAR) AS cell_type, event_type AS condition, CAST(hour(ts) AS INT) AS gene, avg(value) AS m FROM events GROUP BY ALL), c AS (SELECT cell_type, gene, m FROM s WHERE condition = 'view'),
+    k AS (SELECT s.cell_type, s.condition, s.gene, s.m - c.m AS response FROM s JOIN c USING (cell_type, gene) WHERE s.condition NOT IN ('view', 'signup')),
+    d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, event_type FROM events),
+    p AS (SELECT a.user_id, a.day, a.event_type AS l, b.event_type AS r FROM d a JOIN d b USING (user_id, day) WHERE a.event_type IN ('click', 'error') AND b.event_type IN ('purchase', 'signup')),
+    o AS (SELECT CAST(dayofweek(ts) + 1 AS VARCHAR) AS cell_type, l || '+' || r AS condition, CAST(hour(ts) AS INT) AS gene, avg(value) AS m FROM events e JOIN p ON p.user_id = e.user_id AND p.day = CAST(ts AS DATE) WHERE event_type IN (l, r) GROUP BY ALL),
+    b AS (SELECT o.cell_type, o.condition, o.gene, o.m - c.m AS response FROM o JOIN c USING (cell_type, gene)), q AS (SELECT DISTINCT cell_type, condition, unnest(string_split(condition, '+')) AS part FROM b),
+    t AS (SELECT q.cell_type, q.condition, k.gene, sum(k.response) AS predicted FROM q JOIN k ON k.cell_type = q.cell_type AND k.condition = q.part GROUP BY ALL),
+    e AS (SELECT cell_type, condition, sqrt(avg(pow(response - coalesce(predicted, 0), 2))) AS rmse FROM b LEFT JOIN t USING (cell_type, condition, gene) GROUP BY ALL),
+    u AS (SELECT condition, avg(CAST(part IN (SELECT condition FROM k) AS DOUBLE)) AS support FROM (SELECT DISTINCT condition, part FROM q) GROUP BY condition)
+    SELECT support, count(*) AS n, round(avg(rmse), 6) AS mean_rmse, round(quantile_cont(rmse, 0.5), 6) AS median_rmse, round(max(rmse), 6) AS max_rmse FROM e JOIN u USING (condition) GROUP BY support"""
 
 # ---- models -----------------------------------------------------------------------------------------------
 
