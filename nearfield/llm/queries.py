@@ -261,3 +261,9 @@ ORACLES["p4_found"] = r"""
     t AS (SELECT DISTINCT train_id, regexp_replace(smiles, '^\s+|\s+$', '', 'g') AS b FROM train_molecules)
     SELECT DISTINCT sample_id, train_id FROM e JOIN t ON a <> '' AND b <> '' AND abs(length(a) - length(b)) * 10 <= greatest(length(a), length(b))
     WHERE levenshtein(a, b) * 10 <= greatest(length(a), length(b))"""
+ORACLES["p4_report"] = r"""
+    WITH e AS (SELECT DISTINCT sample_id, regexp_replace(smiles, '^\s+|\s+$', '', 'g') AS a FROM eval_molecules), t AS (SELECT DISTINCT train_id, regexp_replace(smiles, '^\s+|\s+$', '', 'g') AS b FROM train_molecules),
+    p AS (SELECT sample_id, train_id, levenshtein(a, b) AS d FROM e JOIN t ON a <> '' AND b <> '' AND abs(length(a) - length(b)) * 10 <= greatest(length(a), length(b)) WHERE levenshtein(a, b) * 10 <= greatest(length(a), length(b))),
+    m AS (SELECT sample_id, min(d) AS d, count(DISTINCT train_id) AS links FROM p GROUP BY sample_id),
+    r AS (SELECT sample_id, min(lower(trim(coalesce(split, ''), ' '))) AS split, min(lower(trim(coalesce(source, ''), ' '))) AS source FROM eval_molecules WHERE sample_id IS NOT NULL GROUP BY sample_id)
+    SELECT split, source, count(*) AS rows, count(*) FILTER (d = 0) AS exact, count(*) FILTER (d > 0) AS near, coalesce(sum(links), 0)::BIGINT AS links FROM r LEFT JOIN m USING (sample_id) GROUP BY split, source"""
