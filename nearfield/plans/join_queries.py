@@ -225,6 +225,9 @@ def fourier_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["fourier_features"] = fourier_features
+ORACLES["fourier_features"] = f"""
+    WITH t AS ({_EMBED}), p AS (SELECT a.id AS sample_id, b.id AS train_id, round(exp(-0.01 * pow(list_distance(a.v, b.v), 2)), 10) AS s FROM t a JOIN t b ON a.id % 50 = 0 AND a.id <> b.id)
+    SELECT sample_id, train_id, round(s, 6) AS similarity, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY s DESC, train_id) AS r FROM p) WHERE r <= 10"""
 
 
 def frac_minhash_links(spark: SparkSession, d: str) -> DataFrame:

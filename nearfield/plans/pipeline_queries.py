@@ -74,10 +74,16 @@ ORACLES["seed_rerank"] = """
 
 
 def matrix_profile(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.matrix_profile(D.user_sequences(spark, d), "series", 8)).groupBy("id").agg(F.count("*").alias("windows"), F.round(F.min("distance"), 4).alias("motif"), F.round(F.max("distance"), 4).alias("discord"))
+    return rounded(A.matrix_profile(D.user_sequences(spark, d), "series", 8)).groupBy("id").agg(F.count("*").alias("windows"), F.round(F.min("distance"), 3).alias("motif"), F.round(F.max("distance"), 3).alias("discord"))
 
 
 QUERIES["matrix_profile"] = matrix_profile
+ORACLES["matrix_profile"] = """
+    WITH s AS (SELECT user_id AS id, list(value ORDER BY ts, event_id, event_type, value) AS v FROM events GROUP BY user_id), i AS (SELECT id, v, unnest(range(1, len(v) - 6)) AS start FROM s WHERE len(v) >= 8), w AS (SELECT id, start, v[start:start + 7] AS w FROM i),
+    m AS (SELECT *, list_sum(w) / 8 AS mu, list_sum(list_transform(w, lambda x: x * x)) / 8 AS q FROM w), d AS (SELECT *, sqrt(greatest(0, q - mu * mu)) AS sd FROM m),
+    z AS (SELECT id, start, list_transform(w, lambda x: CASE WHEN sd > 1e-12 THEN (x - mu) / sd ELSE 0 END) AS z FROM d),
+    p AS (SELECT a.id, a.start, round(min(list_distance(a.z, b.z)), 6) AS d FROM z a JOIN z b ON a.id = b.id AND abs(a.start - b.start) > 4 GROUP BY ALL)
+    SELECT id, count(*) AS windows, round(min(d), 3) AS motif, round(max(d), 3) AS discord FROM p GROUP BY id"""
 
 
 def _daily(spark: SparkSession, d: str) -> DataFrame:
