@@ -156,13 +156,13 @@ ORACLES["p6_check"] = "SELECT count(DISTINCT sample_id) AS records, 0::BIGINT AS
 
 
 def p7_check(spark: SparkSession, d: str) -> DataFrame:
-    """One row a capacity: texts placed, containers over capacity, texts divided without need, texts with tokens lost or doubled, and whether 99 % is used."""
+    """One row a capacity: texts placed, containers over capacity, texts divided without need, texts with tokens lost or doubled, and whether at most 1 % and one container more than needed are used."""
     ws = Workspace(spark, "p7-check")
     documents = _table(spark, d, "documents")
     counts = ws.save(packing.token_counts(documents), "counts")
     packed = ws.save(packing.pack(counts, _table(spark, d, "context_windows"), ws), "packed")
     full = packed.groupBy("window_name", "capacity", "container_id").agg(F.sum("n_tokens").alias("used"))
-    full = full.groupBy("window_name").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"), (F.sum("used") / F.sum("capacity") > 0.99).alias("well_filled"))
+    full = full.groupBy("window_name").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"), (F.count("*") <= F.ceil(1.01 * F.sum("used") / F.max("capacity")) + 1).alias("well_filled"))
     texts = packed.groupBy("window_name", "capacity", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("placed")).join(counts, "doc_id")
     least = F.ceil(F.col("n_tokens") / F.col("capacity"))
     texts = texts.groupBy("window_name").agg(
