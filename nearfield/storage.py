@@ -23,7 +23,7 @@ def is_local(spark: SparkSession) -> bool:
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; without one, a cluster is refused, as its executors share no local folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not is_local(spark):

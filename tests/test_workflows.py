@@ -230,3 +230,32 @@ def test_stream_pairs_equal_the_batch(spark, tmp_path):
 def test_similarity_of_a_missing_side_is_null(spark):
     df = spark.createDataFrame([(None, [1.0]), ([1.0], [1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(K.cosine(F.col("a"), F.col("b"))).collect()] == [None, pytest.approx(1.0)]
+
+
+def test_shared_folder_of_the_session(spark, tmp_path):
+    from nearfield import storage
+
+    assert storage.is_local(spark) and storage.shared_dir(spark)
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared/")
+    try:
+        ws = storage.Workspace(spark, "here")
+        assert ws.root.startswith(f"file://{tmp_path}/shared/nearfield/here-")
+        kept = ws.save(spark.range(3), "rows", rows=F.count("*"))
+        assert kept.count() == storage.metric(kept, "rows") == 3
+        ws.drop(kept)
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+        if before:
+            spark.conf.set("spark.checkpoint.dir", before)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from nearfield import storage
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            storage.shared_dir(session)
