@@ -232,22 +232,21 @@ def test_similarity_of_a_missing_side_is_null(spark):
     assert [r[0] for r in df.select(K.cosine(F.col("a"), F.col("b"))).collect()] == [None, pytest.approx(1.0)]
 
 
-def test_shared_folder_of_the_session(spark, tmp_path):
+def test_shared_folder_of_the_session(spark, workspace):
+    from types import SimpleNamespace
+
     from nearfield import storage
 
-    assert storage.is_local(spark) and storage.shared_dir(spark)
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared/")
-    try:
-        ws = storage.Workspace(spark, "here")
-        assert ws.root.startswith(f"file://{tmp_path}/shared/nearfield/here-")
-        kept = ws.save(spark.range(3), "rows", rows=F.count("*"))
-        assert kept.count() == storage.metric(kept, "rows") == 3
-        ws.drop(kept)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
+    assert storage.is_local(spark)
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: "hdfs://n/own/")
+    for known, want in (("s3a://b/shared/", "s3a://b/shared"), (None, "hdfs://n/own")):
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default, known=known: known), sparkContext=context)
+        assert storage.shared_dir(session) == want
+    kept = workspace.save(spark.range(3), "rows", rows=F.count("*"))
+    assert kept.count() == storage.metric(kept, "rows") == 3
+    workspace.drop(kept)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept._nearfield_path).count()
 
 
 def test_a_cluster_without_a_shared_folder_is_refused():
