@@ -95,3 +95,16 @@ def test_queries_list_no_pairs(spark, name):
         pytest.skip("no test data")
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "array_intersect" not in plan
+
+
+def test_weighted_minhash_counts_list_no_pairs(spark, workspace, monkeypatch):
+    from nearfield.operators import indexes as I
+
+    rng = np.random.default_rng(6)
+    rows = [(i, f"k{k}", float(rng.integers(1, 9))) for i in range(90) for k in range(12) if rng.random() < 0.4]
+    df = spark.createDataFrame(rows, "id long, key string, weight double")
+    queries = df.where("id % 10 = 0")
+    pairs = lambda d: {(r.sample_id, r.train_id) for r in d.collect()}
+    exact, near = pairs(C.weighted_jaccard_pairs(queries, df).where("similarity >= 0.4")), pairs(I.weighted_minhash_candidates(queries, df, 16, 2))
+    monkeypatch.setattr(I, "GRID_LOT", (7, 16))
+    assert I.weighted_minhash_counts(queries, df, 16, 2, 0.4, workspace) == {"exact": len(exact), "near": len(near), "both": len(exact & near)}
