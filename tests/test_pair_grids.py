@@ -1,5 +1,8 @@
 """Kernels over blocks of pairs against plain dynamic programs and walks."""
 
+import itertools
+import math
+import random
 from pathlib import Path
 
 import numpy as np
@@ -7,6 +10,8 @@ import pandas as pd
 import pytest
 
 from nearfield.functions import pandas_kernels as PK
+from nearfield.operators import indexes
+from nearfield.storage import Workspace
 
 
 def walk(a, b, tolerance):
@@ -66,3 +71,27 @@ def test_features_are_not_copied_to_every_pair(spark, name):
         pytest.skip("no test data")
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "ArrowEvalPython" not in plan and " Join " not in plan
+
+
+def test_trajectories_list_no_pair_that_the_boxes_alone_allow(spark, workspace, monkeypatch):
+    rng = random.Random(21)
+    # all boxes are the same, only few trajectories are alike; some sets of points come several times
+    rows = [(f"t{k}", [[0.0, 0.0], [50.0, 50.0], *([float(rng.randint(1, 49)), float(rng.randint(1, 49))] for _ in range(3))]) for k in range(150)]
+    rows += [(f"u{k}", list(reversed(p)) + p[:1]) for k, (_, p) in enumerate(rows[:20])]
+    rows += [(f"v{k}", [[x + 0.5, y - 0.5] for x, y in p]) for k, (_, p) in enumerate(rows[:20])]
+    odd = [("nan", [[0.0, float("nan")], [50.0, 50.0]]), ("inf", [[float("inf"), 0.0]]), ("none", [None, [None, 1.0]]), (None, rows[0][1])]
+    far = lambda x, y: max(min(math.dist(p, q) for q in y) for p in x)
+    want = {(min(a, b), max(a, b)): max(far(x, y), far(y, x)) for (a, x), (b, y) in itertools.combinations(rows, 2)}
+    want = {k: d for k, d in want.items() if d <= 2}
+    saved, save = [], Workspace.save
+
+    def watched(self, df, name, *args, **more):
+        out = save(self, df, name, *args, **more)
+        saved.append(out.count())
+        return out
+
+    monkeypatch.setattr(Workspace, "save", watched)
+    monkeypatch.setattr(indexes, "BLOCK_ROWS", 40)
+    found = indexes.trajectory_join(spark.createDataFrame([*rows, *odd], "id string, points array<array<double>>"), 2.0, workspace).collect()
+    assert len(found) == len(want) and {(r.c1, r.c2): r.distance for r in found} == want
+    assert max(saved) < 500  # 17,955 pairs have the same box
