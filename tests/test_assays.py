@@ -209,3 +209,27 @@ def test_mahalanobis_takes_every_part_of_the_embeddings(spark):
     want = {(a, b): np.exp(-np.sqrt((v[a] - v[b]) @ inverse @ (v[a] - v[b]))) for a in v if a % 50 == 0 for b in v if a != b}
     got = {(r.sample_id, r.train_id): r.similarity for r in entry.queries()["kernel_mahalanobis_full"](spark, d).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
+def test_focused_splits_meet_only_sets_that_share_a_rare_item(spark, workspace, monkeypatch):
+    from nearfield.operators import setblocks
+
+    met, paired = [], setblocks._paired
+
+    def watched(left, right, *more):
+        met.append((left.count(), right.count()))
+        return paired(left, right, *more)
+
+    monkeypatch.setattr(setblocks, "_paired", watched)
+    rows = [(f"r{k:03d}", ["common", f"own{k}"] + ["often"] * (k % 2)) for k in range(200)] + [("x0", ["rare", "a", "b"]), ("x1", ["rare", "a", "c"])]
+    monkeypatch.setattr(setblocks, "_BITS", (2, 1))
+    table, splits = A.focused_splits(spark.createDataFrame(rows, "id string, items array<string>"), spark.createDataFrame([("r000", 1)], "id string, label int"), workspace, (0.6, 0.3))
+    got = {r.threshold: r for r in table.collect()}
+    assert len(met) == 3 and max(max(n) for n in met) <= 2  # 202 sets, of which all but two share frequent items only
+    # at 0.3 the common item joins all of r, which leaves the two x (0.5) as test, too few; at 0.6 all are single
+    assert (got[0.3].status, got[0.3].test_size, got[0.3].max_max) == ("invalid_test_size", 2, 0.0)
+    assert (got[0.6].status, got[0.6].test_size, got[0.6].violations) == ("valid", 40, 0)
+    side = {r.sample_id: r.split for r in splits["tau_0p60"].collect()}
+    items = {i: set(s) for i, s in rows}
+    best = [max(len(items[a] & items[b]) / len(items[a] | items[b]) for b in items if side[b] == "train") for a in items if side[a] == "test"]
+    assert abs(got[0.6].mean_max - sum(best) / len(best)) < 1e-9
