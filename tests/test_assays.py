@@ -233,3 +233,30 @@ def test_focused_splits_meet_only_sets_that_share_a_rare_item(spark, workspace,
     items = {i: set(s) for i, s in rows}
     best = [max(len(items[a] & items[b]) / len(items[a] | items[b]) for b in items if side[b] == "train") for a in items if side[a] == "test"]
     assert abs(got[0.6].mean_max - sum(best) / len(best)) < 1e-9
+
+
+def test_token_baseline_stays_sparse(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import SparseVector
+
+    from nearfield.operators import baselines as B
+
+    rng = random.Random(12)
+    rows = [(k, [f"t{rng.randint(0, 30)}" for _ in range(4)], k % 2) for k in range(120)]
+    rows = [(k, t + ["sign"] * (rng.random() < 0.3 + 0.4 * y), y) for k, t, y in rows]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>, label int")
+    train, test = df.where("id < 80"), df.where("id >= 80")
+    dense = [HashingTF(inputCol="tokens", outputCol="__h", numFeatures=64, binary=True).transform(d).withColumn("v", vector_to_array("__h")).drop("__h") for d in (train, test)]
+    want = {r.id: r.score for r in B.balanced_logistic(*dense, "v", "label").collect()}
+    kinds, fit = [], LogisticRegression.fit
+
+    def watched(self, data, *more):
+        kinds.append(type(data.select("__f").first()[0]))
+        return fit(self, data, *more)
+
+    monkeypatch.setattr(LogisticRegression, "fit", watched)
+    got = B.logistic_on_tokens(train, test, "tokens", "label", 64)
+    assert got.columns == ["id", "tokens", "label", "score"] and kinds == [SparseVector]
+    assert all(abs(r.score - want[r.id]) < 1e-6 for r in got.collect()) and len(want) == 40
