@@ -1,26 +1,28 @@
 """The same or almost the same records across splits, by content-defined chunks.
 
 Two texts overlap if the fewest single-character edits between them are at most a tenth of the longer
-one's length.  Each training text is cut into chunks by a rolling hash: a chunk ends where the hash of its
+one's length.  Pairs are searched in cells (a block of training texts of like length, a block of evaluation
+texts that may be as long).  With a tenth of edits, unchanged chunks are so short that two texts share some by
+chance, so a training text is cut into longer pieces, of which one has one edit at most, and each piece is
+looked up without one of its quarters, at the few places where it may stand (see :class:`PieceIndex`).  What
+is met must also have counts of characters and of neighbouring pairs that so few edits allow, and then goes to
+the exact check (edit distance with a bound, in the JVM).
+
+The overlap fraction of a pair comes from content-defined chunks: a chunk ends where the rolling hash of its
 last three characters says so, within a least and a greatest length, and so depends on nothing before its
-start.  An edit spoils at most one chunk, hence of ``c`` chunks at least ``c - k`` stand unchanged in any
-text within ``k`` edits, moved by at most ``k``.  On the other side every position of an evaluation text
-is tried as the start of a chunk, which gives one digest per position, so an unchanged chunk is always met.
-
-The joins of digests are done in cells (a block of training texts, a block of evaluation texts of like
-length), each an index of bounded size that is probed with arrays; the lengths of the shared chunks are summed
-into an overlap fraction per pair, and pairs that reach the fraction which the allowed edits leave go to the
-exact check (edit distance with a bound, in the JVM).  As a shuffle the digests would be many times the texts:
-with a tenth of edits the chunks must be short, and even the ``k + 1`` rarest chunks of each training text, of
-which one must be met, are met 15,000 to 20,000 times by an evaluation text per 25,000 training texts of its
-length, 1,400 to 1,900 times at a fitting place (measured with chunks of 5-7 up to 8-9 characters).  Texts too
-short for one edit are joined by equality.  Only distinct texts take part; ids come back at the end.
+start.  Chunks of the training text that stand in the evaluation text, moved by at most the allowed edits, are
+summed up.  Very long training texts are looked up by their chunks as well: an edit spoils at most one, hence
+of ``c`` chunks at least ``c - k`` stand unchanged in any text within ``k`` edits, moved by at most ``k``; every
+position of an evaluation text is tried as the start of a chunk, so an unchanged chunk is always met.
+
+As a shuffle the digests would be many times the texts.  Texts too short for one edit are joined by equality.
+Only distinct texts take part; ids come back at the end.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,12 +33,15 @@ from nearfield.operators.skew import meet_two
 from nearfield.storage import Workspace
 
 #: Training / evaluation texts of one cell.
-TRAIN_BLOCK = 25_000
-EVAL_BLOCK = 40_000
+TRAIN_BLOCK = 150_000
+EVAL_BLOCK = 500_000
+#: Training texts from this length on are looked up by chunks, shorter ones by pieces (whose places grow with the square of the length).
+LONG = 400
 #: Ids of one text that a block holds when pairs of ids are written out.
 MEMBERS = 5_000
-#: Texts that are chunked at once.
+#: Texts that are chunked, evaluation texts that are looked up at once.
 TEXT_BATCH = 4_000
+PROBE_BATCH = 16_000
 #: (shortest text, least chunk, greatest chunk, one in how many hashes cuts): texts of each class of length.
 CLASSES = ((72, 5, 7, 3), (9, 2, 4, 2))
 #: Chunks of a training text that are common in its block and need not be looked up, as far as others suffice.
@@ -48,6 +53,7 @@ _BATCH_CELLS = 400_000
 BAND = 1.03
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_HIGH, _ONES, _SEVEN = np.uint64(0x8080808080808080), np.uint64(0x0101010101010101), np.uint64(0x7F)
 
 
 def allowed(length: np.ndarray) -> np.ndarray:
@@ -62,13 +68,36 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype("int64")
 
 
-class Chunker:
+class Stretches:
+    """Digests of any stretches of many texts, from prefix sums of a polynomial hash modulo 2^64."""
+
+    def __init__(self, texts: list[str]):
+        self.codes, self.offsets = _codes(texts)
+        n = len(self.codes)
+        power = np.ones(n + 1, dtype="uint64")
+        power[1:] = np.multiply.accumulate(np.full(n, _BASE))
+        self._prefix = np.zeros(n + 1, dtype="uint64")
+        self._prefix[1:] = np.cumsum((self.codes + np.uint64(7)) * power[:n])
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        self._back = np.ones(n + 1, dtype="uint64")
+        self._back[1:] = np.multiply.accumulate(np.full(n, inverse))
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Equal for equal stretches, wherever they stand; positions count through all texts."""
+        return (self._prefix[end] - self._prefix[start]) * self._back[start]
+
+    def windows(self, length: int) -> np.ndarray:
+        """Digests of the stretches of this length from every position on, as far as there are so many characters."""
+        n = max(0, len(self.codes) - length + 1)
+        return (self._prefix[length:] - self._prefix[:n]) * self._back[:n] if n else np.zeros(0, dtype="uint64")
+
+
+class Chunker(Stretches):
     """Chunks of many texts at once: for every position the length and digest of the chunk that starts there."""
 
     def __init__(self, texts: list[str], least: int, greatest: int, one_in: int):
-        codes, self.offsets = _codes(texts)
-        self.codes = codes
-        n = len(codes)
+        super().__init__(texts)
+        codes, n = self.codes, len(self.codes)
         owner_end = np.repeat(self.offsets[1:], np.diff(self.offsets))
         width = min(3, least)
         cut = np.zeros(n + greatest + 1, dtype=bool)  # cut[q]: a chunk may end before position q
@@ -83,16 +112,7 @@ class Chunker:
             length[cut[position + size]] = size
         self.whole = position + length <= owner_end  # the others run into the end of their text
         self.length = length
-        # digests from prefix sums of a polynomial hash, modulo 2^64
-        power = np.ones(n + 1, dtype="uint64")
-        power[1:] = np.multiply.accumulate(np.full(n, _BASE))
-        prefix = np.zeros(n + 1, dtype="uint64")
-        prefix[1:] = np.cumsum((codes + np.uint64(7)) * power[:n])
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        back = np.ones(n + 1, dtype="uint64")
-        back[1:] = np.multiply.accumulate(np.full(n, inverse))
-        end = np.minimum(position + length, n)
-        digest = (prefix[end] - prefix[position]) * back[:n]
+        digest = self.hash(position, np.minimum(position + length, n))
         self.digest = (digest ^ (digest >> np.uint64(29))) * _MIX + length.astype("uint64")
 
     def chains(self) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +133,7 @@ class Chunker:
         return np.concatenate(out_t), np.concatenate(out_p)
 
 
-def _profiles(chunker: Chunker) -> tuple[np.ndarray, np.ndarray]:
+def _profiles(chunker: Stretches) -> tuple[np.ndarray, np.ndarray]:
     """Counts of characters and of neighbouring pairs of characters of each text, in bins."""
     n = len(chunker.offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(chunker.offsets))
@@ -232,16 +252,199 @@ class TrainIndex:
             at = end
 
 
+class PieceIndex:
+    """Training texts of like length, found by pieces that at most one edit has touched.
+
+    With at most ``k`` edits and ``m`` pieces, ``k < 2 m``, take the first piece ``i`` at whose end there were no more
+    than ``2 i + 1`` edits: at least ``2 i`` lie before it, so it has none or one, it is moved by at most ``2 i + 1``, and at
+    most ``k - 2 i`` are left from its start on.  Its edit lies in one of its four quarters (an insertion belongs to the
+    character that follows), so the other three stand unchanged, those behind the edit moved by one at most.  Hence
+    each piece is looked up four times, without one quarter each, and only at the places that these bounds leave.
+    """
+
+    def __init__(self, train: list[str]):
+        self.train = train
+        self.length = np.array([len(t) for t in train], dtype="int64")
+        one, two = zip(*(_profiles(Stretches(train[at : at + TEXT_BATCH])) for at in range(0, len(train), TEXT_BATCH)))
+        self.one, self.two = np.concatenate(one), np.concatenate(two)
+        self.widest = np.argsort(-self.one.var(axis=0), kind="stable")
+        self.lanes, self.other_lanes = self._lanes(self.one, 0), self._lanes(self.one, 7)
+
+    def _lanes(self, one: np.ndarray, first: int) -> np.ndarray:
+        """Counts of seven bins, from the one that varies most or a later one on, and of all others, in the bytes of one number."""
+        own = one[:, self.widest[first : first + 7]]
+        eight = np.minimum(np.column_stack([own, one.sum(axis=1, dtype="int64") - own.sum(axis=1, dtype="int64")]), 127).astype("uint8")
+        return np.ascontiguousarray(eight).view("uint64").ravel()
+
+    def _tables(self, pieces: int) -> tuple[np.ndarray, list[list[tuple[np.ndarray, ...]]]]:
+        """Bounds of the quarters; per piece and left-out quarter a table of what is there, and digests with their text in the low bits, sorted, the ends of equal ones, and the texts' counts."""
+        n = len(self.train)
+        width = int(self.length.min()) // pieces
+        cuts = width * np.arange(5) // 4
+        digests = np.empty((pieces, 4, n), dtype="uint64")
+        for at in range(0, n, TEXT_BATCH):
+            texts = Stretches(self.train[at : at + TEXT_BATCH])
+            for i in range(pieces):
+                for left_out in range(4):
+                    digests[i, left_out, at : at + TEXT_BATCH] = _without(lambda start, length: texts.hash(start, start + length), texts.offsets[:-1] + i * width, cuts, left_out, 0)
+        bits, shift = np.uint64((1 << n.bit_length()) - 1), np.uint64(64 - n.bit_length() - 3)
+        out = []
+        for i in range(pieces):
+            out.append([])
+            for left_out in range(4):
+                keys = np.sort((digests[i, left_out] & ~bits) | np.arange(n, dtype="uint64"))
+                there = np.zeros(8 << n.bit_length(), dtype=bool)
+                there[keys >> shift] = True
+                ends = np.append(np.flatnonzero((keys[1:] ^ keys[:-1]) > bits) + 1, n).astype("int32")
+                ends = np.repeat(ends, np.diff(ends, prepend=0))
+                out[i].append((there, keys, ends, self.lanes[(keys & bits).astype("int64")], bits, shift))
+        return cuts, out
+
+    def candidates(self, evals: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(evaluation text, training text) of all pairs that may be within the allowed edits; a pair may come again."""
+        size = np.array([len(t) for t in evals], dtype="int64")
+        fits = np.abs(size - np.clip(size, self.length.min(), self.length.max())) <= allowed(np.maximum(size, self.length.min()))
+        pieces = allowed(np.maximum(size, self.length.max())) // 2 + 1
+        for m in np.unique(pieces[fits]):
+            cuts, tables = self._tables(int(m))
+            mine = np.flatnonzero(fits & (pieces == m))
+            for at in range(0, len(mine), PROBE_BATCH):
+                part = mine[at : at + PROBE_BATCH]
+                for fe, ft in self._batch([evals[i] for i in part], cuts, tables):
+                    yield part[fe], ft
+            del tables  # before the next ones are built
+
+    def _batch(self, evals: list[str], cuts: np.ndarray, tables: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        texts = Stretches(evals)
+        one, two = _profiles(texts)
+        size = np.diff(texts.offsets)
+        limit, lanes = allowed(np.maximum(size, self.length.max())).astype("uint64"), self._lanes(one, 0)
+        windows = {length: texts.windows(length) for length in {*(cuts[4] - cuts[1:4]).tolist(), *cuts[1:4].tolist()}}
+        found, rows = [], 0
+        for left_out, i, at, move, after in self._places(size, cuts, len(tables)):
+            digest = _without(lambda start, length: windows[int(length)][start], texts.offsets[at] + i * cuts[4] + move, cuts, left_out, after)
+            for pair in self._met(digest, at, tables[i][left_out], limit, lanes):
+                found.append(pair)
+                rows += len(pair)
+                if rows >= _BATCH_CELLS:
+                    yield self._checked(found, size, one, two)
+                    found, rows = [], 0
+        if found:
+            yield self._checked(found, size, one, two)
+
+    def _places(self, size: np.ndarray, cuts: np.ndarray, pieces: int) -> Iterator[tuple[int, int, np.ndarray, int, int]]:
+        """(quarter left out, piece, evaluation texts, move of the piece, further move behind that quarter)."""
+        k = allowed(np.maximum(size, self.length.max()))
+        least, most, width = size - self.length.max(), size - self.length.min(), int(cuts[4])
+        for i in range(pieces):
+            rest = k - 2 * i
+            for move in range(-2 * i - 1, 2 * i + 2):
+                start = i * width + move
+                # no edit in the piece or one in its last quarter; one in its first quarter
+                whole = (rest >= 0) & (least - rest <= move) & (move <= most + rest) & (start + cuts[3] <= size)
+                behind = (rest >= 1) & (least - rest < move) & (move < most + rest) & (start + width <= size)
+                if start >= 0:
+                    yield 3, i, np.flatnonzero(whole), move, 0
+                if start + cuts[1] >= 0:
+                    yield 0, i, np.flatnonzero(behind), move, 0
+                if start < 0 or abs(move) > 2 * i:
+                    continue
+                for after in (-1, 0, 1):
+                    moved = move + after
+                    at = np.flatnonzero((rest >= 1) & (least - rest < moved) & (moved < most + rest) & (start + width + after <= size))
+                    yield 1, i, at, move, after
+                    yield 2, i, at, move, after
+
+    def _met(self, digest: np.ndarray, at: np.ndarray, table: tuple, limit: np.ndarray, lanes: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs, as one number each, that share the digest and whose coarse counts allow so few edits."""
+        there, keys, ends, theirs, bits, shift = table
+        hit = np.flatnonzero(there[digest >> shift])
+        digest, at = digest[hit], at[hit]
+        lo = np.searchsorted(keys, digest & ~bits, "left")
+        same = np.flatnonzero((keys[np.minimum(lo, len(keys) - 1)] | bits) == (digest | bits))
+        at, lo = at[same], lo[same]
+        n = ends[lo] - lo
+        load = np.concatenate([[0], np.cumsum(n)])
+        first = 0
+        while first < len(n):  # a digest has no more texts than the block
+            last = max(first + 1, int(np.searchsorted(load, load[first] + _BATCH_HITS, "right")) - 1)
+            part, m = slice(first, last), n[first:last]
+            posting = np.arange(load[last] - load[first]) + np.repeat(lo[part] - (load[part] - load[first]), m)
+            mine, other, most = np.repeat(lanes[at[part]], m), theirs[posting], np.repeat(limit[at[part]], m)
+            ok = np.flatnonzero(_excess(mine, other) <= most)
+            ok = ok[_excess(other[ok], mine[ok]) <= most[ok]]
+            yield np.repeat(at[part], m)[ok] * len(self.train) + (keys[posting[ok]] & bits).astype("int64")
+            first = last
+
+    def _checked(self, found: list[np.ndarray], size: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pair = np.sort(np.concatenate(found))
+        fe, ft = np.divmod(pair[np.diff(pair, prepend=-1) > 0], len(self.train))
+        bound = allowed(np.maximum(size[fe], self.length[ft]))
+        mine, theirs = self._lanes(one, 7)[fe], self.other_lanes[ft]
+        ok = (np.abs(size[fe] - self.length[ft]) <= bound) & (_excess(mine, theirs) <= bound.astype("uint64")) & (_excess(theirs, mine) <= bound.astype("uint64"))
+        fe, ft = fe[ok], ft[ok]
+        for mine, theirs, factor in ((one, self.one, 1), (two, self.two, 2)):
+            ok = _possible(mine, theirs, fe, ft, allowed(np.maximum(size[fe], self.length[ft])) * factor)
+            fe, ft = fe[ok], ft[ok]
+        return fe, ft
+
+
+def _excess(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By how much the bytes of ``a`` that are greater than those of ``b`` exceed them in all, modulo 256, which can only be less."""
+    more = (a | _HIGH) - b
+    more &= ((more & _HIGH) >> np.uint64(7)) * _SEVEN
+    return (more * _ONES) >> np.uint64(56)
+
+
+def _without(digest: Callable[[np.ndarray, int], np.ndarray], start: np.ndarray, cuts: np.ndarray, left_out: int, after: int) -> np.ndarray:
+    """Mixed digests of the pieces from ``start`` on without one quarter, what follows it being moved by ``after``.
+
+    ``digest`` gives those of the stretches of one length from some positions on.
+    """
+    if left_out == 3:
+        return digest(start, cuts[3]) * _MIX
+    behind = digest(start + cuts[left_out + 1] + after, cuts[4] - cuts[left_out + 1])
+    if left_out == 0:
+        return behind * _MIX
+    before = digest(start, cuts[left_out])
+    return ((before ^ (before >> np.uint64(29))) * _BASE + behind) * _MIX
+
+
+def shared_lengths(a: list[str], b: list[str], least: int, greatest: int, one_in: int) -> np.ndarray:
+    """Per pair the summed length of the chunks of ``b`` that stand in ``a``, moved by no more than the allowed edits, as a fraction of ``b``."""
+    out = []
+    for at in range(0, len(a), TEXT_BATCH):
+        ca, cb = (Chunker(x[at : at + TEXT_BATCH], least, greatest, one_in) for x in (a, b))
+        n = len(ca.offsets) - 1
+        pair, place = cb.chains()
+        within = place - cb.offsets[pair]
+        owner = np.repeat(np.arange(n), np.diff(ca.offsets))
+        salt = np.arange(n).astype("uint64") * _BASE
+        keys = np.sort(_key((ca.digest + salt[owner]) * _MIX, np.arange(len(owner)) - ca.offsets[owner])[ca.whole])
+        k = allowed(np.maximum(np.diff(ca.offsets), np.diff(cb.offsets)))[pair]
+        mine = (cb.digest[place] + salt[pair]) * _MIX
+        met = np.searchsorted(keys, _key(mine, within + k), "right") > np.searchsorted(keys, _key(mine, within - k), "left")
+        out.append(np.bincount(pair, weights=cb.length[place] * met, minlength=n) / np.maximum(1, np.diff(cb.offsets)))
+    return np.minimum(1.0, np.concatenate(out)) if out else np.zeros(0)
+
+
 def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
     a, b, shared = [], [], []
-    evals = pdf.loc[pdf["role"] == 1, "text"].tolist()
-    for no, (_, least, greatest, one_in) in enumerate(CLASSES):
-        train = pdf.loc[(pdf["role"] == 0) & (pdf["kind"] == no), "text"].tolist()
-        for fe, ft, fraction in TrainIndex(train, least, greatest, one_in).candidates(evals) if train and evals else ():
-            a.extend(evals[i] for i in fe)
-            b.extend(train[i] for i in ft)
-            shared.append(fraction)
-    return pd.DataFrame({"a": a, "b": b, "overlap": np.concatenate(shared) if shared else np.zeros(0)}).astype({"a": "object", "b": "object", "overlap": "float64"})
+    evals, train = (pdf.loc[pdf["role"] == role, "text"].tolist() for role in (1, 0))
+    short, long = [t for t in train if len(t) < LONG], [t for t in train if len(t) >= LONG]
+    found = [(evals[i], short[j]) for fe, ft in PieceIndex(short).candidates(evals) for i, j in zip(fe, ft)] if short and evals else []
+    upper = math.inf
+    for shortest, *params in CLASSES:
+        mine = [pair for pair in found if shortest <= len(pair[1]) < upper]
+        a.extend(pair[0] for pair in mine)
+        b.extend(pair[1] for pair in mine)
+        shared.append(shared_lengths([pair[0] for pair in mine], [pair[1] for pair in mine], *params))
+        upper = shortest
+    for fe, ft, fraction in TrainIndex(long, *CLASSES[0][1:]).candidates(evals) if long and evals else ():
+        a.extend(evals[i] for i in fe)
+        b.extend(long[i] for i in ft)
+        shared.append(fraction)
+    return pd.DataFrame({"a": a, "b": b, "overlap": np.concatenate(shared)}).astype({"a": "object", "b": "object", "overlap": "float64"})
 
 
 def trimmed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -253,13 +456,10 @@ def trimmed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def similar_texts(evals: DataFrame, train: DataFrame, workspace: Workspace) -> DataFrame:
     """``a, b, overlap, edits`` of all pairs of different texts within the allowed edits; ``text`` on both sides.
 
-    ``overlap`` is the summed length of shared looked-up chunks as a fraction of the training text.
+    Each text is to come once.  Both sides are read twice, so write them down before.
+    ``overlap`` is the summed length of shared chunks as a fraction of the training text.
     """
-    kind = F.lit(None).cast("int")
-    for no, (shortest, *_) in reversed(list(enumerate(CLASSES))):
-        kind = F.when(F.length("text") >= shortest, no).otherwise(kind)
-    t = workspace.save(train.select("text").distinct().withColumn("kind", kind).where("kind is not null"), "train-texts")
-    e = workspace.save(evals.select("text").distinct().where(F.length("text") >= 9), "eval-texts")
+    e, t = (df.where(F.length("text") >= CLASSES[-1][0]) for df in (evals, train))
     band = F.floor(F.log(F.length("text")) / math.log(BAND))
     t = t.withColumn("band", band.cast("int"))
     # blocks of a band: counted, at most a few hundred rows as bands are logarithmic
@@ -269,8 +469,8 @@ def similar_texts(evals: DataFrame, train: DataFrame, workspace: Workspace) -> D
     met = e.withColumn("band", F.explode(F.sequence(lowest.cast("int"), highest.cast("int")))).join(F.broadcast(load), "band")
     parts = max(1, -(-e.count() // EVAL_BLOCK))
     part = F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")
-    left = left.select("text", "kind", F.lit(0).alias("role"), "band", "i", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("j"))
-    right = met.select("text", F.lit(-1).alias("kind"), F.lit(1).alias("role"), "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), part.alias("j"))
+    left = left.select("text", F.lit(0).alias("role"), "band", "i", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("j"))
+    right = met.select("text", F.lit(1).alias("role"), "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), part.alias("j"))
     pairs = left.unionByName(right).groupBy("band", "i", "j").applyInPandas(_cell, "a string, b string, overlap double")
     checked = pairs.where("a <> b").withColumn("edits", F.expr("levenshtein(a, b, cast(floor(greatest(length(a), length(b)) / 10) as int))")).where("edits >= 0")
     return workspace.save(checked.distinct(), "similar")
@@ -282,9 +482,10 @@ def cross_split_overlaps(evals: DataFrame, train: DataFrame, workspace: Workspac
     Null and blank texts match nothing; rows delivered twice count once; texts of one id that differ all
     count.  Empty tables give an empty result.
     """
-    e, t = trimmed(evals, eval_id, text), trimmed(train, train_id, text)
-    near = similar_texts(e, t, workspace)
-    same = e.select("text").distinct().join(t.select("text").distinct(), "text", "left_semi").select(
+    e, t = workspace.save(trimmed(evals, eval_id, text), "evals"), workspace.save(trimmed(train, train_id, text), "train")
+    e_texts, t_texts = (workspace.save(df.select("text").distinct(), name) for df, name in ((e, "eval-texts"), (t, "train-texts")))
+    near = similar_texts(e_texts, t_texts, workspace)
+    same = e_texts.join(t_texts, "text", "left_semi").select(
         F.col("text").alias("a"), F.col("text").alias("b"), F.lit(1.0).alias("overlap"), F.lit(0).alias("edits")
     )
     links = workspace.save(near.unionByName(same), "links")
