@@ -33,7 +33,7 @@ from nearfield.operators.skew import meet_two
 from nearfield.storage import Workspace
 
 #: Training / evaluation texts of one cell.
-TRAIN_BLOCK = 150_000
+TRAIN_BLOCK = 80_000
 EVAL_BLOCK = 500_000
 #: Training texts from this length on are looked up by chunks, shorter ones by pieces (whose places grow with the square of the length).
 LONG = 400
@@ -41,7 +41,7 @@ LONG = 400
 MEMBERS = 5_000
 #: Texts that are chunked, evaluation texts that are looked up at once.
 TEXT_BATCH = 4_000
-PROBE_BATCH = 16_000
+PROBE_BATCH = 8_000
 #: (shortest text, least chunk, greatest chunk, one in how many hashes cuts): texts of each class of length.
 CLASSES = ((72, 5, 7, 3), (9, 2, 4, 2))
 #: Chunks of a training text that are common in its block and need not be looked up, as far as others suffice.
