@@ -108,3 +108,26 @@ def test_weighted_minhash_counts_list_no_pairs(spark, workspace, monkeypatch):
     exact, near = pairs(C.weighted_jaccard_pairs(queries, df).where("similarity >= 0.4")), pairs(I.weighted_minhash_candidates(queries, df, 16, 2))
     monkeypatch.setattr(I, "GRID_LOT", (7, 16))
     assert I.weighted_minhash_counts(queries, df, 16, 2, 0.4, workspace) == {"exact": len(exact), "near": len(near), "both": len(exact & near)}
+
+
+def test_weighted_minhash_recall_takes_all_customers(spark, workspace, monkeypatch, tmp_path):
+    """Also those whose key 50 does not divide, in several blocks of folded rows."""
+    from nearfield.operators import indexes as I
+    from nearfield.plans import datasets as D
+    from nearfield.plans import workflow_queries as Q
+
+    rng = np.random.default_rng(8)
+    rows = [(i, f"k{k}", float(rng.integers(1, 9))) for i in range(1, 90) for k in range(40) if rng.random() < 0.1] + [(95, "k1", 0.0), (96, "k2", None), (97, None, 2.0), (None, "k3", 1.0)]
+    rows += [(i + 100, k, w) for i, k, w in rows if i is not None and i % 3 == 0]  # copies
+    rows = [r for r in rows if r[0] not in (50, 150)]
+    df = spark.createDataFrame(rows, "id long, key string, weight double")
+    pairs = lambda d: {(r.sample_id, r.train_id) for r in d.collect() if None not in r[:2]}
+    exact, near = pairs(C.weighted_jaccard_pairs(df, df).where("similarity >= 0.5")), pairs(I.weighted_minhash_candidates(df, df, 96, 2))
+    n = len({r[0] for r in rows} - {None})
+    monkeypatch.setattr(I, "GRID_LOT", (7, 16))
+    monkeypatch.setattr(I, "COUNT_BLOCK", (10, 25))
+    monkeypatch.setattr(D, "customer_brands", lambda spark, d: df)
+    got = Q.weighted_minhash_recall(spark, "").first()
+    assert 0 < len(exact & near) < len(near) < n * (n - 1) and (got.recall, got.candidate_share) == (round(len(exact & near) / len(exact), 6), round(len(near) / (n * (n - 1)), 6))
+    with pytest.raises(Exception, match="queries and training rows differ"):
+        I.weighted_minhash_counts(df.where("id < 9").withColumn("weight", F.col("weight") + 1), df, 96, 2, 0.5, workspace)
