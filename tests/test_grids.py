@@ -131,3 +131,27 @@ def test_weighted_minhash_recall_takes_all_customers(spark, workspace, monkeypat
     assert 0 < len(exact & near) < len(near) < n * (n - 1) and (got.recall, got.candidate_share) == (round(len(exact & near) / len(exact), 6), round(len(near) / (n * (n - 1)), 6))
     with pytest.raises(Exception, match="queries and training rows differ"):
         I.weighted_minhash_counts(df.where("id < 9").withColumn("weight", F.col("weight") + 1), df, 96, 2, 0.5, workspace)
+
+
+def test_weighted_minhash_draws_where_a_list_stands(spark):
+    """The same samples as from a row for each key and hash, which the plan has no more."""
+    from nearfield.operators import indexes as I
+
+    rng = np.random.default_rng(9)
+    rows = [(i, f"k{k}", float(rng.integers(1, 9))) for i in range(60) for k in range(15) if rng.random() < 0.4]
+    rows += [(1, None, 50.0), (2, "k1", 9.0), (70, "k1", 0.0), (71, "k2", None), (72, None, 3.0), (73, "k1", float("inf")), (73, "k0", float("inf")), (74, "k3", float("nan")), (74, "k9", 1.0), (75, "k3", float("nan"))]
+    df = spark.createDataFrame(rows, "id long, key string, weight double")
+    found = I.weighted_minhash(df, 12, 3)
+    assert "sequence(" not in found._jdf.queryExecution().analyzed().toString()
+    u = (F.xxhash64(F.lit(5), "key", "h").bitwiseAND(F.lit(2**52 - 1)).cast("double") + 1) / float(2**52 + 1)
+    drawn = df.where("weight > 0").withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(11)))).groupBy("id", "h").agg(F.min_by("key", F.struct(-F.log(u) / F.col("weight"), "key")).alias("k"))
+    want = {}
+    for r in drawn.collect():
+        want.setdefault((r.id, r.h // 3), {})[r.h] = r.k
+    keys = {}
+    for (i, b), k in want.items():
+        keys.setdefault((b, tuple(sorted(k.items()))), set()).add(i)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.key, set()).add(r.id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, keys.values()))
