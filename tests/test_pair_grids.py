@@ -95,3 +95,30 @@ def test_trajectories_list_no_pair_that_the_boxes_alone_allow(spark, workspace,
     found = indexes.trajectory_join(spark.createDataFrame([*rows, *odd], "id string, points array<array<double>>"), 2.0, workspace).collect()
     assert len(found) == len(want) and {(r.c1, r.c2): r.distance for r in found} == want
     assert max(saved) < 500  # 17,955 pairs have the same box
+
+
+def test_equal_trajectories_are_unfolded_where_they_are_found(spark, workspace, monkeypatch):
+    """No table of pairs is written, and none is shuffled before it leaves, though 3 sets stand for 120 trajectories."""
+    sets = [[[0.0, 0.0], [5.0, 5.0]], [[0.3, 0.4], [5.0, 5.0]], [[9.0, 9.0]]]
+    rows = [(k * 3 + s, random.Random(k).sample(p, len(p)) + p[:1] * (k % 2)) for k in range(40) for s, p in enumerate(sets)]
+    far = [[0.0, 0.5], [0.5, 0.0]]
+    want = {(a, b): 0.0 if a % 3 == b % 3 else far[a % 3][b % 3] for a, b in itertools.combinations(range(120), 2) if a % 3 == b % 3 or 2 not in (a % 3, b % 3)}
+    saved, save = [], Workspace.save
+
+    def watched(self, df, name, *args, **more):
+        out = save(self, df, name, *args, **more)
+        saved.append(out.count())
+        return out
+
+    monkeypatch.setattr(Workspace, "save", watched)
+    monkeypatch.setattr(indexes, "BLOCK_ROWS", 2)
+    df = spark.createDataFrame(rows, "id int, points array<array<double>>")
+    for members, sent in ((1_000, 1 << 20), (7, 20)):  # one list a set, or several that meet each other
+        monkeypatch.setattr(indexes, "TRIP_MEMBERS", members)
+        monkeypatch.setattr(indexes, "TRIP_SENT", sent)
+        out = indexes.trajectory_join(df, 2.0, workspace, 3)
+        found = out.collect()
+        assert len(found) == len(want) and {(r.c1, r.c2): r.distance for r in found} == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.partition("FlatMapGroupsInArrow")[0]
+    assert max(saved) <= 120
